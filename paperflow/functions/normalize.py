@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from .text import number_text, plain, round_half_even, strip
+from .text import half_even_of, let, number_text, plain, strip
 
 
 def result(value=None, num=None, date=None, error=None) -> Column:
@@ -42,98 +42,150 @@ def free_text(text: Column) -> Column:
     return F.when(F.length(cleaned).between(2, 80), result(cleaned)).otherwise(failed("TEXT_LENGTH"))
 
 
+WRITTEN_DATE = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2}|[0-9]{4})$"
+
+
+def iso_text(text: Column) -> Column:
+    """yyyy-MM-dd of a written date, or null; whether the day exists is not checked here."""
+    pad = F.regexp_replace(F.regexp_replace(text, WRITTEN_DATE, "$3-0$2-0$1"), r"-0([0-9]{2})", "-$1")
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text).when(
+        text.rlike(WRITTEN_DATE), F.regexp_replace(pad, r"^([0-9]{2})-", "20$1-"))
+
+
 def date(text: Column, as_of: Column) -> Column:
-    written = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2}|[0-9]{4})$"
-    day, month, year = (F.regexp_extract(text, written, i) for i in (1, 2, 3))
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text).when(
-        text.rlike(written), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
-    parsed = F.try_to_date(iso, "yyyy-MM-dd")
-    return (F.when(iso.isNull(), failed("DATE_FORMAT")).when(parsed.isNull(), failed("DATE_INVALID"))
-            .when(parsed > as_of, failed("DATE_FUTURE")).otherwise(result(iso, date=parsed)))
-
-
-def number(text: Column, unit_pattern: Column) -> Column:
-    """The number of a text with decimal comma and unit, or null."""
+    def judge(iso):
+        return let(F.try_to_date(iso, "yyyy-MM-dd"), lambda day: (
+            F.when(iso.isNull(), failed("DATE_FORMAT")).when(day.isNull(), failed("DATE_INVALID"))
+            .when(day > as_of, failed("DATE_FUTURE")).otherwise(result(iso, date=day))))
+    return let(iso_text(text), judge)
+
+
+def bare_number(text: Column, unit_pattern: Column) -> Column:
+    """The text of a number with decimal point, without its unit."""
     cleaned = strip(F.replace(F.lower(text), F.lit(","), F.lit(".")))
-    bare = F.when(unit_pattern.isNull(), cleaned).otherwise(strip(F.regexp_replace(cleaned, unit_pattern, F.lit(""))))
+    return F.when(unit_pattern.isNull(), cleaned).otherwise(strip(F.regexp_replace(cleaned, F.coalesce(unit_pattern, F.lit("$")), F.lit(""))))
+
+
+def number_of(bare: Column) -> Column:
     return F.when(bare.rlike(r"^[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
 
 
 def decimal(text: Column, unit_pattern: Column, decimals: Column) -> Column:
-    read = number(text, unit_pattern)
-    rounded = F.when(read == F.floor(read), read).when(decimals == 2, round_half_even(read, 2)).otherwise(round_half_even(read, 1))
-    return F.when(read.isNull(), failed("NOT_A_NUMBER")).otherwise(result(number_text(rounded), rounded))
+    return let(let(bare_number(text, unit_pattern), number_of), lambda n: F.when(n.isNull(), failed("NOT_A_NUMBER")).otherwise(
+        let(rounded(n, decimals), lambda r: result(number_text(r), r))))
+
+
+def rounded(number: Column, decimals: Column) -> Column:
+    return F.when(number == F.floor(number), number).when(decimals == 2, half_even_of(number, 2)).otherwise(half_even_of(number, 1))
 
 
 def whole(text: Column, unit_pattern: Column) -> Column:
-    read = number(text, unit_pattern)
-    return (F.when(read.isNull(), failed("NOT_A_NUMBER")).when(read != F.floor(read), failed("NOT_WHOLE"))
-            .otherwise(result(number_text(read), read)))
+    return let(let(bare_number(text, unit_pattern), number_of), lambda n: (
+        F.when(n.isNull(), failed("NOT_A_NUMBER")).when(n != F.floor(n), failed("NOT_WHOLE")).otherwise(result(number_text(n), n))))
+
+
+def to_mmhg(number: Column) -> Column:
+    """Below 30 a pressure is in cmHg."""
+    return F.when(number < 30, number * 10).otherwise(number)
+
+
+def off_whole(number: Column) -> Column:
+    return F.abs(number - F.rint(number)) > 5e-7
 
 
 def blood_pressure(text: Column, unit_pattern: Column) -> Column:
-    """Below 30 the value is in cmHg."""
-    read = number(text, unit_pattern)
-    mmhg = F.when(read < 30, read * 10).otherwise(read)
-    return (F.when(read.isNull(), failed("NOT_A_NUMBER")).when(F.abs(mmhg - F.rint(mmhg)) > 5e-7, failed("NOT_WHOLE"))
-            .otherwise(result(number_text(F.rint(mmhg)), F.rint(mmhg))))
+    return let(let(bare_number(text, unit_pattern), lambda b: to_mmhg(number_of(b))), lambda n: (
+        F.when(n.isNull(), failed("NOT_A_NUMBER")).when(off_whole(n), failed("NOT_WHOLE")).otherwise(result(number_text(F.rint(n)), F.rint(n)))))
 
 
 def gestational_parts(text: Column) -> Column:
-    """struct(weeks, days) of one unambiguous age, or null: days need a separator, a weeks unit or a `j`."""
-    lowered = strip(F.lower(text))
+    """array(weeks, days) of one unambiguous age, or null: days need a separator, a weeks unit or a `j`."""
     pattern = "^" + C.GESTATIONAL_AGE + "$"
-    weeks, unit, sep, days, day_unit = (F.regexp_extract(lowered, pattern, i) for i in range(1, 6))
-    clear = (days == "") | (unit != "") | (sep != "") | (day_unit != "")
-    return F.when(lowered.rlike(pattern) & clear, F.struct(
-        weeks.try_cast("int").alias("weeks"), F.coalesce(days.try_cast("int"), F.lit(0)).alias("days")))
+
+    def judge(groups):  # weeks | unit | separator | days | day unit
+        weeks_, unit, sep, days, day_unit = (F.get(groups, F.lit(i)) for i in range(5))
+        clear = (days == "") | (unit != "") | (sep != "") | (day_unit != "")
+        return F.when((F.size(groups) == 5) & clear, F.array(weeks_.try_cast("int"), F.coalesce(days.try_cast("int"), F.lit(0))))
+
+    lowered = strip(F.lower(text))
+    return let(F.split(F.when(lowered.rlike(pattern), F.regexp_replace(lowered, pattern, "$1|$2|$3|$4|$5")), r"\|"), judge)
+
+
+GA_DECIMAL = r"^\s*[0-9]{1,2}[.,][0-9]+\s*(?:sa)?\s*$"
 
 
 def gestational_age(text: Column) -> Column:
-    parts = gestational_parts(text)
-    total = parts["weeks"] * 7 + parts["days"]
-    return (F.when(F.lower(text).rlike(r"^\s*[0-9]{1,2}[.,][0-9]+\s*(?:sa)?\s*$"), failed("GA_DECIMAL"))
-            .when(parts.isNull(), failed("GA_FORMAT")).when(parts["days"] > 6, failed("GA_DAYS"))
-            .otherwise(result(total.cast("string"), total)))
+    def judge(parts):
+        weeks_, days = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        total = weeks_ * 7 + days
+        return (F.when(F.lower(text).rlike(GA_DECIMAL), failed("GA_DECIMAL")).when(parts.isNull(), failed("GA_FORMAT"))
+                .when(days > 6, failed("GA_DAYS")).otherwise(result(total.cast("string"), total)))
+    return let(gestational_parts(text), judge)
 
 
 def enum(text: Column) -> Column:
-    lowered = F.lower(text)
-    chain = None
-    for value, spellings in C.ENUM_SPELLINGS.items():
-        test = lowered.isin(spellings)
-        chain = F.when(test, result(F.lit(value))) if chain is None else chain.when(test, result(F.lit(value)))
-    return chain.otherwise(failed("NOT_AN_ANSWER"))
+    return let(enum_code(text), lambda c: F.when(c.isNull(), failed("NOT_AN_ANSWER")).otherwise(result(c)))
 
 
 def choice(text: Column, spellings: Column) -> Column:
     """`spellings` is array<struct<code, spelling>> with spellings already plain."""
-    wanted = plain(text)
-    match = F.try_element_at(F.filter(spellings, lambda s: s["spelling"] == wanted), F.lit(1))
-    return F.when(match.isNull(), failed("NOT_A_CHOICE")).otherwise(result(match["code"]))
-
-
-def in_range(parsed: Column, minimum: Column, maximum: Column) -> Column:
-    return (F.when(parsed["value_num"] < minimum, failed("RANGE_LOW"))
-            .when(parsed["value_num"] > maximum, failed("RANGE_HIGH")).otherwise(parsed))
-
-
-def normalize(raw: Column, kind: Column, unit_pattern: Column, minimum: Column, maximum: Column, decimals: Column,
-              spellings: Column, as_of: Column, extra: dict[str, Callable[[Column], Column]] | None = None) -> Column:
-    """The parsed struct of one raw text. `extra` adds kinds as functions from text to a result struct."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    chain = (F.when(text == "", failed("EMPTY"))
-             .when(kind == "digits", digits(text)).when(kind == "code", code(text)).when(kind == "text", free_text(text))
-             .when(kind == "date", date(text, as_of))
-             .when(kind == "decimal", in_range(decimal(text, unit_pattern, decimals), minimum, maximum))
-             .when(kind == "int", in_range(whole(text, unit_pattern), minimum, maximum))
-             .when(kind == "bp", in_range(blood_pressure(text, unit_pattern), minimum, maximum))
-             .when(kind == "gestational_age", in_range(gestational_age(text), minimum, maximum))
-             .when(kind == "enum", enum(text)).when(kind == "choice", choice(text, spellings)))
+    return let(choice_code(text, spellings), lambda c: F.when(c.isNull(), failed("NOT_A_CHOICE")).otherwise(result(c)))
+
+
+def choice_code(text: Column, spellings: Column) -> Column:
+    return let(plain(text), lambda wanted: F.try_element_at(F.filter(spellings, lambda s: s["spelling"] == wanted), F.lit(1))["code"])
+
+
+def enum_code(text: Column) -> Column:
+    lowered = F.lower(text)
+    chain = None
+    for value, spellings in C.ENUM_SPELLINGS.items():
+        chain = F.when(lowered.isin(spellings), value) if chain is None else chain.when(lowered.isin(spellings), value)
+    return chain
+
+
+KIND_COLUMNS = ["kind", "unit_pattern", "minimum", "maximum", "decimals", "spellings"]
+
+
+def normalize_into(df: DataFrame, raw: str, out: str, as_of: Column, extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """N1 on rows that carry the catalog columns of their field: add the struct `out` for the text `raw`.
+
+    The work is laid out in a few projections, each reading columns of the one before, so every expression is computed
+    once per row inside generated code. `extra` adds kinds as functions from text to a result struct.
+    """
+    kind, t, n = F.col("kind"), F.col("_text"), F.col("_num")
+    numeric = kind.isin("decimal", "int", "bp")
+    rows = df.withColumn("_text", strip(F.coalesce(F.col(raw), F.lit(""))))
+    rows = rows.withColumns({
+        "_bare": F.when(numeric, bare_number(t, F.col("unit_pattern"))), "_iso": F.when(kind == "date", iso_text(t)),
+        "_parts": F.when(kind == "gestational_age", gestational_parts(t)),
+        "_word": (F.when(kind == "digits", F.regexp_replace(t, r"[\s./-]", ""))
+                  .when(kind == "code", F.regexp_replace(F.regexp_replace(F.upper(t), r"^CM\s*[:\-]?\s*", ""), r"\s", ""))
+                  .when(kind == "text", F.regexp_replace(t, r"\s+", " ")).when(kind == "enum", enum_code(t))
+                  .when(kind == "choice", choice_code(t, F.col("spellings"))))})
+    rows = rows.withColumns({"_num": number_of(F.col("_bare")), "_day": F.try_to_date("_iso", "yyyy-MM-dd"),
+                             "_weeks": F.get("_parts", F.lit(0)), "_days": F.get("_parts", F.lit(1))})
+    rows = rows.withColumn("_num", F.when(kind == "bp", to_mmhg(n)).when(kind == "gestational_age", F.col("_weeks") * 7 + F.col("_days"))
+                           .when(kind == "decimal", rounded(n, F.col("decimals"))).otherwise(n))
+    word = F.col("_word")
+    error = (F.when(t == "", "EMPTY").when((kind == "digits") & ~word.rlike(r"^[0-9]{3,12}$"), "DIGITS_FORMAT")
+             .when((kind == "code") & ~word.rlike(r"^[A-Z0-9-]{3,20}$"), "CODE_FORMAT").when((kind == "text") & ~F.length(word).between(2, 80), "TEXT_LENGTH")
+             .when((kind == "enum") & word.isNull(), "NOT_AN_ANSWER").when((kind == "choice") & word.isNull(), "NOT_A_CHOICE")
+             .when((kind == "date") & F.col("_iso").isNull(), "DATE_FORMAT").when((kind == "date") & F.col("_day").isNull(), "DATE_INVALID")
+             .when((kind == "date") & (F.col("_day") > as_of), "DATE_FUTURE")
+             .when((kind == "gestational_age") & F.lower(t).rlike(GA_DECIMAL), "GA_DECIMAL").when((kind == "gestational_age") & F.col("_parts").isNull(), "GA_FORMAT")
+             .when((kind == "gestational_age") & (F.col("_days") > 6), "GA_DAYS").when(numeric & n.isNull(), "NOT_A_NUMBER")
+             .when((kind == "int") & (n != F.floor(n)), "NOT_WHOLE").when((kind == "bp") & off_whole(n), "NOT_WHOLE")
+             .when(n < F.col("minimum"), "RANGE_LOW").when(n > F.col("maximum"), "RANGE_HIGH"))
+    rows = rows.withColumns({"_num": F.when(kind == "bp", F.rint(n)).otherwise(n), "_error": error})
+    good = F.col("_error").isNull()
+    value = F.coalesce(word, F.col("_iso"), F.when(n.isNotNull(), number_text(n)))
+    known = result(F.when(good, value), F.when(good, n), F.when(good, F.col("_day")), F.when(good & value.isNull(), "UNKNOWN_KIND").otherwise(F.col("_error")))
+    chain = None
     for name, parse in (extra or {}).items():
-        chain = chain.when(kind == name, parse(text))
-    return chain.otherwise(failed("UNKNOWN_KIND"))
+        chain = F.when((kind == name) & (t != ""), parse(t)) if chain is None else chain.when((kind == name) & (t != ""), parse(t))
+    made = known if chain is None else chain.otherwise(known)
+    return rows.withColumn(out, made).drop("_text", "_bare", "_iso", "_parts", "_word", "_num", "_day", "_weeks", "_days", "_error")
 
 
 def catalog_with_spellings(catalog: DataFrame, spellings: DataFrame) -> DataFrame:
@@ -149,9 +201,7 @@ def normalize_fields(rows: DataFrame, catalog: DataFrame, spellings: DataFrame,
     table = catalog_with_spellings(catalog, spellings).select(
         F.col("field").alias("_f"), "kind", "unit_pattern", "minimum", "maximum", "decimals", "spellings")
     joined = rows.join(F.broadcast(table), rows["field"] == F.col("_f"), "left")
-    parsed = joined.withColumn("_parsed", normalize(
-        F.col(raw), F.col("kind"), F.col("unit_pattern"), F.col("minimum"), F.col("maximum"), F.col("decimals"),
-        F.col("spellings"), as_of, extra))
+    parsed = normalize_into(joined, raw, "_parsed", as_of, extra)
     return parsed.select(*rows.columns, "_parsed.value", "_parsed.value_num", "_parsed.value_date", "_parsed.error")
 
 

@@ -48,8 +48,13 @@ def plain(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.lower(fold(text)), r"[^\w<>+-]+", " "), r"\s+", " "))
 
 
-def round_half_even(number: Column, decimals: int) -> Column:
-    """Rounding of the exact binary value, ties to even, as IEEE decimal conversion does.
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`, so that nested expressions do not multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def half_even_of(number: Column, decimals: int) -> Column:
+    """Rounding of the exact binary value, ties to even, as IEEE decimal conversion does. `number` should be a column.
 
     `bround` rounds the printed digits, so 2.675 (stored slightly below the tie) would go up. The product with
     2 * 10^decimals is split into a rounded part and its exact error to see on which side of the tie the value is.
@@ -64,17 +69,22 @@ def round_half_even(number: Column, decimals: int) -> Column:
     low = number - high
     error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
     nearest = F.rint(product)
-    off = (product - nearest) + error
+    side = F.signum((product - nearest) + error)
     odd = F.pmod(nearest, F.lit(2.0)) == 1.0
-    below = (nearest - 1.0) / 2.0
-    tie = F.when(off > 0, below + 1.0).when(off < 0, below).otherwise(
-        F.when(F.pmod(below, F.lit(2.0)) == 0.0, below).otherwise(below + 1.0))
-    return F.when(odd & (F.abs(off) < 1e-6), tie / (10.0 ** decimals)).otherwise(F.bround(number, decimals))
+    near_tie = odd & (F.abs(product - nearest) < 1e-6)
+    up = F.pmod((nearest - 1.0) / 2.0, F.lit(2.0)) * 0.5  # 0.5 when the lower neighbour is odd, else 0
+    steps = (nearest - 1.0) / 2.0 + F.when(side == 0, 2 * up).otherwise((side + 1.0) / 2.0)
+    return F.when(near_tie, steps / (10.0 ** decimals)).otherwise(F.bround(number, decimals))
+
+
+def round_half_even(number: Column, decimals: int) -> Column:
+    """`half_even_of` for any expression, which is evaluated once."""
+    return let(number, lambda n: half_even_of(n, decimals))
 
 
 def number_text(number: Column) -> Column:
     """A number as written in a form: no decimals when it is whole."""
-    return F.when(number == F.floor(number), F.floor(number).cast("long").cast("string")).otherwise(number.cast("string"))
+    return F.regexp_replace(number.cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
 
 
 def weeks(days: Column, fractional: bool = False) -> Column:

@@ -74,17 +74,13 @@ def read_values(cells: DataFrame, table: DataFrame, as_of: Column, text: str = "
         F.col("v1").rlike(r"[0-9]\.[0-9]") | F.coalesce(F.col("v2").rlike(r"[0-9]\.[0-9]"), F.lit(False))))
     search = F.concat(F.lit("(?i)"), F.col("pattern"))
     rows = rows.withColumns({"m1": F.regexp_substr("v1", search), "m2": F.regexp_substr("v2", search)})
-    parse = lambda m: N.normalize(F.col(m), F.col("kind"), F.col("unit_pattern"), F.col("minimum"), F.col("maximum"),
-                                  F.col("decimals"), F.col("spellings"), as_of)
-    rows = rows.withColumns({"p1": F.when(F.col("m1").isNotNull(), parse("m1")),
-                             "p2": F.when(F.col("m2").isNotNull(), parse("m2"))})
+    rows = N.normalize_into(N.normalize_into(rows, "m1", "p1", as_of), "m2", "p2", as_of)
 
     def leftover(v, m):
         rest = F.substring(F.col(v), F.length(m) + 1, F.length(v))
         return ~(F.startswith(F.col(v), F.col(m)) & rest.rlike(F.concat(F.lit(r"(?i)^\s*"), F.col("suffix"), F.lit("$"))))
 
-    ok1 = F.coalesce(F.col("p1.error").isNull() & F.col("p1").isNotNull(), F.lit(False))
-    ok2 = F.coalesce(F.col("p2.error").isNull() & F.col("p2").isNotNull(), F.lit(False))
+    ok1, ok2 = (F.col(f"m{i}").isNotNull() & F.col(f"p{i}.error").isNull() for i in (1, 2))
     rows = rows.withColumns({"ok1": ok1, "ok2": ok2}).withColumn("readings", (
         F.when(F.col("ok1") & F.col("ok2") & (F.col("p1.value") != F.col("p2.value")), 2)
         .when(F.col("ok1") | F.col("ok2"), 1).otherwise(0)))
@@ -244,8 +240,7 @@ def read_labelled(lines: DataFrame, sections: DataFrame, table: DataFrame, as_of
 def _read_keys(cells: DataFrame, table: DataFrame, as_of: Column) -> DataFrame:
     """Cover fields: no format rule catches a misread digit, so a value that parses still needs a person."""
     info = F.broadcast(table.select(F.col("field").alias("_f"), "kind", "unit_pattern", "minimum", "maximum", "decimals", "spellings"))
-    rows = cells.join(info, F.col("field") == F.col("_f")).withColumn("p", N.normalize(
-        F.col("text"), F.col("kind"), F.col("unit_pattern"), F.col("minimum"), F.col("maximum"), F.col("decimals"), F.col("spellings"), as_of))
+    rows = N.normalize_into(cells.join(info, F.col("field") == F.col("_f")), "text", "p", as_of)
     empty = F.coalesce("text", F.lit("")) == ""
     bad = F.col("p.error").isNotNull()
     flags = _flags((empty, "OCR_NO_TEXT"), (~empty & bad, "OCR_UNPARSED"), (~empty & ~bad, "OCR_CONFIRM_REQUIRED"),
