@@ -24,7 +24,8 @@ def strip(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """ASCII form of Latin text; what has no ASCII form is dropped. Stays in generated code."""
-    return F.regexp_replace(F.translate(text, _FROM, _TO), r"[^\x00-\x7F]", "")
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, text).otherwise(F.regexp_replace(F.translate(text, _FROM, _TO), r"[^\x00-\x7F]", ""))
 
 
 @F.pandas_udf(StringType())
@@ -40,12 +41,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 def norm(text: Column) -> Column:
     """Folded, lower case, single spaces."""
-    return strip(F.regexp_replace(F.lower(fold(text)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold(text)), r"\s+", " "))
 
 
 def plain(text: Column) -> Column:
     """`norm` without punctuation other than < > + -."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(fold(text)), r"[^\w<>+-]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold(text)), r"[^\w<>+-]+", " "))
 
 
 def let(value: Column, body) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.text import norm, strip
+from ..functions.text import let, norm, strip
 from ..scale import text_blocks
 
 PAGE = ["document_id", "page_ref"]
@@ -64,7 +64,7 @@ def detect_pii(lines: DataFrame, labels: list[tuple[str, str]] = C.PII_LABELS, k
 
 def header_kind(text: Column) -> Column:
     """Whether a line reads as the header of a visit column or of a month column."""
-    return F.when(norm(text).rlike(f"^(?:{C.VISIT_HEADER})$"), "visit").when(norm(text).rlike(f"^(?:{C.MONTH_HEADER})$"), "month")
+    return let(norm(text), lambda n: F.when(n.rlike(f"^(?:{C.VISIT_HEADER})$"), "visit").when(n.rlike(f"^(?:{C.MONTH_HEADER})$"), "month"))
 
 
 def skew(lines: DataFrame) -> DataFrame:
@@ -92,8 +92,8 @@ def deskew(lines: DataFrame, angles: DataFrame) -> DataFrame:
 def find_grid(lines: DataFrame) -> DataFrame:
     """One row per page with a visit grid: header_bottom, columns array<slot,left,right>, rows array<row,top,bottom>.
 
-    Pages are first cut to those with exactly six visit and three month headers, so the windows below run over nine
-    anchors per page, and over the row labels of accepted pages only.
+    One aggregate over the header-like lines gives the frame of each page; pages without exactly six visit and three month
+    headers go no further, so the second pass looks at row labels of accepted pages only.
     """
     centred = with_centres(lines)
     anchors = centred.withColumn("kind", header_kind(F.col("text"))).where("kind IS NOT NULL")
@@ -101,21 +101,20 @@ def find_grid(lines: DataFrame) -> DataFrame:
     heads = anchors.groupBy(*PAGE).agg(
         F.count_if(visit).alias("visits"), F.count_if(month).alias("months"),
         F.max(F.when(visit, F.col("x0"))).alias("last_visit"), F.min(F.when(month, F.col("x0"))).alias("first_month"),
-        F.max("y1").alias("header_bottom")).where("visits = 6 AND months = 3 AND last_visit < first_month")
-    in_page = Window.partitionBy(*PAGE).orderBy("x0", "line_no")
-    chosen = anchors.join(heads.select(*PAGE, "header_bottom"), PAGE).withColumns({
-        "no": F.row_number().over(in_page) - 1, "gap": F.lead("x0").over(in_page) - F.col("x0")})
-    frames = chosen.groupBy(*PAGE).agg(
-        F.first("header_bottom").alias("header_bottom"), F.median("cy").alias("mid"), F.median("gap").alias("width"),
-        F.array_sort(F.collect_list(F.struct("no", "x0"))).alias("heads"),
-        F.collect_list(F.struct("cy", "height")).alias("boxes"))
-    level = ~F.exists("boxes", lambda b: F.abs(b["cy"] - F.col("mid")) > 2 * b["height"])
+        F.max("y1").alias("header_bottom"), F.array_sort(F.collect_list(F.struct("x0", "line_no", "cy", "height"))).alias("heads"))
+    heads = heads.where("visits = 6 AND months = 3 AND last_visit < first_month")
+    steps = F.sequence(F.lit(0), F.lit(7))
+    gaps = F.array_sort(F.transform(steps, lambda i: F.get("heads", i + 1)["x0"] - F.get("heads", i)["x0"]))
+    frames = heads.withColumns({"mid": F.array_sort(F.transform("heads", lambda h: h["cy"]))[4], "gaps": gaps}).withColumn(
+        "width", (F.col("gaps")[3] + F.col("gaps")[4]) / 2)
+    level = ~F.exists("heads", lambda h: F.abs(h["cy"] - F.col("mid")) > 2 * h["height"])
     lefts = F.transform("heads", lambda h: h["x0"] - 0.15 * F.col("width"))
+    frames = frames.where(level).select(*PAGE, "header_bottom", "width", lefts.alias("lefts"))
     slots = F.array(*[F.lit(s) for s in C.GRID_SLOTS])
     columns = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(
-        F.get(slots, i).alias("slot"), F.get(lefts, i).alias("left"),
-        F.coalesce(F.get(lefts, i + 1), F.get(lefts, i) + F.col("width")).alias("right")))
-    frames = frames.where(level).select(*PAGE, "header_bottom", columns.alias("columns"))
+        F.get(slots, i).alias("slot"), F.get("lefts", i).alias("left"),
+        F.coalesce(F.get("lefts", i + 1), F.get("lefts", i) + F.col("width")).alias("right")))
+    frames = frames.select(*PAGE, "header_bottom", columns.alias("columns"))
 
     labels = (centred.join(frames, PAGE)
               .where((F.col("cx") < F.col("columns")[0]["left"]) & (F.col("cy") > F.col("header_bottom"))))

@@ -78,7 +78,7 @@ def read_values(cells: DataFrame, table: DataFrame, as_of: Column, text: str = "
 
     def leftover(v, m):
         rest = F.substring(F.col(v), F.length(m) + 1, F.length(v))
-        return ~(F.startswith(F.col(v), F.col(m)) & rest.rlike(F.concat(F.lit(r"(?i)^\s*"), F.col("suffix"), F.lit("$"))))
+        return ~(F.startswith(F.col(v), F.col(m)) & F.rlike(rest, F.concat(F.lit(r"(?i)^\s*"), F.col("suffix"), F.lit("$"))))
 
     ok1, ok2 = (F.col(f"m{i}").isNotNull() & F.col(f"p{i}.error").isNull() for i in (1, 2))
     rows = rows.withColumns({"ok1": ok1, "ok2": ok2}).withColumn("readings", (
