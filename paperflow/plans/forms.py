@@ -82,3 +82,26 @@ def slot(number: str = "l_linenumber") -> F.Column:
 
 
 SLOT_SQL = "CASE l_linenumber " + " ".join(f"WHEN {i + 1} THEN '{s}'" for i, s in enumerate(C.GRID_SLOTS)) + " END"
+
+
+def identification_lines(t: Tables) -> DataFrame:
+    """An identification page per order: a table of earlier pregnancies and one of earlier deliveries, a column per line."""
+    def rows(df, no, words, x, y, w=60.0):
+        lit = lambda v: v.cast("double") if hasattr(v, "cast") else F.lit(float(v))
+        return df.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("p").alias("page_ref"), (no if hasattr(no, "cast") else F.lit(no)).cast("int").alias("line_no"), words.alias("text"), F.lit(0.95).alias("confidence"),
+                         lit(x).alias("x0"), lit(y).alias("y0"), (lit(x) + w).alias("x1"), (lit(y) + 20).alias("y1"))
+
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    printed = [("Nombre", 300, 100, 60.0), ("Date", 400, 100, 60.0), ("Fausse couche", 40, 140, 200.0), ("Avortement", 40, 180, 200.0), ("Enfants", 40, 220, 200.0)]
+    printed += [(f"Accouch. {n}", 300 + 100 * (n - 1), 400, 70.0) for n in range(1, 6)]
+    printed += [("Date", 40, 440, 200.0), ("Modalité d'extraction", 40, 480, 200.0), ("Complication", 40, 520, 200.0), ("Gestation : 2", 40, 600, 200.0)]
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(w).alias("t"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(size).alias("w")) for i, (w, x, y, size) in enumerate(printed)]))
+    frame = orders.withColumn("b", items).select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.lit("p").alias("page_ref"), F.col("b.no").alias("line_no"), F.col("b.t").alias("text"), F.lit(0.95).alias("confidence"),
+        F.col("b.x").alias("x0"), F.col("b.y").alias("y0"), (F.col("b.x") + F.col("b.w")).alias("x1"), (F.col("b.y") + 20).alias("y1"))
+    counts = rows(orders.where("o_orderstatus <> 'P'"), 20, (F.col("l_orderkey") % 4).cast("string"), 305, 180, 20.0)
+    cells = copies(t).where("page_no = 1 AND l_linenumber <= 5")
+    x = 305.0 + 100 * (F.col("l_linenumber") - 1)
+    dates = rows(cells, 20 + F.col("l_linenumber"), F.date_format("l_shipdate", "dd/MM/yyyy"), x, 440)
+    modes = rows(cells.where("l_returnflag <> 'A'"), 30 + F.col("l_linenumber"), F.when(F.col("l_returnflag") == "N", "Voie basse ___").otherwise("Césarienne"), x, 480)
+    return frame.unionByName(counts).unionByName(dates).unionByName(modes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..operators import layout as P
 from ..operators import reading as R
-from .forms import COPIES_SQL, SLOT_SQL, ocr_lines
+from .forms import COPIES_SQL, SLOT_SQL, identification_lines, ocr_lines
 from .registry import Tables, query
 
 PAGE_SQL = "l_orderkey || '-' || page_no"
@@ -267,3 +267,18 @@ def sections_present(t):
         F.col("l_orderkey").alias("document_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("page_ref"), F.lit(0).alias("line_no"),
         F.when(F.col("l_quantity") > 30, "Post-partum précoce").otherwise("Post-partum précoce, post-partum tardif").alias("text"))
     return P.sections_present(e, P.newborn_period(titles))
+
+
+@query("p13_read_abortions", """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_orderkey % 4 AS VARCHAR) END AS value, 'NEEDS_REVIEW' AS field_status,
+  CASE WHEN o_orderstatus = 'P' THEN 'OCR_NO_TEXT' ELSE 'OCR_CONFIRM_REQUIRED' END AS flags FROM orders""")
+def abortions(t):
+    fv = R.read_abortions(identification_lines(t), reading_table(t), as_of())
+    return fv.select("document_id", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"))
+
+
+@query("p13_read_previous_deliveries", f"""WITH {COPIES_SQL}, c AS (SELECT copies.* FROM copies JOIN orders ON o_orderkey = l_orderkey WHERE page_no = 1 AND l_linenumber <= 5)
+SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_linenumber AS item, 'previous_delivery_date' AS field, strftime(l_shipdate, '%Y-%m-%d') AS value, 'KNOWN' AS field_status, '' AS flags FROM c
+UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_linenumber, 'previous_delivery_mode_text', CASE l_returnflag WHEN 'N' THEN 'Voie basse' WHEN 'R' THEN 'Césarienne' ELSE '' END, 'NEEDS_REVIEW', CASE WHEN l_returnflag = 'A' THEN 'OCR_NO_TEXT' ELSE 'OCR_CONFIRM_REQUIRED' END FROM c""")
+def previous_deliveries(t):
+    fv = R.read_previous_deliveries(identification_lines(t), reading_table(t), as_of())
+    return fv.select("document_id", "item", "field", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"))

@@ -28,12 +28,13 @@ def read_stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
 
 
 def dedup_stream(messages: DataFrame, key: str, at: str, target: str, checkpoint: str, columns: str, delay: str = "1 hour",
-                 order: list[str] | None = None) -> StreamingQuery:
+                 order: list[str] | None = None, keep_all: bool = False) -> StreamingQuery:
     """M13 as a stream: first delivery of each id, appended to `target` once whatever is replayed.
 
-    `dropDuplicatesWithinWatermark` is a cheap filter before the exact check against the ids already stored.
+    `dropDuplicatesWithinWatermark` is a cheap filter before the exact check against the ids already stored; it keeps any
+    one of the copies, so `keep_all` leaves it out when the earliest of a micro-batch must be the one that stays.
     """
-    near = messages.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    near = messages if keep_all else messages.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
