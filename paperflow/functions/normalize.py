@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from .text import half_even_of, let, number_text, plain, strip
+from .text import half_even_of, half_even_sql, let, number_text, plain, strip
 
 
 def result(value=None, num=None, date=None, error=None) -> Column:
@@ -153,39 +153,41 @@ def normalize_into(df: DataFrame, raw: str, out: str, as_of: Column, extra: dict
     The work is laid out in a few projections, each reading columns of the one before, so every expression is computed
     once per row inside generated code. `extra` adds kinds as functions from text to a result struct.
     """
-    kind, t, n = F.col("kind"), F.col("_text"), F.col("_num")
-    numeric = kind.isin("decimal", "int", "bp")
+    e = F.expr
+    numeric = "kind IN ('decimal', 'int', 'bp')"
+    enum_cases = " ".join(f"WHEN lower(_text) IN ({', '.join(C.literal(x) for x in xs)}) THEN '{v}'" for v, xs in C.ENUM_SPELLINGS.items())
     rows = df.withColumn("_text", strip(F.coalesce(F.col(raw), F.lit(""))))
     rows = rows.withColumns({
-        "_bare": F.when(numeric, bare_number(t, F.col("unit_pattern"))), "_iso": F.when(kind == "date", iso_text(t)),
-        "_parts": F.when(kind == "gestational_age", gestational_parts(t)),
-        "_word": (F.when(kind == "digits", F.regexp_replace(t, r"[\s./-]", ""))
-                  .when(kind == "code", F.regexp_replace(F.regexp_replace(F.upper(t), r"^CM\s*[:\-]?\s*", ""), r"\s", ""))
-                  .when(kind == "text", F.regexp_replace(t, r"\s+", " ")).when(kind == "enum", enum_code(t))
-                  .when(kind == "choice", choice_code(t, F.col("spellings"))))})
-    rows = rows.withColumns({"_num": number_of(F.col("_bare")), "_day": F.try_to_date("_iso", "yyyy-MM-dd"),
-                             "_weeks": F.get("_parts", F.lit(0)), "_days": F.get("_parts", F.lit(1))})
-    rows = rows.withColumn("_num", F.when(kind == "bp", to_mmhg(n)).when(kind == "gestational_age", F.col("_weeks") * 7 + F.col("_days"))
-                           .when(kind == "decimal", rounded(n, F.col("decimals"))).otherwise(n))
-    word = F.col("_word")
-    error = (F.when(t == "", "EMPTY").when((kind == "digits") & ~word.rlike(r"^[0-9]{3,12}$"), "DIGITS_FORMAT")
-             .when((kind == "code") & ~word.rlike(r"^[A-Z0-9-]{3,20}$"), "CODE_FORMAT").when((kind == "text") & ~F.length(word).between(2, 80), "TEXT_LENGTH")
-             .when((kind == "enum") & word.isNull(), "NOT_AN_ANSWER").when((kind == "choice") & word.isNull(), "NOT_A_CHOICE")
-             .when((kind == "date") & F.col("_iso").isNull(), "DATE_FORMAT").when((kind == "date") & F.col("_day").isNull(), "DATE_INVALID")
-             .when((kind == "date") & (F.col("_day") > as_of), "DATE_FUTURE")
-             .when((kind == "gestational_age") & F.lower(t).rlike(GA_DECIMAL), "GA_DECIMAL").when((kind == "gestational_age") & F.col("_parts").isNull(), "GA_FORMAT")
-             .when((kind == "gestational_age") & (F.col("_days") > 6), "GA_DAYS").when(numeric & n.isNull(), "NOT_A_NUMBER")
-             .when((kind == "int") & (n != F.floor(n)), "NOT_WHOLE").when((kind == "bp") & off_whole(n), "NOT_WHOLE")
-             .when(n < F.col("minimum"), "RANGE_LOW").when(n > F.col("maximum"), "RANGE_HIGH"))
-    rows = rows.withColumns({"_num": F.when(kind == "bp", F.rint(n)).otherwise(n), "_error": error})
-    good = F.col("_error").isNull()
-    value = F.coalesce(word, F.col("_iso"), F.when(n.isNotNull(), number_text(n)))
-    known = result(F.when(good, value), F.when(good, n), F.when(good, F.col("_day")), F.when(good & value.isNull(), "UNKNOWN_KIND").otherwise(F.col("_error")))
-    chain = None
+        "_bare": e(f"""CASE WHEN {numeric} THEN CASE WHEN unit_pattern IS NULL THEN trim(replace(lower(_text), ',', '.'))
+            ELSE trim(regexp_replace(replace(lower(_text), ',', '.'), coalesce(unit_pattern, '$'), '')) END END"""),
+        "_iso": F.when(F.col("kind") == "date", iso_text(F.col("_text"))),
+        "_parts": F.when(F.col("kind") == "gestational_age", gestational_parts(F.col("_text"))),
+        "_choice": F.when(F.col("kind") == "choice", choice_code(F.col("_text"), F.col("spellings"))),
+        "_word": e(rf"""CASE kind WHEN 'digits' THEN regexp_replace(_text, r'[\s./-]', '')
+            WHEN 'code' THEN regexp_replace(regexp_replace(upper(_text), r'^CM\s*[:\-]?\s*', ''), r'\s', '')
+            WHEN 'text' THEN regexp_replace(_text, r'\s+', ' ') WHEN 'enum' THEN CASE {enum_cases} END END""")})
+    rows = rows.withColumns({
+        "_num": e(r"CASE WHEN _bare RLIKE r'^[0-9]+(\.[0-9]+)?$' THEN try_cast(_bare AS DOUBLE) END"), "_day": e("try_to_date(_iso, 'yyyy-MM-dd')"),
+        "_weeks": e("get(_parts, 0)"), "_days": e("get(_parts, 1)"), "_word": e("coalesce(_word, _choice)")})
+    rows = rows.withColumn("_num", e(f"""CASE kind WHEN 'bp' THEN CASE WHEN _num < 30 THEN _num * 10 ELSE _num END WHEN 'gestational_age' THEN CAST(_weeks * 7 + _days AS DOUBLE)
+        WHEN 'decimal' THEN CASE WHEN _num = floor(_num) THEN _num WHEN decimals = 2 THEN {half_even_sql('_num', 2)} ELSE {half_even_sql('_num', 1)} END ELSE _num END"""))
+    rows = rows.withColumns({"_error": e(rf"""CASE WHEN _text = '' THEN 'EMPTY'
+        WHEN kind = 'digits' THEN CASE WHEN NOT _word RLIKE '^[0-9]{{3,12}}$' THEN 'DIGITS_FORMAT' END
+        WHEN kind = 'code' THEN CASE WHEN NOT _word RLIKE '^[A-Z0-9-]{{3,20}}$' THEN 'CODE_FORMAT' END
+        WHEN kind = 'text' THEN CASE WHEN NOT length(_word) BETWEEN 2 AND 80 THEN 'TEXT_LENGTH' END
+        WHEN kind = 'enum' THEN CASE WHEN _word IS NULL THEN 'NOT_AN_ANSWER' END WHEN kind = 'choice' THEN CASE WHEN _word IS NULL THEN 'NOT_A_CHOICE' END
+        WHEN kind = 'date' THEN CASE WHEN _iso IS NULL THEN 'DATE_FORMAT' WHEN _day IS NULL THEN 'DATE_INVALID' END
+        WHEN kind = 'gestational_age' AND lower(_text) RLIKE r'{GA_DECIMAL}' THEN 'GA_DECIMAL' WHEN kind = 'gestational_age' AND _parts IS NULL THEN 'GA_FORMAT'
+        WHEN kind = 'gestational_age' AND _days > 6 THEN 'GA_DAYS' WHEN {numeric} AND _num IS NULL THEN 'NOT_A_NUMBER'
+        WHEN kind = 'int' AND _num <> floor(_num) THEN 'NOT_WHOLE' WHEN kind = 'bp' AND abs(_num - rint(_num)) > 5e-7D THEN 'NOT_WHOLE'
+        WHEN _num < minimum THEN 'RANGE_LOW' WHEN _num > maximum THEN 'RANGE_HIGH' END"""), "_num": e("CASE WHEN kind = 'bp' THEN rint(_num) ELSE _num END")})
+    rows = rows.withColumn("_error", F.when(F.col("_error").isNull() & (F.col("_day") > as_of), "DATE_FUTURE").otherwise(F.col("_error")))
+    rows = rows.withColumn("_value", e(r"coalesce(_word, _iso, regexp_replace(CAST(CAST(_num AS DECIMAL(18, 6)) AS STRING), r'\.?0+$', ''))"))
+    made = e("""named_struct('value', CASE WHEN _error IS NULL THEN _value END, 'value_num', CASE WHEN _error IS NULL THEN _num END,
+        'value_date', CASE WHEN _error IS NULL THEN _day END, 'error', CASE WHEN _error IS NULL AND _value IS NULL THEN 'UNKNOWN_KIND' ELSE _error END)""")
     for name, parse in (extra or {}).items():
-        chain = F.when((kind == name) & (t != ""), parse(t)) if chain is None else chain.when((kind == name) & (t != ""), parse(t))
-    made = known if chain is None else chain.otherwise(known)
-    return rows.withColumn(out, made).drop("_text", "_bare", "_iso", "_parts", "_word", "_num", "_day", "_weeks", "_days", "_error")
+        made = F.when((F.col("kind") == name) & (F.col("_text") != ""), parse(F.col("_text"))).otherwise(made)
+    return rows.withColumn(out, made).drop("_text", "_bare", "_iso", "_parts", "_choice", "_word", "_num", "_day", "_weeks", "_days", "_error", "_value")
 
 
 def catalog_with_spellings(catalog: DataFrame, spellings: DataFrame) -> DataFrame:

@@ -78,6 +78,23 @@ def half_even_of(number: Column, decimals: int) -> Column:
     return F.when(near_tie, steps / (10.0 ** decimals)).otherwise(F.bround(number, decimals))
 
 
+def half_even_sql(name: str, decimals: int) -> str:
+    """`half_even_of` of a named column as SQL text, which is parsed in one step where a plan is built from many columns."""
+    scale = 2.0 * 10.0 ** decimals
+    split = 134217729.0
+    scale_high = split * scale - (split * scale - scale)
+    n, s, k = name, f"{scale!r}D", f"{split!r}D"
+    high = f"({n} * {k} - ({n} * {k} - {n}))"
+    low = f"({n} - {high})"
+    error = f"((({high} * {scale_high!r}D - {n} * {s}) + {high} * {scale - scale_high!r}D + {low} * {scale_high!r}D) + {low} * {scale - scale_high!r}D)"
+    nearest = f"rint({n} * {s})"
+    side = f"signum(({n} * {s} - {nearest}) + {error})"
+    below = f"(({nearest} - 1.0D) / 2.0D)"
+    steps = f"{below} + CASE WHEN {side} = 0 THEN pmod({below}, 2.0D) ELSE ({side} + 1.0D) / 2.0D END"
+    return (f"CASE WHEN pmod({nearest}, 2.0D) = 1.0D AND abs({n} * {s} - {nearest}) < 1e-6D THEN ({steps}) / {10.0 ** decimals!r}D "
+            f"ELSE bround({n}, {decimals}) END")
+
+
 def round_half_even(number: Column, decimals: int) -> Column:
     """`half_even_of` for any expression, which is evaluated once."""
     return let(number, lambda n: half_even_of(n, decimals))

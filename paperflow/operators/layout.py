@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.text import let, norm, strip
+from ..functions.text import norm, strip
 from ..scale import text_blocks
 
 PAGE = ["document_id", "page_ref"]
@@ -62,14 +62,19 @@ def detect_pii(lines: DataFrame, labels: list[tuple[str, str]] = C.PII_LABELS, k
 
 # ------------------------------------------------------------------ geometry
 
-def header_kind(text: Column) -> Column:
-    """Whether a line reads as the header of a visit column or of a month column."""
-    return let(norm(text), lambda n: F.when(n.rlike(f"^(?:{C.VISIT_HEADER})$"), "visit").when(n.rlike(f"^(?:{C.MONTH_HEADER})$"), "month"))
+VISIT, MONTH = f"^(?:{C.VISIT_HEADER})$", f"^(?:{C.MONTH_HEADER})$"
+
+
+def header_lines(lines: DataFrame) -> DataFrame:
+    """The lines that read as the header of a visit column or of a month column, with `visit` telling which."""
+    label = F.col("label")
+    return (lines.withColumn("label", norm(F.col("text"))).where(label.rlike(VISIT) | label.rlike(MONTH))
+            .withColumn("visit", label.rlike(VISIT)))
 
 
 def skew(lines: DataFrame) -> DataFrame:
     """Slope of the header row per page in radians; only pages with four anchors and a plausible slope."""
-    anchors = with_centres(lines).where(header_kind(F.col("text")).isNotNull())
+    anchors = header_lines(with_centres(lines))
     slope = anchors.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("cy", "cx").alias("slope"))
     angle = F.atan("slope")
     return slope.where((F.col("n") >= 4) & F.col("slope").isNotNull() & (F.abs(angle) <= C.MAX_SKEW_RADIANS)).select(
@@ -96,8 +101,8 @@ def find_grid(lines: DataFrame) -> DataFrame:
     headers go no further, so the second pass looks at row labels of accepted pages only.
     """
     centred = with_centres(lines)
-    anchors = centred.withColumn("kind", header_kind(F.col("text"))).where("kind IS NOT NULL")
-    visit, month = F.col("kind") == "visit", F.col("kind") == "month"
+    anchors = header_lines(centred)
+    visit, month = F.col("visit"), ~F.col("visit")
     heads = anchors.groupBy(*PAGE).agg(
         F.count_if(visit).alias("visits"), F.count_if(month).alias("months"),
         F.max(F.when(visit, F.col("x0"))).alias("last_visit"), F.min(F.when(month, F.col("x0"))).alias("first_month"),
@@ -165,41 +170,56 @@ def split_words(lines: DataFrame, keep: Column | None = None) -> DataFrame:
                          (F.col("_split") & ~F.col("_piece.word").rlike("[0-9]")).alias("weak"))
 
 
-def assign_cells(lines: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pieces of text per page, slot and row; cells touched by a box that spans columns).
+def assign_cells(lines: DataFrame, grids: DataFrame) -> DataFrame:
+    """Pieces of text per page, slot and row. A box that spans columns is cut into words, and each cell it touches
+    also gets a row without text whose `spans` is true.
 
     The range join is an equi join on the page whose grid rides along as two short arrays, so a line is compared with
     the rows and columns of its own page only and nothing is multiplied.
     """
     placed = with_centres(lines).join(grids, PAGE).where(F.col("cy") > F.col("header_bottom"))
     width = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6))
-    row = F.try_element_at(F.filter("rows", lambda r: (F.col("cy") >= r["top"]) & (F.col("cy") < r["bottom"])), F.lit(1))
+    row = F.try_element_at(F.filter("rows", lambda r: (F.col("cy") >= r["top"]) & (F.col("cy") < r["bottom"])), F.lit(1))["row"]
+    banded = placed.withColumn("row", row).where("row IS NOT NULL")
     touched = F.filter("columns", lambda c: (F.least(F.col("x1"), c["right"]) - F.greatest(F.col("x0"), c["left"])) > C.SPAN_SHARE * width)
-    banded = placed.withColumns({"row": row["row"], "touched": F.transform(touched, lambda c: c["slot"])}).where("row IS NOT NULL")
-    spanning = banded.where(F.size("touched") > 1).select(*PAGE, F.explode("touched").alias("slot"), "row").distinct()
-    pieces = split_words(banded.select(*lines.columns, "row", "touched", "columns"), F.size("touched") < 2)
+    banded = banded.withColumn("touched", F.transform(touched, lambda c: c["slot"]))
+    across = F.size("touched") > 1
+    words = words_with_offsets(F.col("text"))
+    none = F.lit(None)
+
+    def piece(word, start, stop, slot, weak, spans):
+        return F.struct(word.cast("string").alias("text"), start.cast("double").alias("start"), stop.cast("double").alias("stop"),
+                        slot.cast("string").alias("slot"), weak.cast("boolean").alias("weak"), spans.cast("boolean").alias("spans"))
+
+    whole = piece(F.col("text"), F.lit(0.0), F.lit(1.0), none, across & ~F.col("text").rlike("[0-9]"), F.lit(False))
+    cut = F.transform(words, lambda w: piece(w["word"], w["start"], w["stop"], none, ~w["word"].rlike("[0-9]"), F.lit(False)))
+    marks = F.transform("touched", lambda s: piece(none, none, none, s, none, F.lit(True)))
+    pieces = F.when(~across, F.array(whole)).otherwise(F.concat(F.when(F.size(words) < 2, F.array(whole)).otherwise(cut), marks))
+    rest = [c for c in lines.columns if c not in ("text", "x0", "x1")]
+    spread = banded.select(*rest, "row", "columns", "x0", "x1", F.explode(pieces).alias("p"))
+    x0, x1 = (F.col("x0") + F.col(f"p.{side}") * (F.col("x1") - F.col("x0")) for side in ("start", "stop"))
+    placed = spread.select(*rest, "row", "columns", F.col("p.text").alias("text"), x0.alias("x0"), x1.alias("x1"), "p.slot", "p.weak", "p.spans")
     middle = (F.col("x0") + F.col("x1")) / 2
     slot = F.try_element_at(F.filter("columns", lambda c: (middle >= c["left"]) & (middle < c["right"])), F.lit(1))["slot"]
-    return pieces.withColumn("slot", slot).where("slot IS NOT NULL").drop("touched", "columns"), spanning
+    return placed.withColumn("slot", F.when(F.col("spans"), F.col("slot")).otherwise(slot)).where("slot IS NOT NULL").drop("columns")
 
 
-def grid_cells(pieces: DataFrame, spanning: DataFrame, grids: DataFrame) -> DataFrame:
+def grid_cells(pieces: DataFrame, grids: DataFrame) -> DataFrame:
     """Every cell of every grid with its text in reading order, lowest confidence, box, and doubts; also empty cells."""
     has_source = "sx0" in pieces.columns
-    box = {c: (f"s{c}" if has_source else c) for c in ("x0", "y0", "x1", "y1")}
+    read = ~F.col("spans")
+    box = {c: F.when(read, F.col(f"s{c}" if has_source else c)) for c in ("x0", "y0", "x1", "y1")}
     filled = pieces.groupBy(*PAGE, "slot", "row").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("x0"), F.col("line_no"), F.col("text"), F.col("weak")))).alias("items"),
-        F.min("confidence").alias("confidence"), F.min(box["x0"]).alias("bx0"), F.min(box["y0"]).alias("by0"),
-        F.max(box["x1"]).alias("bx1"), F.max(box["y1"]).alias("by1"))
+        F.array_sort(F.collect_list(F.when(read, F.struct(F.col("x0"), F.col("line_no"), F.col("text"), F.col("weak"))))).alias("items"),
+        F.min(F.when(read, F.col("confidence"))).alias("confidence"), F.min(box["x0"]).alias("bx0"), F.min(box["y0"]).alias("by0"),
+        F.max(box["x1"]).alias("bx1"), F.max(box["y1"]).alias("by1"), F.bool_or("spans").alias("spans"))
+    strong = F.array_join(F.transform(F.filter("items", lambda i: ~i["weak"]), lambda i: i["text"]), " ")
+    filled = filled.withColumns({"text": strip(F.array_join(F.transform("items", lambda i: i["text"]), " ")), "strong_text": strip(strong)}).drop("items")
     every = grids.select(*PAGE, "header_bottom", F.explode("columns").alias("c"), "rows").select(
         *PAGE, "header_bottom", "c.slot", "c.left", "c.right", F.explode("rows").alias("r")).select(
         *PAGE, "slot", "r.row", "left", F.greatest("r.top", "header_bottom").alias("top"), "right", F.col("r.bottom").alias("bottom"))
-    spans = spanning.withColumn("spans", F.lit(True))
-    strong = F.array_join(F.transform(F.filter("items", lambda i: ~i["weak"]), lambda i: i["text"]), " ")
-    return (every.join(filled, [*PAGE, "slot", "row"], "left").join(spans, [*PAGE, "slot", "row"], "left")
-            .withColumns({"text": strip(F.array_join(F.transform("items", lambda i: i["text"]), " ")),
-                          "strong_text": strip(F.coalesce(strong, F.lit(""))), "spans": F.coalesce("spans", F.lit(False))})
-            .drop("items"))
+    return every.join(filled, [*PAGE, "slot", "row"], "left").withColumns({
+        "strong_text": F.coalesce("strong_text", F.lit("")), "spans": F.coalesce("spans", F.lit(False))})
 
 
 def image_rect(cells: DataFrame, angle: str = "angle") -> DataFrame:

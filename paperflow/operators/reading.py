@@ -28,14 +28,11 @@ def add_flag(flags: Column, test: Column, flag: str) -> Column:
 
 def reading_catalog(catalog: DataFrame, spellings: DataFrame) -> DataFrame:
     """The catalog with each field's spellings and the number pattern its cells are searched for."""
-    def pattern(i):
-        chain = None
-        for name, pair in {**C.NUMBER_PATTERNS}.items():
-            chain = F.when(F.col("field") == name, pair[i]) if chain is None else chain.when(F.col("field") == name, pair[i])
-        for kind, pair in C.KIND_PATTERNS.items():
-            chain = chain.when(F.col("kind") == kind, pair[i])
-        return chain.otherwise((".+", "")[i])
-    return N.catalog_with_spellings(catalog, spellings).withColumns({"pattern": pattern(0), "suffix": pattern(1)})
+    def pattern(i, other):
+        cases = [f"WHEN field = '{n}' THEN {C.literal(pair[i])}" for n, pair in C.NUMBER_PATTERNS.items()]
+        cases += [f"WHEN kind = '{k}' THEN {C.literal(pair[i])}" for k, pair in C.KIND_PATTERNS.items()]
+        return F.expr(f"CASE {' '.join(cases)} ELSE '{other}' END")
+    return N.catalog_with_spellings(catalog, spellings).withColumns({"pattern": pattern(0, ".+"), "suffix": pattern(1, "")})
 
 
 def blank_or_dash(text: Column, confidence: Column, empty: Column, required: Column) -> Column:

@@ -42,15 +42,26 @@ def cell_texts() -> F.Column:
         F.when(F.col("l_linestatus") == "O", "NEG").otherwise(""), F.concat((q % 10 + 8).cast("string"), F.lit(",5")), F.lit("0,9 g/l"), F.lit("pos"))
 
 
-_LINES: dict[tuple, DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(t: Tables, name: str, make) -> DataFrame:
+    """A derived table that stands for a stored one: made once per session and folder, spread evenly over the cores."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _KEPT:
+        parts = max(8, 2 * t.spark.sparkContext.defaultParallelism)
+        _KEPT[key] = make(t).repartition(parts, "document_id", "page_ref").persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[key]
 
 
 def ocr_lines(t: Tables) -> DataFrame:
-    """All recognised lines of all pages. Stands for a stored table, so it is kept once per session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _LINES:
-        _LINES[key] = _make_lines(t).persist(StorageLevel.DISK_ONLY)
-    return _LINES[key]
+    """All recognised lines of all pages."""
+    return kept(t, "lines", _make_lines)
+
+
+def identification_lines(t: Tables) -> DataFrame:
+    """Lines of an identification page per order."""
+    return kept(t, "identification", _make_identification)
 
 
 def _make_lines(t: Tables) -> DataFrame:
@@ -84,7 +95,7 @@ def slot(number: str = "l_linenumber") -> F.Column:
 SLOT_SQL = "CASE l_linenumber " + " ".join(f"WHEN {i + 1} THEN '{s}'" for i, s in enumerate(C.GRID_SLOTS)) + " END"
 
 
-def identification_lines(t: Tables) -> DataFrame:
+def _make_identification(t: Tables) -> DataFrame:
     """An identification page per order: a table of earlier pregnancies and one of earlier deliveries, a column per line."""
     def rows(df, no, words, x, y, w=60.0):
         lit = lambda v: v.cast("double") if hasattr(v, "cast") else F.lit(float(v))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..operators import layout as P
 from ..operators import reading as R
-from .forms import COPIES_SQL, SLOT_SQL, identification_lines, ocr_lines
+from .forms import COPIES_SQL, SLOT_SQL, identification_lines, kept, ocr_lines
 from .registry import Tables, query
 
 PAGE_SQL = "l_orderkey || '-' || page_no"
@@ -74,12 +74,16 @@ def find_grid(t):
                     px(F.col("header_bottom"), "header_bottom"), px(F.col("rows")[0]["top"], "first_top"), px(F.col("rows")[9]["bottom"], "last_bottom"))
 
 
+def located(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Straightened lines and grids as stored tables, since several steps read them."""
+    lines = kept(t, "straight", straight)
+    return lines, kept(t, "grids", lambda _t: P.find_grid(lines))
+
+
 def read_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(cells of all grids, straightened lines)."""
-    lines = straight(t)
-    grids = P.find_grid(lines)
-    pieces, spanning = P.assign_cells(lines, grids)
-    cells = P.grid_cells(pieces, spanning, grids).withColumns({
+    lines, grids = located(t)
+    cells = P.grid_cells(P.assign_cells(lines, grids), grids).withColumns({
         "ix0": F.lit(1.0), "iy0": F.lit(1.0), "ix1": F.lit(2.0), "iy1": F.lit(2.0), "width": F.lit(2000), "height": F.lit(2000), "has_image": F.lit(True),
         # The share of ink in an empty cell: written on in some columns.
         "ink_share": F.when((F.col("slot") == "M9") & (F.col("row") == "weight_kg"), 0.05).otherwise(0.001)})
@@ -95,9 +99,7 @@ cells AS (SELECT page_ref, slot, q, conf, l_returnflag, l_linestatus, l_shipdate
 
 @query("p7_assign_cells", f"WITH {CELLS_SQL} SELECT page_ref, slot, row, text FROM cells WHERE text <> ''")
 def assign_cells(t):
-    lines = straight(t)
-    pieces, _spanning = P.assign_cells(lines, P.find_grid(lines))
-    return pieces.select("page_ref", "slot", "row", "text")
+    return P.assign_cells(*located(t)).where("NOT spans").select("page_ref", "slot", "row", "text")
 
 
 @query("p8_split_words", """
@@ -155,7 +157,7 @@ def as_of():
 SELECT page_ref, 'last_menstrual_period' AS field, strftime(o_orderdate, '%Y-%m-%d') AS value, 'KNOWN' AS field_status, '' AS flags FROM p JOIN orders ON o_orderkey = l_orderkey
 UNION ALL SELECT page_ref, 'height_cm', '', 'NEEDS_REVIEW', 'OCR_LABEL_NOT_FOUND' FROM p""")
 def labelled(t):
-    lines = straight(t)
+    lines = kept(t, "straight", straight)
     section = lines.select("document_id", "page_ref").distinct().withColumn("section", F.lit("current_pregnancy"))
     fv = R.read_labelled(lines, section, reading_table(t), as_of())
     return fv.select("page_ref", "field", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"))

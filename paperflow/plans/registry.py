@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -21,7 +23,7 @@ class Tables:
 def query(name: str, sql: str | None = None):
     """Register a query over `Tables`; `sql` is the same result in ANSI SQL."""
     def add(make: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: make(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: make(Tables(tune(spark), folder))
         if sql is not None:
             ORACLE[name] = sql
         return make

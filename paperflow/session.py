@@ -19,6 +19,21 @@ RECOMMENDED = {
 }
 
 
+# Settings of a running session that the plans here depend on for speed, not for results.
+RUNTIME = {
+    # The JVM does not compile methods above 8000 bytes; wide rule projections then run as split, compiled functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows are small but rules are many: keep reduce tasks parallel also when the shuffled bytes are few.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "8", app: str = "paperflow") -> SparkSession:
     """A session for tests and the benchmark on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
