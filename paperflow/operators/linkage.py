@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..scale import numbered, salted_join
+from ..scale import numbered
 
 KEYS = C.KEY_FIELDS
 
@@ -15,7 +15,8 @@ def candidates(documents: DataFrame, patients: DataFrame) -> DataFrame:
     """L1: patients of the document's facility that hold one of its link keys.
 
     Two equi joins and a union, one per key (an OR condition would be a Cartesian product). A key is held by at most one
-    patient of a facility, so a document has at most two candidates; rows are spread by document against hot keys.
+    patient of a facility, so a document has at most two candidates. A key that very many documents carry makes a skewed
+    partition on the document side only, which adaptive execution splits.
     """
     doc = documents.select("document_id", "facility_id", *KEYS)
     pats = patients.select("patient_id", "facility_id", *KEYS)
@@ -23,7 +24,7 @@ def candidates(documents: DataFrame, patients: DataFrame) -> DataFrame:
     for key in KEYS:
         mine = doc.where(F.col(key).isNotNull()).select("document_id", "facility_id", F.col(key).alias("_k"))
         held = pats.where(F.col(key).isNotNull()).select("patient_id", "facility_id", F.col(key).alias("_k"))
-        hit = salted_join(mine, held, ["facility_id", "_k"], "inner", ["document_id"]).select("document_id", "patient_id", F.lit(key).alias("key"))
+        hit = mine.join(held, ["facility_id", "_k"], "inner").select("document_id", "patient_id", F.lit(key).alias("key"))
         found = hit if found is None else found.unionByName(hit)
     pairs = found.groupBy("document_id", "patient_id").agg(*[F.bool_or(F.col("key") == k).alias(f"m_{k}") for k in KEYS])
     full = (pairs.join(doc.select("document_id", *[F.col(k).alias(f"d_{k}") for k in KEYS]), "document_id")
@@ -169,7 +170,7 @@ def create_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     for i, key in enumerate(KEYS):
         held = patients.where(F.col(key).isNotNull()).select("facility_id", F.col(key)).distinct().withColumn(f"_held{i}", F.lit(True))
         first = requests.where(F.col(key).isNotNull()).groupBy("facility_id", key).agg(F.min("seq").alias(f"_first{i}"))
-        judged = salted_join(judged, first.join(held, ["facility_id", key], "left"), ["facility_id", key], "left", ["seq"])
+        judged = judged.join(first.join(held, ["facility_id", key], "left"), ["facility_id", key], "left")
         test = F.when(F.col(f"_held{i}"), "KEY_ALREADY_REGISTERED").when(F.col("seq") > F.col(f"_first{i}"), "KEY_TAKEN_IN_BATCH")
         taken = test if taken is None else F.coalesce(taken, test)
     none = F.col(KEYS[0]).isNull() & F.col(KEYS[1]).isNull()
@@ -209,7 +210,7 @@ def patient_timeline(patients: DataFrame, visits: DataFrame, facilities: DataFra
     head = patients.join(facilities.select("facility_id", F.col("name").alias("facility_name")), "facility_id", "left").select(
         "patient_id", "facility_id", "facility_name")
     sizes = [F.size("history").alias("revisions")] if "history" in visits.columns else []
-    return salted_join(visits, head, ["patient_id"], "inner", ["visit_id"]).select("*", *sizes)
+    return visits.join(head, ["patient_id"], "inner").select("*", *sizes)
 
 
 def compact_fields(fields: Column) -> Column:

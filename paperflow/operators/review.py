@@ -30,7 +30,7 @@ def fold_reviews(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
     the last of them before it; a CONFIRM can only be refused while no such action has been taken yet.
     """
     base = _key(fields).select("_key", F.col("value").alias("_v0"), F.col("field_status").alias("_s0"), F.col("required").alias("_req"))
-    acts = salted_join(_key(actions), base, ["_key"], "left", ["seq"])
+    acts = _key(actions).join(base, ["_key"], "left")
     act = F.col("action")
     reason = (F.when(F.col("_s0").isNull(), "UNKNOWN_FIELD")
               .when((act == "CORRECT") & F.col("error").isNotNull(), "INVALID_VALUE")
@@ -43,7 +43,7 @@ def fold_reviews(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
                      F.when(act == "CORRECT", "KNOWN").otherwise(F.col("field_status")).alias("field_status"))
     checked = checked.withColumns({"_sets": sets, "_after": after})
     first_set = checked.where("_sets").groupBy("_key").agg(F.min("seq").alias("_first_set"))
-    timed = salted_join(checked, first_set, ["_key"], "left", ["seq"])
+    timed = checked.join(first_set, ["_key"], "left")
     untouched = F.col("_first_set").isNull() | (F.col("seq") < F.col("_first_set"))
     refuse = F.when((act == "CONFIRM") & untouched & F.col("_v0").isNull() & F.col("_req"), "VALUE_REQUIRED").when(
         (act == "CONFIRM") & untouched & F.col("_v0").isNull() & (F.col("_s0") == "NEEDS_REVIEW"), "NOTHING_TO_CONFIRM")
@@ -68,7 +68,7 @@ def fold_reviews(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
     # A correction keeps what was there: the setter before it, or the value as read (KNOWN if it had been confirmed).
     setters = neighbour(good.where("_sets"), ["_key"], ["seq"], block("seq", SEQ_BLOCK), ["_after"], "_prev")
     confirmed_first = good.where("action = 'CONFIRM'").groupBy("_key").agg(F.min("seq").alias("_confirm"))
-    told = salted_join(setters, confirmed_first, ["_key"], "left", ["seq"])
+    told = setters.join(confirmed_first, ["_key"], "left")
     before = F.when(F.col("_prev").isNotNull(), F.col("_prev._after")).otherwise(F.struct(
         F.col("_v0").alias("value"), F.when((F.col("_confirm") < F.col("seq")) & (F.col("_s0") == "NEEDS_REVIEW"), "KNOWN")
         .otherwise(F.col("_s0")).alias("field_status")))
@@ -143,7 +143,7 @@ def reject_stale(commands: DataFrame, documents: DataFrame, key: str = "command_
     """A verdict per command: the revision must be given and current, and the first command on it wins."""
     current = documents.select("document_id", F.col("revision").alias("_now"))
     winners = commands.groupBy("document_id", "expected_revision").agg(F.min(key).alias(key)).select(key, F.lit(True).alias("_first"))
-    joined = salted_join(commands, current, ["document_id"], "left", [key]).join(winners, key, "left")
+    joined = commands.join(current, ["document_id"], "left").join(winners, key, "left")
     verdict = (F.when(F.col("_now").isNull(), "UNKNOWN_DOCUMENT").when(F.col("expected_revision").isNull(), "REVISION_REQUIRED")
                .when(F.col("expected_revision") != F.col("_now"), "STALE").when(F.col("_first").isNull(), "STALE").otherwise("ACCEPTED"))
     return joined.withColumn("verdict", verdict).drop("_now", "_first")
@@ -154,8 +154,8 @@ def select_patient(commands: DataFrame, documents: DataFrame, patients: DataFram
     link key, which drops the selection."""
     docs = documents.select("document_id", F.col("facility_id").alias("_df"))
     pats = patients.select("patient_id", F.col("facility_id").alias("_pf"))
-    joined = salted_join(commands, docs, ["document_id"], "left", ["seq"])
-    joined = salted_join(joined, pats, ["patient_id"], "left", ["seq"])
+    joined = commands.join(docs, ["document_id"], "left")
+    joined = joined.join(pats, ["patient_id"], "left")
     reason = (F.when(F.col("_df").isNull(), "UNKNOWN_DOCUMENT").when(~F.col("choice").isin("EXISTING", "NEW", "UNSURE", "CLEAR"), "UNKNOWN_CHOICE")
               .when((F.col("choice") == "EXISTING") & F.col("_pf").isNull(), "PATIENT_NOT_FOUND")
               .when((F.col("choice") == "EXISTING") & (F.col("_pf") != F.col("_df")), "OTHER_FACILITY"))
@@ -178,7 +178,7 @@ def fold_retakes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     pending = F.coalesce(F.col("_before.type") == "REQUEST", F.lit(False))
     marked = near.withColumn("_pending", pending).drop("_before")
     done = marked.where("type = 'PHOTO' AND _pending").groupBy("page_id").agg(F.min("seq").alias("_done"))
-    live = salted_join(marked, done, ["page_id"], "left", ["seq"]).withColumn(
+    live = marked.join(done, ["page_id"], "left").withColumn(
         "_over", F.coalesce(F.col("seq") > F.col("_done"), F.lit(False))).drop("_done")
     opens = (F.col("type") == "REQUEST") & ~F.col("_pending") & ~F.col("_over")
     closes = (F.col("type") != "REQUEST") & F.col("_pending") & ~F.col("_over")

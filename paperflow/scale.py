@@ -82,9 +82,10 @@ def text_blocks(lines: DataFrame, keys: list[str], line_no: str, text: str, size
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, spread_by: list[str], salts: int = 32) -> DataFrame:
-    """Join rows with hot keys to a lookup that is unique in `on`: each key is spread over `salts` reduce tasks.
+    """Join rows with hot keys to a small lookup that is unique in `on`: each key is spread over `salts` reduce tasks.
 
-    The salt is a hash of row columns, so a re-run of a lost task gives the same rows.
+    For lookups far smaller than the rows (senders, facilities), since the lookup is repeated `salts` times. Where both
+    sides are large a plain join is used, whose skewed partitions adaptive execution splits at run time. The salt is a hash of row columns, so a re-run of a lost task gives the same rows.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

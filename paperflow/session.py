@@ -25,6 +25,9 @@ RUNTIME = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows are small but rules are many: keep reduce tasks parallel also when the shuffled bytes are few.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # Split the partition of a hot join key, also where that costs one more shuffle after the join.
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
