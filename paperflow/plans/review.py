@@ -226,7 +226,7 @@ def retake_view(t):
 
 def chained_pages(t: Tables) -> DataFrame:
     """An error event is a page replaced by the next event of its user."""
-    from ..scale import neighbour, time_bucket
+    from ..scale import neighbour
     near = neighbour(t.events, ["user_id"], ["event_id"], F.floor(F.col("event_id") / 65_536), ["event_id"], "_next", following=True)
     rows = near.select(F.col("event_id").alias("page_id"), F.col("user_id").alias("document_id"), F.when(F.col("event_type") == "error", F.col("_next.event_id")).alias("replaced_by"), "event_type", "value")
     return rows
