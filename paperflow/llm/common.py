@@ -40,3 +40,24 @@ def ranked(df: DataFrame, order: list[str], out: str, rows_per_task: int = 100_0
     """1, 2, 3, ... over all rows in `order`, each range numbered in a task of its own."""
     parts = max(1, -(-df.count() // rows_per_task))
     return numbered(ranged(df, order, parts), [], order, F.col("_range"), out).drop("_range")
+
+
+def range_bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """At most `ranges` - 1 increasing values that cut an integer column into ranges of about equal row counts."""
+    if ranges < 2:
+        return []
+    steps = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(F.col(column).cast("long"), steps, max(10_000, 20 * ranges)).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def range_number(column: str, bounds: list[int]) -> Column:
+    """How many bounds are at or below the value: its range, from 0 on; null is in range 0. Two short searches, no UDF."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    value = F.col(column).cast("long")
+    block = F.size(F.filter(F.lit([b[0] for b in blocks]).cast("array<bigint>"), lambda x: x <= value)) - 1
+    inner = F.size(F.filter(F.get(F.array(*[F.lit(b).cast("array<bigint>") for b in blocks]), block), lambda x: x <= value))
+    return F.when(value.isNull() | (value < bounds[0]), 0).otherwise(block * step + inner).cast("int")
