@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .block_repeats import dedup_blocks
 from .registry import query, table
 from .suffix_repeats import dedup_suffixes
+from .token_files import read_token_files, shard_starts, write_token_files
 
 BLOCK_SQL = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -32,3 +33,13 @@ def suffix_radix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of repeated strings of 100 bytes removed from all but their first place."""
     return dedup_suffixes(table(spark, folder, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_token_shards")
+def token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents written to indexed binary shards and read back through the index."""
+    import public_tokenizers
+
+    files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    rows, starts = read_token_files(spark, files), shard_starts(spark, files)
+    return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
