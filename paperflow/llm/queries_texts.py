@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .block_repeats import dedup_blocks
+from .language import held_out, language_of, train
 from .registry import query, table
 from .suffix_repeats import dedup_suffixes
 from .token_files import read_token_files, shard_starts, write_token_files
@@ -43,3 +44,11 @@ def token_shards(spark: SparkSession, folder: str) -> DataFrame:
     files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     rows, starts = read_token_files(spark, files), shard_starts(spark, files)
     return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
+@query("op5_language_codes")
+def language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents from classifiers that saw none of the held-out third."""
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", held_out().alias("held_out"), language_of(train(docs.where(~held_out())), F.col("text")).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.ambiguous")
