@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .block_repeats import dedup_blocks
 from .language import held_out, language_of, train
+from .near_duplicates import near_duplicate_classes
 from .registry import query, table
 from .suffix_repeats import dedup_suffixes
 from .token_files import read_token_files, shard_starts, write_token_files
@@ -52,3 +53,9 @@ def language_codes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = docs.select("doc_id", held_out().alias("held_out"), language_of(train(docs.where(~held_out())), F.col("text")).alias("l"))
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score", "l.ambiguous")
+
+
+@query("op1_order_minhash_classes")
+def order_minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicate_classes(table(spark, folder, "documents"))
