@@ -1,9 +1,10 @@
 """Classes of similar items from shared buckets, without all pairs of any bucket.
 
-Every item of a bucket is first compared with the bucket's smallest item only. The links found join items to components;
-then only items of different components still need a comparison. In each bucket that holds several components, the items
-outside its largest one are compared with the others. No pair of a bucket is left out unless both are already known to
-belong together, so the classes are those that comparing every pair would give.
+Every item of a bucket is first compared with one item only, the most central: the one that shares most buckets with most
+others. The links found join items to components; then only items of different components still need a comparison. In
+each bucket that holds several components, the items outside its largest one are compared with the others, except where
+sizes, or pieces that no other item has, already rule a link out. No pair of a bucket is left out unless both are known
+to belong together or cannot be similar, so the classes are those that comparing every pair would give.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -48,22 +50,24 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, bytes], bool], within: float, given: DataFrame | None = None) -> DataFrame:
+def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, bytes], bool], threshold: float,
+           pieces: Callable[[bytes], np.ndarray] | None = None, given: DataFrame | None = None) -> DataFrame:
     """id and label of every item that has a link; items without one are left out.
 
-    `buckets` has rows of (bucket, id, size), `payload` one row (id, data) for each item. Items whose sizes differ by more
-    than the factor `within` cannot be similar. `similar` gets two data values and decides exactly. `given` has links (a, b)
-    that hold without a comparison.
+    `buckets` has rows of (bucket, id, size), `payload` one row (id, data) for each item. `similar` gets two data values and
+    decides exactly. Items whose sizes differ by more than the factor `threshold` cannot be similar. If `pieces` are given,
+    an item is a set of `size` 64-bit values, and two items of n and m values are similar only if they have in common
+    threshold / (1 + threshold) * (n + m). `given` has links (a, b) that hold without a comparison.
     """
     spark = buckets.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PAIR_BYTES))
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("bucket", "head")
-    shared = cut_lineage(buckets.join(heads, "bucket"))
-    involved = broadcast_if_small(cut_lineage(shared.select("id").distinct()))
-    data = cut_lineage(payload.join(involved, "id"))
+    held = buckets.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("bucket", "n")
+    shared = cut_lineage(buckets.join(held, "bucket"))
+    weights = broadcast_if_small(cut_lineage(shared.groupBy("id").agg(F.sum("n").alias("weight"))))
+    data = cut_lineage(payload.join(weights.select("id"), "id"))
 
     def near(a: str, b: str):
-        return (F.least(a, b) >= F.greatest(a, b) * within)
+        return F.least(a, b) >= F.greatest(a, b) * threshold
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
@@ -77,9 +81,10 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
-    sizes = shared.select(F.col("id").alias("head"), F.col("size").alias("head_size")).distinct()
-    first = cut_lineage(shared.where("id <> head").select(F.col("head"), "id", "size").distinct().join(sizes, "head")
-                        .where(near("size", "head_size")).select(F.col("head").alias("a"), F.col("id").alias("b")))
+    heads = shared.join(weights, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "size"), F.struct("weight", "id")).alias("h")).select(
+        "bucket", F.col("h.id").alias("head"), F.col("h.size").alias("head_size"))
+    first = cut_lineage(shared.join(heads, "bucket").where(F.col("id") != F.col("head")).where(near("size", "head_size"))
+                        .select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     found = compared(first)
     found = cut_lineage(found if given is None else found.unionByName(given))
 
@@ -87,17 +92,37 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
     placed = cut_lineage(shared.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")))
     several = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     mixed = cut_lineage(placed.join(several, "bucket"))
+    common = F.lit(True)
+    if pieces is not None:
+        mixed = mixed.join(only_own(data.join(broadcast_if_small(cut_lineage(mixed.select("id").distinct())), "id"), pieces), "id", "left")
+        mixed = cut_lineage(mixed.select("bucket", "id", "size", "label", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")))
+        common = F.least("c", "common") + 1e-9 >= (F.col("s") + F.col("size")) * (threshold / (1 + threshold))
+    else:
+        mixed = mixed.withColumn("common", F.col("size"))
     main = (mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
             .agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     members = mixed.join(main, "bucket")
-    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("label").alias("l"))
-    pair = (F.col("l") != F.col("label")) & near("s", "size") & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
-    more = (out.join(members, "bucket").where(pair).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
+    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("label").alias("l"), F.col("common").alias("c"))
+    pair = (F.col("l") != F.col("label")) & near("s", "size") & common & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
+    more = (out.join(members.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & pair)
+            .select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     also = cut_lineage(compared(cut_lineage(more)))
     if also.isEmpty():
         return labels
     return components(found.unionByName(also))
 
 
+def only_own(data: DataFrame, pieces: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """id and own: how many of an item's pieces no other item of `data` has. An id with several rows is left out."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist()):
+                found = pieces(value).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i, np.int64))], ["piece", "id"])
+
+    single = data.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id")
+    owners = data.select("id", "data").mapInArrow(spread, "piece long, id long").groupBy("piece").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return owners.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own")).join(single, "id")
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -95,6 +95,10 @@ def words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
         a = b
 
 
+def runs_of(text: bytes) -> np.ndarray:
+    return labelled_runs(next(words_of([text])))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest chain of equal labelled runs, in order in both, with positions at most `band` apart."""
     short = min(len(a), len(b))
@@ -162,7 +166,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     texts = source.where("id is not null and data is not null")
     # Rows of one doc_id with several texts are one document, so these texts' owners belong together from the start.
     together = owned.groupBy("id").agg(F.min("owner").alias("b"), F.max("owner").alias("a")).where("a <> b").select("id", "b").join(owned, "id").select(F.col("owner").alias("a"), "b")
-    labels = linked(buckets, texts, similar_texts, SIMILARITY, together)
+    labels = linked(buckets, texts, similar_texts, SIMILARITY, runs_of, together)
 
     classes = owned.join(labels.select(F.col("id").alias("owner"), "label"), "owner", "left").select("id", F.coalesce("label", "owner").alias("class"))
     classes = classes.groupBy("id").agg(F.min("class").alias("class"))
