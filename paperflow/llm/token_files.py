@@ -19,10 +19,13 @@ the order of their texts. A null doc_id comes first. An empty table gives no sha
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,76 +37,116 @@ from ..scale import shared_folder
 from .arrays import mixed
 from .common import range_bounds, range_number
 
-SHARD_BYTES = 8 << 20
-#: Words whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 300_000
+SHARD_BYTES = 4 << 20
+#: Pieces whose ids a worker remembers; when full it starts anew. Bytes of text it splits at a time.
+REMEMBERED = 500_000
+CHUNK = 4 << 20
 SHARD = "shard int, n_docs long, n_ids long, payload binary, keys array<long>, displace binary, slots binary"
 SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<i8"), ("length", "<i8")])
 NULL_KEY = np.uint64(0x6E756C6C)
-#: Letters that the tokenizer's normalizer only lowers, and marks that end a word without joining it.
-LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+#: Letters that the normalizer at most lowers (a-z and those of Latin-1), and marks that end a word without joining it.
+PLAIN_BODY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 MARKS = b".,;:!?%*#$&|)"
 
 
+def _byte_characters() -> list[str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
+    kept, others = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)], 0
+    out = []
+    for b in range(256):
+        out.append(chr(b) if b in kept else chr(256 + others))
+        others += b not in kept
+    return out
+
+
 class WordEncoder:
-    """Ids of texts by words. The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn."""
+    """Ids of texts by words. The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn.
+
+    A word of plain letters with marks behind it is two pieces to the tokenizer, a run of letters and a run of marks, and
+    all its normalizer does to them is to lower the letters. Such pieces are looked up in the tokenizer's model directly
+    and remembered; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.characters = Tokenizer.from_file(path), _byte_characters()
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Look up new words. Plain lower-case words with marks behind them are two pieces to the tokenizer: a run of
-        letters and a run of marks, and its normalizer leaves both as they are, so its model is asked directly."""
-        model, pieces = self.tokenizer.model, {}
-        other = []
-        for word in words:
+        self.bodies: dict[bytes, int] = {}
+        self.whole: dict[bytes, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def keep(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 2
+
+    def piece(self, text: str) -> int:
+        written = text if text.isascii() else "".join([self.characters[b] for b in text.encode()])
+        return self.keep([t.id for t in self.tokenizer.model.tokenize(written)])
+
+    def pieces(self, words: list[bytes]) -> np.ndarray:
+        """Two pieces for each word, the second -1 if there is none."""
+        first, second, unknown = [], [-1] * len(words), []
+        bodies, whole = self.bodies, self.whole
+        for k, word in enumerate(words):
             body = word.rstrip(MARKS)
-            if body and not body.lower().strip(LETTERS):
-                found = []
-                for piece in (body.lower(), word[len(body):]):
-                    if piece and piece not in pieces:
-                        pieces[piece] = [t.id for t in model.tokenize(piece.decode())]
-                    found += pieces.get(piece, [])
-                self.at[word] = len(self.ids)
-                self.ids.append(found)
-            else:
-                other.append(word)
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        for word, e in zip(other, encoded):
-            self.at[word] = len(self.ids)
-            self.ids.append(e.ids)
+            low = body.lower()
+            at = bodies.get(low)
+            if at is None:
+                at = whole.get(word)
+                if at is not None:
+                    first.append(at)
+                    continue
+                if not PLAIN_BODY.fullmatch(low):
+                    unknown.append(k)
+                    first.append(-1)
+                    continue
+                at = bodies[low] = self.piece(low.decode().lower())
+            first.append(at)
+            if len(body) < len(word):
+                marks = word[len(body):]
+                at = whole.get(marks)
+                if at is None:
+                    at = whole[marks] = self.piece(marks.decode())
+                second[k] = at
+        encoded = self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in unknown], add_special_tokens=False)
+        for k, e in zip(unknown, encoded):
+            first[k] = whole[words[k]] = self.keep(e.ids)
+        return np.array([first, second], np.int64).reshape(2, -1).T
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text followed by the end id, and the number of ids of each text."""
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.at) if split else set()
-        if len(self.at) + len(new) > REMEMBERED:
+        parts, counts, a = [], [], 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK):
+                size += len(texts[b])
+                b += 1
+            ids, lengths = self.some(texts[a:b], end_id)
+            parts.append(ids)
+            counts.append(lengths)
+            a = b
+        return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
+
+    def some(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ends) > REMEMBERED:
             self.forget()
-            new = set().union(*split)
-        self.learn(sorted(new))
-        if b"\n" not in self.at:
-            self.at[b"\n"] = len(self.ids)  # no word is a line break; it stands for the end
-            self.ids.append([end_id])
-        if len(self.offsets) != len(self.ids) + 1:
-            fresh = self.ids[len(self.offsets) - 1:]
-            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.flat = np.concatenate((self.flat, np.array([i for ids in fresh for i in ids], np.uint32)))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-        look = self.at.__getitem__
-        index = np.fromiter((i for words in split for i in (*map(look, words), self.at[b"\n"])), np.int64, sum(map(len, split)) + len(split))
-        sizes = self.offsets[index + 1] - self.offsets[index]
-        ends = np.cumsum(sizes)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offsets[index] - (ends - sizes), sizes)
-        last = np.cumsum([len(words) + 1 for words in split]) - 1
-        return self.flat[where], np.diff(ends[last], prepend=0)
+        split = [t.split() for t in texts]
+        index = {w: k for k, w in enumerate(set().union(*split))}
+        pieces = np.concatenate((self.pieces(list(index)), [[self.keep([end_id]), -1]]))
+        counts = np.array([len(words) for words in split])
+        order = np.insert(np.array(list(map(index.__getitem__, chain.from_iterable(split))), np.int64), np.cumsum(counts), len(index))
+        used = pieces[order]
+        flat, ends = np.frombuffer(self.ids, np.uint32).copy(), np.frombuffer(self.ends, np.int64).copy()
+        sizes = np.where(used >= 0, ends[used + 1] - ends[used], 0)
+        length, begin = sizes.ravel(), ends[used].ravel()
+        upto = np.cumsum(length)
+        where = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - length), length)
+        last = 2 * np.cumsum(counts + 1) - 1
+        return flat[where], np.diff(upto[last], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:
