@@ -9,23 +9,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters that fold to one ASCII letter, from the Unicode decomposition rule rather than a written table.
-_FOLDS = {}
-for _code in range(0x80, 0x2100):
-    _plain = unicodedata.normalize("NFKD", chr(_code)).encode("ascii", "ignore").decode()
+# Letters and their ASCII forms, from the Unicode decomposition rule rather than a written table: those that fold to one
+# character are translated, those that fold to several (ligatures, fractions, signs like the numero sign) are looked up.
+_FOLDS, _SPREAD = {}, {}
+for _code in range(0x80, 0x10000):
+    _plain = unicodedata.normalize("NFKD", chr(_code)).encode("ascii", "ignore").decode() if not 0xD800 <= _code < 0xE000 else ""
     if len(_plain) == 1:
         _FOLDS[chr(_code)] = _plain
+    elif _plain:
+        _SPREAD[chr(_code)] = _plain
 _FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
+_SPREAD_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPREAD) + "]"
+_SPREAD_TEXT = "\x01".join(f"{c}\x02{plain}" for c, plain in _SPREAD.items())
+#: White space beyond ASCII, as typed by French keyboards and office programs.
+BLANKS = "".join(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def plain_blanks(text: Column) -> Column:
+    """Every kind of blank as a space, so that patterns for white space meet them."""
+    return F.when(is_ascii(text), text).otherwise(F.translate(text, BLANKS, " " * len(BLANKS)))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(plain_blanks(text), r"^\s+|\s+$", "")
 
 
 def fold(text: Column) -> Column:
-    """ASCII form of Latin text; what has no ASCII form is dropped. Stays in generated code."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.when(ascii_only, text).otherwise(F.regexp_replace(F.translate(text, _FROM, _TO), r"[^\x00-\x7F]", ""))
+    """ASCII form of a text by full decomposition; what has no ASCII form is dropped. Stays on the JVM."""
+    forms = F.str_to_map(F.lit(_SPREAD_TEXT), F.lit("\x01"), F.lit("\x02"))
+    spread = F.when(text.rlike(_SPREAD_CLASS), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(forms, c), c)), "")).otherwise(text)
+    return F.when(is_ascii(text), text).otherwise(F.regexp_replace(F.translate(spread, _FROM, _TO), r"[^\x00-\x7F]", ""))
 
 
 @F.pandas_udf(StringType())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.text import norm, strip
-from ..scale import text_blocks
+from ..scale import joined_text
 
 PAGE = ["document_id", "page_ref"]
 
@@ -26,8 +26,8 @@ def with_centres(lines: DataFrame) -> DataFrame:
 def page_signs(lines: DataFrame, signs: list[tuple[str, str]], keys: list[str] = PAGE, normalised: bool = False) -> DataFrame:
     """One boolean column `s<i>` per pattern: does the text of the page contain it, also across line ends."""
     text = F.col("text") if normalised else norm(F.col("text"))
-    blocks = text_blocks(lines.select(*keys, "line_no", text.alias("text")), keys, "line_no", "text")
-    return blocks.groupBy(*keys).agg(*[F.bool_or(F.col("text").rlike(p)).alias(f"s{i}") for i, (_l, p) in enumerate(signs)])
+    pages = joined_text(lines.select(*keys, "line_no", text.alias("text")), keys, "line_no", "text")
+    return pages.select(*keys, *[F.col("text").rlike(p).alias(f"s{i}") for i, (_l, p) in enumerate(signs)])
 
 
 def detect_section(lines: DataFrame, grids: DataFrame | None = None, signs: list[tuple[str, str]] = C.SECTION_SIGNS,

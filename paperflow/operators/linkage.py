@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..scale import numbered
+from ..scale import cut_lineage, numbered
 
 KEYS = C.KEY_FIELDS
 
@@ -164,31 +164,62 @@ def upsert_visits(visits: DataFrame, accepted: DataFrame) -> tuple[DataFrame, Da
 
 def create_patients(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """Verdict per explicit NEW: refused when a key is held in the facility, or was taken by an earlier request of the
-    batch; NO_LINK_KEY when it has none. The first request on a key wins (a minimum, not a sort)."""
-    judged = requests
-    taken = None
-    for i, key in enumerate(KEYS):
-        held = patients.where(F.col(key).isNotNull()).select("facility_id", F.col(key)).distinct().withColumn(f"_held{i}", F.lit(True))
-        first = requests.where(F.col(key).isNotNull()).groupBy("facility_id", key).agg(F.min("seq").alias(f"_first{i}"))
-        judged = judged.join(first.join(held, ["facility_id", key], "left"), ["facility_id", key], "left")
-        test = F.when(F.col(f"_held{i}"), "KEY_ALREADY_REGISTERED").when(F.col("seq") > F.col(f"_first{i}"), "KEY_TAKEN_IN_BATCH")
-        taken = test if taken is None else F.coalesce(taken, test)
+    batch; NO_LINK_KEY when it has none. A refused request takes no key, as if the requests came one by one.
+
+    Rounds over the undecided: who is first on all its keys is created and refuses the others on them. Each round decides
+    at least the first request of every facility; with few requests on one key there are few rounds.
+    """
+    rows = requests.select("seq", "facility_id", *KEYS)
+    verdict = None
+    for key in KEYS:
+        held = patients.where(F.col(key).isNotNull()).select("facility_id", key).distinct().withColumn(f"_held_{key}", F.lit(True))
+        rows = rows.join(held, ["facility_id", key], "left")
+        verdict = F.col(f"_held_{key}") if verdict is None else F.coalesce(verdict, F.col(f"_held_{key}"))
+    rows = rows.select("seq", "facility_id", *KEYS, F.when(verdict, "KEY_ALREADY_REGISTERED").alias("verdict"))
+    decided, undecided = rows.where("verdict IS NOT NULL").select("seq", "verdict"), cut_lineage(rows.where("verdict IS NULL").drop("verdict"))
+    while not undecided.isEmpty():
+        first = undecided
+        for key in KEYS:
+            leads = undecided.where(F.col(key).isNotNull()).groupBy("facility_id", key).agg(F.min("seq").alias(f"_first_{key}"))
+            first = first.join(leads, ["facility_id", key], "left")
+        leads_all = [F.coalesce(F.col("seq") == F.col(f"_first_{key}"), F.lit(True)) for key in KEYS]
+        created = cut_lineage(first.where(leads_all[0] & leads_all[1]).select("seq", "facility_id", *KEYS))
+        rest = undecided.join(created.select("seq"), "seq", "left_anti")
+        beaten = None
+        for key in KEYS:
+            taken = created.where(F.col(key).isNotNull()).select("facility_id", key, F.col("seq").alias(f"_by_{key}"))
+            rest = rest.join(taken, ["facility_id", key], "left")
+            test = F.col(f"_by_{key}") < F.col("seq")
+            beaten = F.coalesce(test, F.lit(False)) if beaten is None else beaten | F.coalesce(test, F.lit(False))
+        rest = cut_lineage(rest.select("seq", "facility_id", *KEYS, beaten.alias("_beaten")))
+        decided = cut_lineage(decided.unionByName(created.select("seq", F.lit("CREATED").alias("verdict"))).unionByName(
+            rest.where("_beaten").select("seq", F.lit("KEY_TAKEN_IN_BATCH").alias("verdict"))))
+        undecided = rest.where("NOT _beaten").drop("_beaten")
     none = F.col(KEYS[0]).isNull() & F.col(KEYS[1]).isNull()
-    return judged.select(*requests.columns, F.coalesce(taken, F.lit("CREATED")).alias("verdict"),
-                         F.when(none, F.array(F.lit("NO_LINK_KEY"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    return requests.join(decided, "seq").select(*requests.columns, "verdict",
+                                                F.when(none, F.array(F.lit("NO_LINK_KEY"))).otherwise(F.array().cast("array<string>")).alias("flags"))
 
 
 def fill_keys(patients: DataFrame, documents: DataFrame) -> DataFrame:
     """Patients with missing keys filled from registered documents (patient_id, seq, keys) when nobody in the facility
-    holds the key; nothing is overwritten."""
+    holds the key; nothing is overwritten. Documents count in the order of seq: the earlier offer of a key keeps it, and a
+    patient whose offer is gone gets the next one. Rounds until no offer is open."""
     out = patients
     for key in KEYS:
-        offered = documents.where(F.col(key).isNotNull()).groupBy("patient_id").agg(F.min_by(key, "seq").alias("_offer"))
-        held = patients.where(F.col(key).isNotNull()).select("facility_id", F.col(key).alias("_offer")).distinct().withColumn("_held", F.lit(True))
-        open_ = out.select("patient_id", "facility_id", key).where(F.col(key).isNull()).join(offered, "patient_id").join(held, ["facility_id", "_offer"], "left").where("_held IS NULL")
-        # Two patients offered the same key: the first keeps it.
-        grant = open_.groupBy("facility_id", "_offer").agg(F.min("patient_id").alias("patient_id")).select("patient_id", "_offer")
-        out = out.join(grant, "patient_id", "left").withColumn(key, F.coalesce(key, "_offer")).drop("_offer")
+        held = patients.where(F.col(key).isNotNull()).select("facility_id", F.col(key).alias("_offer")).distinct()
+        offers = documents.where(F.col(key).isNotNull()).select("patient_id", "seq", F.col(key).alias("_offer")).join(
+            out.where(F.col(key).isNull()).select("patient_id", "facility_id"), "patient_id")
+        open_ = cut_lineage(offers.join(held, ["facility_id", "_offer"], "left_anti").groupBy("patient_id", "facility_id", "_offer").agg(F.min("seq").alias("seq")))
+        grants = None
+        while not open_.isEmpty():
+            per_key = open_.groupBy("facility_id", "_offer").agg(F.min(F.struct("seq", "patient_id")).alias("_k"))
+            per_patient = open_.groupBy("patient_id").agg(F.min(F.struct("seq", "_offer")).alias("_p"))
+            won = cut_lineage(open_.join(per_key, ["facility_id", "_offer"]).join(per_patient, "patient_id").where(
+                (F.col("_k.patient_id") == F.col("patient_id")) & (F.col("_p._offer") == F.col("_offer"))).select("patient_id", "facility_id", "_offer"))
+            grants = won if grants is None else cut_lineage(grants.unionByName(won))
+            open_ = cut_lineage(open_.join(won.select("patient_id"), "patient_id", "left_anti").join(won.select("facility_id", "_offer"), ["facility_id", "_offer"], "left_anti"))
+        if grants is not None:
+            out = out.join(grants.select("patient_id", "_offer"), "patient_id", "left").withColumn(key, F.coalesce(key, "_offer")).drop("_offer")
     return out.select(*patients.columns)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .. import catalog as C
 from ..functions.text import backoff_seconds, sender_id
@@ -225,9 +226,14 @@ def waiting_documents(documents: DataFrame, extraction_on: bool = True) -> DataF
 
 
 def number_pages(pages: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
-    """Positions 1..n of the active pages of each document; `bucket` must grow with the order."""
+    """Positions 1..n of the active pages of each document; `bucket` must grow with the order. By default it is an hour
+    of the first order column if that is a time, and a range of it if it is a number; of other types a document is one bucket."""
     active = pages.where(F.col("replaced_by").isNull())
-    return numbered(active, ["document_id"], order, block(order[0], 4096) if bucket is None else bucket, "position")
+    if bucket is None:
+        kind = pages.schema[order[0]].dataType
+        bucket = (time_bucket(order[0], 3600) if kind.typeName().startswith("timestamp") else block(order[0], 4096) if isinstance(kind, NumericType)
+                  else F.lit(0).cast("long"))
+    return numbered(active, ["document_id"], order, bucket, "position")
 
 
 def acknowledge(pages: DataFrame) -> DataFrame:

@@ -222,9 +222,9 @@ def read_labelled(lines: DataFrame, sections: DataFrame, table: DataFrame, as_of
     beside = value_beside(present, lines)
     base = C.DOCUMENT_FIELDS
     cleaned = F.when(F.col("label") == "last_menstrual_period", F.col("value_text")).otherwise(clean_line(F.col("value_text")))
-    cells = beside.select(*PAGE, F.col("label").alias("field"), cleaned.alias("text"), F.col("value_confidence").alias("confidence"),
+    cells = beside.select(*PAGE, F.col("label").alias("field"), cleaned.alias("text"), F.col("value_text").alias("raw"), F.col("value_confidence").alias("confidence"),
                           F.lit("OCR_NO_TEXT").alias("empty_reason"), F.lit(False).alias("spans"))
-    parsed = read_values(cells.where(~F.col("field").isin(base) | (F.col("field") == "last_menstrual_period")), table, as_of)
+    parsed = read_values(cells.where(~F.col("field").isin(base) | (F.col("field") == "last_menstrual_period")).drop("raw"), table, as_of)
     extended = demote(parsed, floor=0.0, always=C.CONFIRM_REQUIRED)
     keys = _read_keys(cells.where(F.col("field").isin(base) & (F.col("field") != "last_menstrual_period")), table, as_of)
     gone = labels.where("line_no IS NULL").select(*PAGE, F.col("label").alias("field")).withColumns({
@@ -235,14 +235,15 @@ def read_labelled(lines: DataFrame, sections: DataFrame, table: DataFrame, as_of
 
 
 def _read_keys(cells: DataFrame, table: DataFrame, as_of: Column) -> DataFrame:
-    """Cover fields: no format rule catches a misread digit, so a value that parses still needs a person."""
+    """Cover fields: no format rule catches a misread digit, so a value that parses still needs a person. The raw text is
+    kept as written; a bare writing line is unparsed writing, not an empty field."""
     info = F.broadcast(table.select(F.col("field").alias("_f"), "kind", "unit_pattern", "minimum", "maximum", "decimals", "spellings"))
     rows = N.normalize_into(cells.join(info, F.col("field") == F.col("_f")), "text", "p", as_of)
-    empty = F.coalesce("text", F.lit("")) == ""
+    empty = strip(F.coalesce("raw", F.lit(""))) == ""
     bad = F.col("p.error").isNotNull()
     flags = _flags((empty, "OCR_NO_TEXT"), (~empty & bad, "OCR_UNPARSED"), (~empty & ~bad, "OCR_CONFIRM_REQUIRED"),
                    (~empty & ~bad & (F.col("confidence") < C.READING_CONFIDENCE), "OCR_LOW_CONFIDENCE"))
-    return rows.select(*PAGE, "field", F.when(~empty, F.col("text")).alias("raw_text"),
+    return rows.select(*PAGE, "field", F.when(~empty, strip(F.col("raw"))).alias("raw_text"),
                        *[F.when(~bad, F.col(f"p.{c}")).alias(c) for c in ("value", "value_num", "value_date")],
                        F.when(~empty, F.bround("confidence", 3)).alias("confidence"), F.lit("NEEDS_REVIEW").alias("field_status"),
                        flags.alias("validation_flags"))
@@ -270,7 +271,8 @@ def _cell_text(lines: DataFrame, rects: DataFrame, keys: list[str], ink: DataFra
         F.array_sort(F.collect_list(F.struct(F.col("x0"), F.col("line_no"), F.col("text")))).alias("_items"),
         F.min("confidence").alias("confidence"))
     text = strip(F.array_join(F.filter(F.transform("_items", lambda i: clean_line(i["text"])), lambda t: t != ""), " "))
-    cells = rects.join(texts, keys, "left").withColumns({"text": text, "spans": F.lit(False)}).drop("_items")
+    raw = strip(F.array_join(F.transform("_items", lambda i: i["text"]), " "))
+    cells = rects.join(texts, keys, "left").withColumns({"text": text, "raw": raw, "spans": F.lit(False)}).drop("_items")
     if ink is None:
         return cells.withColumn("empty_reason", F.lit("OCR_NO_TEXT"))
     return cells.join(ink.select(*keys, "empty_reason"), keys, "left")
@@ -328,7 +330,7 @@ def read_previous_deliveries(lines: DataFrame, table: DataFrame, as_of: Column)
         "left", F.col("left1") + (F.col("item") - 1) * F.col("pitch")).select(
         *PAGE, "item", "field", "left", (F.col("left") + F.col("pitch")).alias("right"), "top", "bottom")
     cells = _cell_text(lines, rects, [*PAGE, "item", "field"])
-    written = cells.groupBy(*PAGE, "item").agg(F.bool_or((F.col("text") != "") & ~F.col("text").isin(C.DASHES)).alias("w")).where("w")
+    written = cells.groupBy(*PAGE, "item").agg(F.bool_or((F.col("raw") != "") & ~F.col("raw").isin(C.DASHES)).alias("w")).where("w")
     kept = cells.where(F.col("field").startswith("previous_delivery")).join(written, [*PAGE, "item"], "left_semi")
     read = read_values(kept.select(*PAGE, "item", "field", "text", "confidence", "empty_reason", "spans"), table, as_of)
     return demote(read, floor=0.0, always=C.CONFIRM_REQUIRED)

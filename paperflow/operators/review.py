@@ -209,27 +209,25 @@ def active_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("replaced_by").isNull())
 
 
-def page_chain(pages: DataFrame, max_depth: int = 2 ** 20) -> DataFrame:
+def page_chain(pages: DataFrame) -> DataFrame:
     """For every page the active page at the end of its replacement chain and the number of steps to it.
 
     Pointer jumping: each round doubles the reach, so a chain of n pages takes log2(n) joins. Pages that have arrived
-    leave the loop, so the end of a long chain never becomes a hot join key. Lineage is cut every round.
+    leave the loop, so the end of a long chain never becomes a hot join key. Lineage is cut every round. A round in which
+    no page arrives leaves only pages that go round in circles; they have no active page and no number of steps.
     """
     links = pages.select("page_id", F.col("replaced_by").alias("to"))
     resolved = links.where("to IS NULL").select("page_id", F.col("page_id").alias("active_page_id"), F.lit(0).cast("long").alias("steps"))
     walking = links.where("to IS NOT NULL").withColumn("hops", F.lit(1).cast("long"))
-    reach = 1
-    while reach <= max_depth:
+    while True:
         table = resolved.select(F.col("page_id").alias("_p"), F.col("active_page_id").alias("_to"), F.col("steps").alias("_h"), F.lit(True).alias("_end")
                                 ).unionByName(walking.select(F.col("page_id").alias("_p"), F.col("to").alias("_to"), F.col("hops").alias("_h"), F.lit(False).alias("_end")))
         jumped = cut_lineage(walking.join(table, F.col("to") == F.col("_p"), "left").select(
             "page_id", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.coalesce("_end", F.lit(True)).alias("_end")))
-        resolved = resolved.unionByName(jumped.where("_end").select("page_id", F.col("to").alias("active_page_id"), F.col("hops").alias("steps")))
-        walking = jumped.where("NOT _end").drop("_end")
-        if walking.isEmpty():
-            return resolved
-        reach *= 2
-    raise ValueError("replacement chain longer than max_depth")
+        arrived, walking = jumped.where("_end"), jumped.where("NOT _end").drop("_end")
+        if arrived.isEmpty():
+            return resolved.unionByName(walking.select("page_id", F.lit(None).cast(walking.schema["to"].dataType).alias("active_page_id"), F.lit(None).cast("long").alias("steps")))
+        resolved = resolved.unionByName(arrived.select("page_id", F.col("to").alias("active_page_id"), F.col("hops").alias("steps")))
 
 
 def move_pages(pages: DataFrame, moves: DataFrame, documents: DataFrame, retakes: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

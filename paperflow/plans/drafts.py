@@ -9,7 +9,6 @@ from .. import catalog as C
 from .. import schemas
 from ..operators import drafts as D
 from ..operators import validate as V
-from ..scale import first_by
 from ..sources.files import flatten_truth
 from .forms import COPIES_SQL, SLOT_SQL, copies, slot
 from .registry import Tables, query
@@ -20,9 +19,9 @@ def no_flags():
     return F.array().cast("array<string>")
 
 
-def first_copies(t: Tables) -> DataFrame:
-    """One line per (order, line number): the visits of a document."""
-    return first_by(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_partkey", "l_suppkey"]).withColumn("q", F.col("l_quantity").cast("int"))
+def document_lines(t: Tables) -> DataFrame:
+    """The lines of a document, unique in (order, line number), are its visits; see `registry.SheetTables`."""
+    return t.lineitem.withColumn("q", F.col("l_quantity").cast("int"))
 
 
 FIRST_SQL = f"{COPIES_SQL}, visits AS (SELECT *, {SLOT_SQL} AS slot FROM copies WHERE page_no = 1)"
@@ -32,7 +31,7 @@ FIRST_SQL = f"{COPIES_SQL}, visits AS (SELECT *, {SLOT_SQL} AS slot FROM copies
 
 def long_fields(t: Tables) -> DataFrame:
     """Fields of every order as long rows: a file number, per visit a date and a weight, per slot a haemoglobin value."""
-    visits = first_copies(t)
+    visits = document_lines(t)
     status = F.when(F.col("l_returnflag") == "N", "KNOWN").otherwise("NEEDS_REVIEW")
     state = F.when(F.col("l_linestatus") == "F", "CONFIRMED").otherwise("UNVERIFIED")
     null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -148,7 +147,7 @@ def missing_fields(t):
 # ------------------------------------------------------------------ consistency
 
 def visit_rows(t: Tables) -> DataFrame:
-    return first_copies(t).select(F.col("l_orderkey").alias("document_id"), slot().alias("slot"), F.col("l_linenumber").alias("slot_ord"), F.to_date("l_shipdate").alias("visit_date"), (F.col("q") * 6).alias("gestational_age_days"))
+    return document_lines(t).select(F.col("l_orderkey").alias("document_id"), slot().alias("slot"), F.col("l_linenumber").alias("slot_ord"), F.to_date("l_shipdate").alias("visit_date"), (F.col("q") * 6).alias("gestational_age_days"))
 
 
 @query("d6_check_date_order", f"""WITH {FIRST_SQL}, w AS (SELECT l_orderkey AS document_id, slot, l_shipdate AS d, LAG(l_shipdate) OVER v AS b, LEAD(l_shipdate) OVER v AS a FROM visits WINDOW v AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
@@ -342,7 +341,7 @@ def truth(t):
     make = lambda state, text: F.struct(state.alias("state"), text.alias("text"), *[F.lit(None).cast(ty).alias(n) for n, ty in (("canonical", "string"), ("value", "string"), ("sha256", "string"), ("accept", "array<string>"))])
     blank = F.col("l_returnflag") == "A"
     entry = F.struct(slot().alias("k"), F.create_map(F.lit("weight_kg"), make(F.when(blank, "blank").otherwise("value"), F.when(~blank, F.col("q").cast("string")))).alias("v"))
-    pages = first_copies(t).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(entry)).alias("grid")).select(
+    pages = document_lines(t).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(entry)).alias("grid")).select(
         F.col("l_orderkey").alias("page"), F.lit(1).alias("patient"), F.lit("s").alias("split"), F.lit("current_pregnancy").alias("layout"), F.lit("current_pregnancy").alias("expected_section"), F.lit(True).alias("supported"),
         "grid", F.lit(None).cast(f"map<string,map<string,{cell}>>").alias("labs"), F.create_map(F.lit("registry_file_number"), make(F.lit("value"), F.col("l_orderkey").cast("string"))).alias("keys"),
         F.lit(None).cast(f"map<string,{cell}>").alias("document_fields"), F.lit(None).cast(f"array<struct<section:string,item:string,field:string,{cell[7:-1]}>>").alias("extended"))

@@ -15,8 +15,9 @@ from .registry import Tables, query
 FIELDS = ["systolic_bp_mmhg", "diastolic_bp_mmhg", "hiv_test", "syphilis_test", "gestational_age_days", "weight_kg", "fundal_height_cm"]
 
 
-def first_lines(t: Tables) -> DataFrame:
-    return first_by(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_partkey", "l_suppkey"]).withColumn("q", F.col("l_quantity").cast("int"))
+def document_lines(t: Tables) -> DataFrame:
+    """The lines of a document; see `registry.SheetTables`."""
+    return t.lineitem.withColumn("q", F.col("l_quantity").cast("int"))
 
 
 def status_columns():
@@ -31,7 +32,7 @@ def visit_fields(t: Tables) -> DataFrame:
     q = F.col("q")
     answer = F.when(q % 2 == 0, "POSITIVE").otherwise("NEGATIVE")
     value = F.when(F.col("l_linenumber") == 1, (q + 90).cast("string")).when(F.col("l_linenumber") == 2, (q + 50).cast("string")).when(F.col("l_linenumber").isin(3, 4), answer).when(F.col("l_linenumber") == 5, (q * 5).cast("string")).otherwise(q.cast("string"))
-    rows = first_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus"), "l_orderkey")
+    rows = document_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus"), "l_orderkey")
     return rows.select(F.col("o_custkey").alias("patient_id"), F.col("l_orderkey").alias("visit_id"), F.when(F.col("l_orderkey") % 19 != 0, F.to_date("o_orderdate")).alias("visit_date"), F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("l_linenumber")).alias("field"),
                        value.alias("value"), value.try_cast("double").alias("value_num"), *status_columns())
 
@@ -60,7 +61,7 @@ def extended_fields(t: Tables) -> DataFrame:
     value = (F.when(n == 1, q.cast("string")).when(n == 2, (q % 6).cast("string")).when(n == 3, mode).when(n == 4, F.when(q % 2 == 0, "CESAREAN_PLANNED").otherwise("VAGINAL_INSTRUMENTAL"))
              .when(n == 5, F.when(q % 2 == 0, "MALE").otherwise("FEMALE")).when(n == 6, (q * 100).cast("string")).otherwise((q % 10 + 8).cast("string")))
     at = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in EXT]), n)
-    rows = first_lines(t).join(t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    rows = document_lines(t).join(t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     key = F.when(n == 7, F.element_at(F.array(*[F.lit(s) for s in C.GRID_SLOTS]), (q % 9 + 1).cast("int"))).otherwise("1")
     return rows.select(document("l_orderkey").alias("document_id"), at(0).alias("section"), F.when(n == 6, F.when(q > 25, 1).otherwise(0)).otherwise(0).alias("item_index"), key.alias("item_key"), at(1).alias("field"), value.alias("value"), value.try_cast("double").alias("value_num"), *status_columns())
 
@@ -111,7 +112,7 @@ r AS (SELECT x.p, q, ROW_NUMBER() OVER (PARTITION BY x.p ORDER BY v.d IS NULL, v
 SELECT r.p AS patient_id, CAST(q % 9 AS DOUBLE) AS hemoglobin_g_dl FROM r WHERE no = 1""")
 def labs(t):
     # The value of a laboratory row is its slot number, so that ties within a slot do not matter.
-    rows = first_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(
+    rows = document_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(
         F.col("o_custkey").alias("patient_id"), F.element_at(F.array(*[F.lit(s) for s in C.GRID_SLOTS]), (F.col("q") % 9 + 1).cast("int")).alias("slot"), F.lit("hemoglobin_g_dl").alias("field"), F.lit("x").alias("value"),
         (F.col("q") % 9).cast("double").alias("value_num"), *status_columns())
     return E.earliest_labs(rows, visits(t), C.slots(t.spark), "hemoglobin_g_dl")
@@ -119,7 +120,7 @@ def labs(t):
 
 @query("e6_previous_cesarean", f"WITH {COPIES_SQL}, l AS (SELECT o_custkey AS p, q FROM copies JOIN orders ON o_orderkey = l_orderkey WHERE page_no = 1 AND l_linenumber = 3 AND {VERIFIED_SQL}) SELECT p AS patient_id, CASE WHEN BOOL_OR(q % 3 = 0) THEN 1 WHEN BOOL_AND(q % 3 = 1) THEN 0 ELSE -1 END AS previous_cesarean FROM l GROUP BY 1")
 def cesarean(t):
-    rows = first_lines(t).where("l_linenumber = 3").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").withColumns({
+    rows = document_lines(t).where("l_linenumber = 3").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").withColumns({
         "value": F.when(F.col("q") % 3 == 0, "CESARienne").when(F.col("q") % 3 == 1, "Voie basse").otherwise("Césarienne")})
     rows = rows.select(F.col("o_custkey").alias("patient_id"), "value", *status_columns())
     ok = rows.where(E.is_verified(F.col("field_status"), F.col("verification_state")))

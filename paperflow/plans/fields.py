@@ -95,13 +95,13 @@ def free_text(t):
 
 
 @query("n5_date", """
-SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderdate > DATE '2000-01-01' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value,
- CASE WHEN o_orderpriority = '1-URGENT' THEN 'DATE_INVALID' WHEN o_orderdate > DATE '2000-01-01' THEN 'DATE_FUTURE' ELSE '' END AS error
-FROM orders WHERE o_orderdate IS NOT NULL""")
+SELECT o_orderkey, CASE WHEN o_orderdate IS NULL OR o_orderpriority = '1-URGENT' OR o_orderdate > DATE '2000-01-01' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value,
+ CASE WHEN o_orderdate IS NULL THEN 'DATE_FORMAT' WHEN o_orderpriority = '1-URGENT' THEN 'DATE_INVALID' WHEN o_orderdate > DATE '2000-01-01' THEN 'DATE_FUTURE' ELSE '' END AS error
+FROM orders""")
 def dates(t):
     text = (F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("31/"), F.lit("2/"), F.date_format("o_orderdate", "yyyy")))
             .when(F.col("o_orderpriority") == "2-HIGH", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d.M.yyyy")))
-    return parsed(t.orders.where("o_orderdate IS NOT NULL"), ["o_orderkey"], N.date(text, as_of()))
+    return parsed(t.orders, ["o_orderkey"], N.date(text, as_of()))
 
 
 @query("n6_decimal", """

@@ -165,11 +165,21 @@ def outcomes(t):
 PEOPLE_SQL = "p AS (SELECT c_custkey AS id, c_nationkey // 5 AS fac, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHAR) END AS num, 'C' || c_custkey AS code FROM customer)"
 
 
-@query("l9_create_patients", f"""WITH {PEOPLE_SQL},
-r AS (SELECT o_orderkey AS seq, c_nationkey // 5 AS fac, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey + 700 AS VARCHAR) END AS num, CASE WHEN o_orderpriority NOT IN ('5-LOW', '1-URGENT') THEN 'C' || (o_custkey + 800) END AS code FROM orders JOIN customer ON c_custkey = o_custkey),
-f1 AS (SELECT fac, num, MIN(seq) AS s FROM r WHERE num IS NOT NULL GROUP BY 1, 2), f2 AS (SELECT fac, code, MIN(seq) AS s FROM r WHERE code IS NOT NULL GROUP BY 1, 2)
-SELECT r.seq, CASE WHEN p1.id IS NOT NULL THEN 'KEY_ALREADY_REGISTERED' WHEN r.seq > f1.s THEN 'KEY_TAKEN_IN_BATCH' WHEN p2.id IS NOT NULL THEN 'KEY_ALREADY_REGISTERED' WHEN r.seq > f2.s THEN 'KEY_TAKEN_IN_BATCH' ELSE 'CREATED' END AS verdict,
- CASE WHEN r.num IS NULL AND r.code IS NULL THEN 'NO_LINK_KEY' ELSE '' END AS flags FROM r LEFT JOIN p p1 ON p1.fac = r.fac AND p1.num = r.num LEFT JOIN p p2 ON p2.fac = r.fac AND p2.code = r.code LEFT JOIN f1 ON f1.fac = r.fac AND f1.num = r.num LEFT JOIN f2 ON f2.fac = r.fac AND f2.code = r.code""")
+# The commands of a facility one by one: what was taken so far is carried in lists.
+@query("l9_create_patients", f"""WITH RECURSIVE {PEOPLE_SQL},
+r AS (SELECT o_orderkey AS seq, c_nationkey // 5 AS fac, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey + 700 AS VARCHAR) END AS num,
+ CASE WHEN o_orderpriority NOT IN ('5-LOW', '1-URGENT') THEN 'C' || (o_custkey + 800) END AS code FROM orders JOIN customer ON c_custkey = o_custkey),
+held AS (SELECT fac, list(num) FILTER (num IS NOT NULL) AS nums, list(code) FILTER (code IS NOT NULL) AS codes FROM p GROUP BY fac),
+q AS (SELECT *, row_number() OVER (PARTITION BY fac ORDER BY seq) AS n,
+ coalesce(list_contains(nums, num), false) OR coalesce(list_contains(codes, code), false) AS known FROM r LEFT JOIN held USING (fac)),
+step(fac, n, seq, num, code, verdict, took_nums, took_codes) AS (
+ SELECT fac, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] FROM (SELECT DISTINCT fac FROM q)
+ UNION ALL SELECT fac, n, seq, num, code, verdict, CASE WHEN verdict = 'CREATED' AND num IS NOT NULL THEN list_append(tn, num) ELSE tn END,
+  CASE WHEN verdict = 'CREATED' AND code IS NOT NULL THEN list_append(tc, code) ELSE tc END
+ FROM (SELECT q.fac, q.n, q.seq, q.num, q.code, s.took_nums AS tn, s.took_codes AS tc, CASE WHEN q.known THEN 'KEY_ALREADY_REGISTERED'
+   WHEN coalesce(list_contains(s.took_nums, q.num), false) OR coalesce(list_contains(s.took_codes, q.code), false) THEN 'KEY_TAKEN_IN_BATCH' ELSE 'CREATED' END AS verdict
+  FROM step s JOIN q ON q.fac = s.fac AND q.n = s.n + 1))
+SELECT seq, verdict, CASE WHEN num IS NULL AND code IS NULL THEN 'NO_LINK_KEY' ELSE '' END AS flags FROM step WHERE n > 0""")
 def create_patients(t):
     home = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.expr("c_nationkey div 5").alias("facility_id"))
     pr = F.col("o_orderpriority")
@@ -178,11 +188,18 @@ def create_patients(t):
     return L.create_patients(asked, patients(t)).select("seq", "verdict", joined("flags"))
 
 
-@query("l10_fill_keys", f"""WITH {PEOPLE_SQL}, offer AS (SELECT o_custkey AS id, CAST(MIN(o_orderkey) % 2000 AS VARCHAR) AS num FROM orders GROUP BY 1),
-o AS (SELECT p.id, p.fac, offer.num FROM p JOIN offer USING (id) WHERE p.num IS NULL AND NOT EXISTS (SELECT 1 FROM p h WHERE h.fac = p.fac AND h.num = offer.num)),
-g AS (SELECT MIN(id) AS id, num FROM o GROUP BY fac, num) SELECT p.id AS patient_id, COALESCE(p.num, g.num, '') AS registry_file_number FROM p LEFT JOIN g ON g.id = p.id""")
+@query("l10_fill_keys", f"""WITH RECURSIVE {PEOPLE_SQL},
+held AS (SELECT fac, list(num) FILTER (num IS NOT NULL) AS nums FROM p GROUP BY fac),
+d AS (SELECT p.fac, p.id, CAST(o_orderkey % 2000 AS VARCHAR) AS num, row_number() OVER (PARTITION BY p.fac ORDER BY o_orderkey) AS n FROM orders JOIN p ON p.id = o_custkey WHERE p.num IS NULL),
+step(fac, n, id, num, given, keys, filled) AS (
+ SELECT fac, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, false, coalesce(nums, []::VARCHAR[]), []::BIGINT[] FROM held
+ UNION ALL SELECT d.fac, d.n, d.id, d.num, NOT list_contains(s.keys, d.num) AND NOT list_contains(s.filled, d.id),
+  CASE WHEN NOT list_contains(s.keys, d.num) AND NOT list_contains(s.filled, d.id) THEN list_append(s.keys, d.num) ELSE s.keys END,
+  CASE WHEN NOT list_contains(s.keys, d.num) AND NOT list_contains(s.filled, d.id) THEN list_append(s.filled, d.id) ELSE s.filled END
+ FROM step s JOIN d ON d.fac = s.fac AND d.n = s.n + 1)
+SELECT p.id AS patient_id, coalesce(p.num, g.num, '') AS registry_file_number FROM p LEFT JOIN (SELECT id, num FROM step WHERE given) g ON g.id = p.id""")
 def fill_keys(t):
-    offers = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("seq")).select(F.col("o_custkey").alias("patient_id"), "seq", (F.col("seq") % 2000).cast("string").alias("registry_file_number"), F.lit(None).cast("string").alias("midwife_patient_code"))
+    offers = t.orders.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 2000).cast("string").alias("registry_file_number"), F.lit(None).cast("string").alias("midwife_patient_code"))
     return L.fill_keys(patients(t).drop("c_mktsegment"), offers).select("patient_id", *text("registry_file_number"))
 
 

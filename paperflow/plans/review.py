@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import review as R
 from ..scale import numbered
-from .drafts import FIRST_SQL, first_copies
+from .drafts import FIRST_SQL, document_lines
 from .forms import slot
 from .messages import KIND
 from .registry import Tables, query
@@ -23,7 +23,7 @@ def review_fields(t: Tables) -> DataFrame:
     """One weight per visit; some are unread, the first one is required."""
     unread = F.col("l_returnflag") == "A"
     status = F.when(F.col("l_returnflag") == "N", "KNOWN").when(unread & (F.col("l_linestatus") == "O"), "ILLEGIBLE").otherwise("NEEDS_REVIEW")
-    return first_copies(t).select(
+    return document_lines(t).select(
         F.col("l_orderkey").alias("document_id"), F.lit("encounter").alias("section"), F.col("l_linenumber").alias("encounter_index"), F.lit(None).cast("int").alias("item_index"),
         F.lit("weight_kg").alias("field"), F.when(~unread, F.col("q").cast("string")).alias("value"), status.alias("field_status"), (F.col("l_linenumber") == 1).alias("required"),
         F.lit("UNVERIFIED").alias("verification_state"))
@@ -103,7 +103,7 @@ def refused_retakes(t):
 
 def visit_fields(t: Tables) -> DataFrame:
     """A month of visit and a weight per line; months repeat within an order."""
-    rows = first_copies(t)
+    rows = document_lines(t)
     status = F.when(F.col("l_returnflag") == "N", "KNOWN").when(F.col("l_returnflag") == "A", "ILLEGIBLE").otherwise("NEEDS_REVIEW")
     state = F.when(F.col("l_linestatus") == "F", "CONFIRMED").otherwise("UNVERIFIED")
     common = [F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("encounter_index"), slot().alias("slot")]
@@ -119,7 +119,7 @@ blocking AS (SELECT l_orderkey AS document_id, 'page' AS scope, l_linenumber AS
 
 
 def blocking(t: Tables) -> DataFrame:
-    pages = first_copies(t).select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_index"), F.when(F.col("l_tax") > 0.075, "OCR_FAILED").alias("review_reason"))
+    pages = document_lines(t).select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_index"), F.when(F.col("l_tax") > 0.075, "OCR_FAILED").alias("review_reason"))
     return R.blocking_items(pages, visit_fields(t))
 
 
@@ -327,7 +327,7 @@ def queue_view(t):
     senders = t.customer.select(F.col("c_custkey").alias("sender_id"), F.col("c_name").alias("label"))
     pages = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "x").alias("replaced_by"))
     retakes = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_quantity") == 50, "PENDING").otherwise("CANCELLED").alias("status"))
-    visits = first_copies(t).select(F.col("l_orderkey").alias("document_id"))
+    visits = document_lines(t).select(F.col("l_orderkey").alias("document_id"))
     q = R.queue_view(documents(t), senders, pages, retakes, blocking(t), visits)
     return q.select("document_id", "sender_label", "page_count", "pending_retakes", "blocking_count", "encounter_count", "hint", "action")
 
@@ -347,7 +347,7 @@ def document_view(t):
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id ORDER BY o0, o1, o2, code) AS position, COUNT(*) OVER (PARTITION BY document_id) AS total FROM a)
 SELECT document_id, CAST(position AS INT) AS position, tone, code, field, total FROM r WHERE position <= 8""")
 def alerts(t):
-    rows = first_copies(t)
+    rows = document_lines(t)
     pages = rows.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_no"), F.when(F.col("l_tax") > 0.065, "SECTION_UNCERTAIN").alias("review_reason"), (F.col("q") >= 8).alias("grid_found"),
                         F.lit("current_pregnancy").alias("section"), F.when(F.col("l_returnflag") == "A", F.array(F.lit("IMAGE_BLURRY"))).alias("warnings"))
     flag = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("DATE_ORDER"), F.lit("CONFLICT_ACROSS_PAGES"))).otherwise(F.array(F.lit("OCR_EXTRA_TEXT"), F.lit("DATE_ORDER")))

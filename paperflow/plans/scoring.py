@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..operators import scoring as Q
-from .drafts import FIRST_SQL, first_copies
+from .drafts import FIRST_SQL, document_lines
 from .forms import COPIES_SQL, slot
 from .registry import Tables, query
 
@@ -47,7 +47,7 @@ UNION ALL SELECT l_orderkey, l_linenumber, 'weight_kg', CASE WHEN state = 'value
 def canonical(t):
     from ..functions.normalize import normalize_fields
     low = F.col("l_linenumber") < 4
-    cells = first_copies(t).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"), F.when(low, "bp").otherwise("weight_kg").alias("field"), F.when(F.col("l_returnflag") == "A", "dash").otherwise("value").alias("state"),
+    cells = document_lines(t).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"), F.when(low, "bp").otherwise("weight_kg").alias("field"), F.when(F.col("l_returnflag") == "A", "dash").otherwise("value").alias("state"),
                                    F.when(F.col("l_returnflag") == "A", "-").when(low, F.concat_ws("/", F.col("q") % 6 + 10, F.col("q") % 3 + 6)).otherwise(F.concat(F.col("q") + 40, F.lit(" kg"))).alias("text"),
                                    F.when(F.col("l_linenumber") == 7, "given").alias("canonical"), F.lit(None).cast("string").alias("choice"))
     parsed = normalize_fields(Q.split_pressure(cells), C.field_catalog(t.spark), C.choice_spellings(t.spark), F.lit("2010-01-01").cast("date"), raw="text")
@@ -71,7 +71,7 @@ def same_value(t):
 def truth(t: Tables) -> DataFrame:
     """What is on paper: a weight per line of an order; some cells are blank."""
     blank = F.col("l_returnflag") == "A"
-    return first_copies(t).select(
+    return document_lines(t).select(
         F.col("l_orderkey").alias("page"), F.lit("encounter").alias("section"), slot().alias("slot"), F.lit(None).cast("string").alias("item"), F.lit("weight_kg").alias("field"), F.when(blank, "blank").otherwise("value").alias("state"),
         F.when(~blank, F.col("q").cast("string")).alias("want"), F.lit(None).cast("string").alias("choice"), F.array().cast("array<string>").alias("accept"), F.col("l_linenumber").alias("slot_ord"), (F.col("l_discount") < 0.085).alias("in_visit"),
         F.when(F.col("l_orderkey") % 2 == 0, "clean").otherwise("photo").alias("condition"), F.lit("current_pregnancy").alias("layout"), F.lit(True).alias("supported"), F.lit(None).cast("string").alias("sha256"))
@@ -81,7 +81,7 @@ def predictions(t: Tables) -> DataFrame:
     """What was read: nothing for a high tax, another value for some suppliers, no value for the last line number."""
     status = F.when(F.col("l_linestatus") == "F", "KNOWN").when(F.col("l_suppkey") % 7 == 0, "ILLEGIBLE").when(F.col("l_suppkey") % 7 == 1, "NOT_PROVIDED").otherwise("NEEDS_REVIEW")
     value = F.when(F.col("l_linenumber") < 7, F.when(F.col("l_suppkey") % 5 == 0, F.col("q") + 1).otherwise(F.col("q")).cast("string"))
-    return first_copies(t).where("l_tax < 0.075").select(F.col("l_orderkey").alias("page"), F.lit("encounter").alias("section"), slot().alias("slot"), F.lit(None).cast("string").alias("item"), F.lit("weight_kg").alias("field"), value.alias("value"),
+    return document_lines(t).where("l_tax < 0.075").select(F.col("l_orderkey").alias("page"), F.lit("encounter").alias("section"), slot().alias("slot"), F.lit(None).cast("string").alias("item"), F.lit("weight_kg").alias("field"), value.alias("value"),
                                                          status.alias("field_status"), (1 - F.col("l_discount")).alias("confidence"))
 
 
@@ -126,7 +126,7 @@ def visit_sets(t):
 @query("q9_shifted_values", f"""WITH {FIRST_SQL}, g AS (SELECT l_orderkey AS page, l_linenumber AS n, q // 5 AS want, (q + l_suppkey % 10) // 5 AS got FROM visits), w AS (SELECT *, LAG(want) OVER v AS b, LEAD(want) OVER v AS a FROM g WINDOW v AS (PARTITION BY page ORDER BY n))
 SELECT page, n AS slot_ord FROM w WHERE got <> want AND (got = b OR got = a)""")
 def shifted(t):
-    cells = first_copies(t).select(F.col("l_orderkey").alias("page"), F.lit("weight_kg").alias("field"), F.col("l_linenumber").alias("slot_ord"), F.expr("q div 5").alias("want"), F.expr("(q + l_suppkey % 10) div 5").alias("got"))
+    cells = document_lines(t).select(F.col("l_orderkey").alias("page"), F.lit("weight_kg").alias("field"), F.col("l_linenumber").alias("slot_ord"), F.expr("q div 5").alias("want"), F.expr("(q + l_suppkey % 10) div 5").alias("got"))
     return Q.shifted_values(cells, ["page"]).select("page", "slot_ord")
 
 

@@ -66,19 +66,10 @@ def _join_back(rows: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFr
     return rows.join(summaries, [*keys, "_bucket"], "left")
 
 
-def text_blocks(lines: DataFrame, keys: list[str], line_no: str, text: str, size: int = 256, overlap: int = 16) -> DataFrame:
-    """Ordered text of each run of `size` lines, joined by a space, with `overlap` lines of the next run appended.
-
-    A phrase broken over at most `overlap` lines is whole in at least one block, so "does the text of the key contain
-    this" is an OR over the blocks and no key's text has to fit in one task.
-    """
-    numbered_lines = lines.withColumn("_block", block(line_no, size))
-    spread = numbered_lines.withColumn("_block", F.explode(
-        F.when((F.col(line_no) % size < overlap) & (F.col("_block") > 0), F.array("_block", F.col("_block") - 1))
-        .otherwise(F.array("_block"))))
-    gathered = spread.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(text).alias("t")))).alias("_lines"))
-    return gathered.select(*keys, "_block", F.array_join(F.transform("_lines", lambda x: x["t"]), " ").alias(text))
+def joined_text(lines: DataFrame, keys: list[str], line_no: str, text: str) -> DataFrame:
+    """The text of each key: its lines in order, joined by a space. For keys that one photo or one document bounds."""
+    gathered = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col(text).alias("t")))).alias("_lines"))
+    return gathered.select(*keys, F.array_join(F.transform("_lines", lambda x: x["t"]), " ").alias(text))
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, spread_by: list[str], salts: int = 32) -> DataFrame:

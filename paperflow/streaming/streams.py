@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import catalog as C
 from ..functions.text import backoff_seconds
 from ..operators.messages import _rank
-from ..scale import first_by
+from ..scale import cut_lineage, first_by
 
 
 def read_stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -67,7 +67,7 @@ DELIVERY_STATE = "status string, last_error string"
 def fold_delivery_stream(events: DataFrame, attempts: int = 1) -> DataFrame:
     """M9 as a custom stateful operator: the status of each message after every micro-batch, in seq order."""
     ranks = {"SENT": 1, "DELIVERED": 2, "READ": 3}
-    transient = set(C.TRANSIENT_CODES)
+    transient, most = set(C.TRANSIENT_CODES), C.MAX_ATTEMPTS
 
     def fold(key, batches: Iterator[pd.DataFrame], state):
         status, error = state.get if state.exists else ("SENT", None)
@@ -78,7 +78,7 @@ def fold_delivery_stream(events: DataFrame, attempts: int = 1) -> DataFrame:
             if event == "FAILED":
                 if status == "SENT":
                     error = f"STATUS_FAILED_{'None' if pd.isna(code) else int(code)}"
-                    again = not pd.isna(code) and int(code) in transient and attempts < C.MAX_ATTEMPTS
+                    again = not pd.isna(code) and int(code) in transient and attempts < most
                     status = "PENDING" if again else "FAILED"
             elif ranks.get(event, 0) > ranks.get(status, 0):
                 status = event
@@ -108,8 +108,11 @@ def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[dict
     """Send each document once and return an acknowledgement or an error type per document.
 
     Rows are partitioned by document and sorted inside each partition, so a task streams the visits of one document
-    after the other to `send(document_id, patient_id, visits)` without holding them.
+    after the other to `send(document_id, patient_id, visits)` without holding them. The answers are stored in the shared
+    folder, so that reading them again, as statuses and as failures, does not send again. Should a lost executor repeat a
+    task, `send` gets its documents a second time with the same ids, which the receiver recognises.
     """
+    statuses = tuple(C.ACK_STATUSES)  # the function for the workers closes over values, not over this package
     rows = payloads.select("document_id", "patient_id", F.to_json("visit").alias("visit")).repartition("document_id").sortWithinPartitions("document_id")
 
     columns = ["document_id", "patient_id", "ack_id", "status", "error_type"]
@@ -125,7 +128,7 @@ def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[dict
             ack_id, error = None, None
             try:
                 answer = send(document, head[1], visits)
-                good = isinstance(answer, dict) and answer.get("status") in C.ACK_STATUSES
+                good = isinstance(answer, dict) and answer.get("status") in statuses
                 ack_id = answer.get("ack_id") if good else None
                 if not isinstance(ack_id, str) or not ack_id.strip():
                     ack_id, error = None, "SYNC_ACK_REQUIRED"
@@ -137,7 +140,7 @@ def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[dict
                 answers = []
         yield pd.DataFrame(answers, columns=columns)
 
-    return rows.mapInPandas(deliver, ACK)
+    return cut_lineage(rows.mapInPandas(deliver, ACK))
 
 
 def apply_acknowledgements(documents: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -174,3 +174,69 @@ def test_coverage_counts(spark):
     got = {r.category: r["columns"] for r in E.coverage(C.export_columns(spark)).collect()}
     assert sum(got.values()) == 31 and got["implemented but unverified"] == 1
     assert len(C.EXPORT_HEADERS) == 31 and len(set(C.EXPORT_HEADERS)) == 31
+
+
+def test_fold_of_every_form(spark):
+    from paperflow.functions.text import norm
+
+    cases = {"ﬁche №3": "fiche no3", "Ｐｏｉｄｓ： ½": "poids: 12", "Œdème é é": "deme e e", "œuvre": "uvre", "63 kg": "63 kg", "㎏": "kg", "plain": "plain"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", norm(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == cases
+
+
+def test_blanks_beyond_ascii(spark):
+    from paperflow.functions.text import strip
+
+    got = spark.createDataFrame([(" 19/12/25 ",), ("164 125",), (" ",)], "t string").select(strip(F.col("t")).alias("s")).collect()
+    assert [g.s for g in got] == ["19/12/25", "164 125", ""]
+
+
+def test_page_text_at_any_length(spark):
+    from paperflow.operators.layout import detect_section
+
+    label = ["Grossesse", "actuelle"]
+    def page(name, filler):
+        lines = [f"x{i}" for i in range(filler)] + [label[0]] + label[1:] + [f"y{i}" for i in range(filler)]
+        return [("d", name, i, t) for i, t in enumerate(lines)]
+    rows = spark.createDataFrame(page("short", 5) + page("long", 900), "document_id string, page_ref string, line_no int, text string")
+    got = {r.page_ref: (r.section, r.section_confidence) for r in detect_section(rows).collect()}
+    assert got["short"] == got["long"]
+
+
+def test_page_chain_in_a_circle(spark):
+    pages = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "e"), ("e", None)], "page_id string, replaced_by string")
+    got = {r.page_id: r.active_page_id for r in V.page_chain(pages).collect()}
+    assert got == {"a": None, "b": None, "c": None, "d": "e", "e": "e"}
+
+
+def test_refused_requests_take_no_key(spark):
+    from paperflow.operators import linkage as L
+
+    patients = spark.createDataFrame([("p", 1, "A", None)], "patient_id string, facility_id int, registry_file_number string, midwife_patient_code string")
+    asked = spark.createDataFrame([(1, 1, "A", "X"), (2, 1, "B", "X"), (3, 1, "B", "Y"), (4, 1, "D", "Y"), (5, 1, None, None)], "seq int, facility_id int, registry_file_number string, midwife_patient_code string")
+    got = {r.seq: r.verdict for r in L.create_patients(asked, patients).collect()}
+    assert got == {1: "KEY_ALREADY_REGISTERED", 2: "CREATED", 3: "KEY_TAKEN_IN_BATCH", 4: "CREATED", 5: "CREATED"}
+    people = spark.createDataFrame([("p", 1, None, "c"), ("q", 1, None, "d")], "patient_id string, facility_id int, registry_file_number string, midwife_patient_code string")
+    offers = spark.createDataFrame([("q", 1, "K", None), ("p", 2, "K", None), ("p", 3, "M", None)], "patient_id string, seq int, registry_file_number string, midwife_patient_code string")
+    assert {r.patient_id: r.registry_file_number for r in L.fill_keys(people, offers).collect()} == {"q": "K", "p": "M"}
+
+
+def test_documents_are_sent_once(spark, tmp_path):
+    from paperflow.streaming import streams as S
+
+    documents = spark.createDataFrame([(f"d{i}", 1, f"p{i % 2}", "REGISTERED") for i in range(6)], "document_id string, facility_id int, patient_id string, status string")
+    visits = spark.createDataFrame([("p0", "v1"), ("p0", "v2")], "patient_id string, visit_id string")
+    log, folder = spark.createDataFrame([("d5",)], "document_id string"), str(tmp_path)
+
+    def send(document, patient, visits):
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{document}-{uuid.uuid4().hex}"), "w").close()
+        return {"status": "ACCEPTED", "ack_id": "a"} if document != "d1" else None
+
+    acks = S.sync_registered(S.sync_payloads(documents, visits, log), send)
+    after, failed = S.apply_acknowledgements(documents, acks)
+    after.collect(), failed.collect(), failed.count()
+    assert sorted(f.name.split("-")[0] for f in tmp_path.iterdir()) == ["d0", "d1", "d2", "d3", "d4"]
+    assert [f.document_id for f in failed.collect() if f.document_id == "d1"] == ["d1"]

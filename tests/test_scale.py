@@ -40,10 +40,10 @@ def test_first_by_and_order_statistics(spark):
     assert stats == {k: (vs[(len(vs) - 1) // 4], vs[-1]) for k, vs in want.items()}
 
 
-def test_text_blocks_keep_phrases_over_block_edges(spark):
-    lines = spark.range(1000).select(F.lit("d").alias("k"), F.col("id").cast("int").alias("n"), F.when(F.col("id") == 255, "alpha").when(F.col("id") == 256, "omega").otherwise("x").alias("t"))
-    blocks = scale.text_blocks(lines, ["k"], "n", "t")
-    assert blocks.where(F.contains("t", F.lit("alpha omega"))).count() == 1
+def test_page_text_is_joined_in_order(spark):
+    lines = spark.createDataFrame([("p", i, f"w{i}" if i % 3 else "") for i in range(1000)], "k string, n int, t string")
+    got = scale.joined_text(lines.repartition(7), ["k"], "n", "t").first()["t"]
+    assert got == " ".join(f"w{i}" if i % 3 else "" for i in range(1000))
 
 
 def test_salted_join_is_a_join(spark):
