@@ -174,16 +174,19 @@ def assign_cells(lines: DataFrame, grids: DataFrame) -> DataFrame:
     """Pieces of text per page, slot and row. A box that spans columns is cut into words, and each cell it touches
     also gets a row without text whose `spans` is true.
 
-    The range join is an equi join on the page whose grid rides along as two short arrays, so a line is compared with
-    the rows and columns of its own page only and nothing is multiplied.
+    The range join is an equi join on the page whose grid rides along as plain columns, so a line is compared with the rows
+    and columns of its own page only, in compiled code, and nothing is multiplied.
     """
-    placed = with_centres(lines).join(grids, PAGE).where(F.col("cy") > F.col("header_bottom"))
-    width = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6))
-    row = F.try_element_at(F.filter("rows", lambda r: (F.col("cy") >= r["top"]) & (F.col("cy") < r["bottom"])), F.lit(1))["row"]
+    slots, bands = range(len(C.GRID_SLOTS)), range(len(C.GRID_ROWS))
+    flat = grids.select(*PAGE, "header_bottom", *[F.get("columns", i)[side].alias(f"_{side}{i}") for i in slots for side in ("left", "right")],
+                        *[F.get("rows", i)[part].alias(f"_{part}{i}") for i in bands for part in ("row", "top", "bottom")])
+    placed = with_centres(lines).join(flat, PAGE).where(F.col("cy") > F.col("header_bottom"))
+    row = F.coalesce(*[F.when((F.col("cy") >= F.col(f"_top{i}")) & (F.col("cy") < F.col(f"_bottom{i}")), F.col(f"_row{i}")) for i in bands])
     banded = placed.withColumn("row", row).where("row IS NOT NULL")
-    touched = F.filter("columns", lambda c: (F.least(F.col("x1"), c["right"]) - F.greatest(F.col("x0"), c["left"])) > C.SPAN_SHARE * width)
-    banded = banded.withColumn("touched", F.transform(touched, lambda c: c["slot"]))
-    across = F.size("touched") > 1
+    width = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6))
+    touches = [F.least("x1", f"_right{i}") - F.greatest("x0", f"_left{i}") > C.SPAN_SHARE * width for i in slots]
+    banded = banded.withColumn("_touched", sum((F.when(t, 1).otherwise(0) for t in touches), F.lit(0)))
+    across = F.col("_touched") > 1
     words = words_with_offsets(F.col("text"))
     none = F.lit(None)
 
@@ -193,15 +196,16 @@ def assign_cells(lines: DataFrame, grids: DataFrame) -> DataFrame:
 
     whole = piece(F.col("text"), F.lit(0.0), F.lit(1.0), none, across & ~F.col("text").rlike("[0-9]"), F.lit(False))
     cut = F.transform(words, lambda w: piece(w["word"], w["start"], w["stop"], none, ~w["word"].rlike("[0-9]"), F.lit(False)))
-    marks = F.transform("touched", lambda s: piece(none, none, none, s, none, F.lit(True)))
+    marks = F.transform(F.array_compact(F.array(*[F.when(t, C.GRID_SLOTS[i]) for i, t in enumerate(touches)])), lambda s: piece(none, none, none, s, none, F.lit(True)))
     pieces = F.when(~across, F.array(whole)).otherwise(F.concat(F.when(F.size(words) < 2, F.array(whole)).otherwise(cut), marks))
     rest = [c for c in lines.columns if c not in ("text", "x0", "x1")]
-    spread = banded.select(*rest, "row", "columns", "x0", "x1", F.explode(pieces).alias("p"))
+    edges = [f"_{side}{i}" for i in slots for side in ("left", "right")]
+    spread = banded.select(*rest, "row", *edges, "x0", "x1", F.explode(pieces).alias("p"))
     x0, x1 = (F.col("x0") + F.col(f"p.{side}") * (F.col("x1") - F.col("x0")) for side in ("start", "stop"))
-    placed = spread.select(*rest, "row", "columns", F.col("p.text").alias("text"), x0.alias("x0"), x1.alias("x1"), "p.slot", "p.weak", "p.spans")
+    placed = spread.select(*rest, "row", *edges, F.col("p.text").alias("text"), x0.alias("x0"), x1.alias("x1"), "p.slot", "p.weak", "p.spans")
     middle = (F.col("x0") + F.col("x1")) / 2
-    slot = F.try_element_at(F.filter("columns", lambda c: (middle >= c["left"]) & (middle < c["right"])), F.lit(1))["slot"]
-    return placed.withColumn("slot", F.when(F.col("spans"), F.col("slot")).otherwise(slot)).where("slot IS NOT NULL").drop("columns")
+    slot = F.coalesce(*[F.when((middle >= F.col(f"_left{i}")) & (middle < F.col(f"_right{i}")), C.GRID_SLOTS[i]) for i in slots])
+    return placed.withColumn("slot", F.when(F.col("spans"), F.col("slot")).otherwise(slot)).where("slot IS NOT NULL").drop(*edges)
 
 
 def grid_cells(pieces: DataFrame, grids: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ cells AS (SELECT page_ref, slot, q, conf, l_returnflag, l_linestatus, l_shipdate
 
 @query("p7_assign_cells", f"WITH {CELLS_SQL} SELECT page_ref, slot, row, text FROM cells WHERE text <> ''")
 def assign_cells(t):
-    return P.assign_cells(*located(t)).where("NOT spans").select("page_ref", "slot", "row", "text")
+    return P.assign_cells(*located(t)).select("page_ref", "slot", "row", "text")
 
 
 @query("p8_split_words", """
