@@ -126,13 +126,14 @@ def upsert_visits(visits: DataFrame, accepted: DataFrame) -> tuple[DataFrame, Da
 
     `accepted` rows: seq, document_id, patient_id, encounter_type, visit_date, slot, fields, decision (UPDATE, KEEP, FIELDS or
     null), selected, by, at. Several encounters of one batch on one visit: the first is applied and the others are returned
-    as deferred, because they must be matched again against the new state. Applying a batch twice changes nothing.
+    as deferred, because they must be matched again against the new state. Encounters without a date belong to no visit and
+    are returned as deferred too. Applying a batch twice changes nothing.
     """
     key = ["patient_id", "encounter_type", "visit_date"]
     dated = accepted.where("visit_date IS NOT NULL")
     winners = dated.groupBy(*key).agg(F.min("seq").alias("seq"))
     first = dated.join(winners.select("seq"), "seq", "left_semi")
-    deferred = dated.join(winners.select("seq"), "seq", "left_anti")
+    deferred = accepted.join(winners.select("seq"), "seq", "left_anti")
     new = first.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("document_id", "slot", "fields", "decision", "selected", "by", "at", "seq")])
     both = visits.join(new, key, "full_outer")
     exists, arrives = F.col("visit_id").isNotNull(), F.col("n_seq").isNotNull()

@@ -345,7 +345,7 @@ def alerts(pages: DataFrame, fields: DataFrame, show: int = 8) -> DataFrame:
     kinds = F.array_compact(F.array(
         F.when(F.col("review_reason").isNotNull(), F.struct(F.lit("warn").alias("tone"), F.col("review_reason").alias("code")))
         .when(~F.coalesce("grid_found", F.lit(True)), F.struct(F.lit("warn").alias("tone"), F.lit("GRID_NOT_FOUND").alias("code")))
-        .when(~F.col("section").isin(supported), F.struct(F.lit("info").alias("tone"), F.lit("SECTION_UNSUPPORTED").alias("code")))))
+        .when(~F.col("section").isin([*supported, "unknown"]), F.struct(F.lit("info").alias("tone"), F.lit("SECTION_UNSUPPORTED").alias("code")))))
     notes = F.transform(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: F.struct(F.lit("info").alias("tone"), w.alias("code")))
     from_pages = pages.select("document_id", page.alias("o1"), F.posexplode(F.concat(kinds, notes)).alias("o2", "a")).select(
         "document_id", F.lit(0).alias("o0"), F.col("o1").cast("string").alias("o1"), F.col("o2").cast("long").alias("o2"), "a.tone", "a.code", F.lit(None).cast("string").alias("field"))

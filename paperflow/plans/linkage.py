@@ -154,7 +154,7 @@ def upsert_visits(t):
                         F.size("source_documents").alias("sources"), F.size("history").alias("history"))
 
 
-@query("l8_outcomes", f"WITH {UPSERT_SQL} SELECT k AS seq, did AS outcome FROM u UNION ALL SELECT k, 'DEFERRED' FROM f WHERE no > 1")
+@query("l8_outcomes", f"WITH {UPSERT_SQL} SELECT k AS seq, did AS outcome FROM u UNION ALL SELECT k, 'DEFERRED' FROM f WHERE no > 1 UNION ALL SELECT k, 'DEFERRED' FROM m WHERE d IS NULL")
 def outcomes(t):
     _v, done, deferred = L.upsert_visits(visits(t), accepted(t))
     return done.select("seq", "outcome").unionByName(deferred.select("seq", F.lit("DEFERRED").alias("outcome")))
