@@ -131,13 +131,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if len(languages) == 1:
         return Model(languages, code, np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
     x = np.zeros((len(rows), FEATURES), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["n"], "<u4")
-    x = scaled(x)
     y = code[[languages.index(r["lang"]) for r in rows]]
+    for i, r in enumerate(rows):  # one matrix, changed in place: the driver's memory is small
+        counts = np.sqrt(np.frombuffer(r["n"], "<u4"), dtype=np.float32)
+        x[i, np.frombuffer(r["at"], "<u4")] = counts / np.linalg.norm(counts)
+    del rows
     middle, bias = x.mean(axis=0), y.mean(axis=0)
     x -= middle
-    solved = np.linalg.solve(x @ x.T + RIDGE * np.eye(len(rows), dtype=np.float32), y - bias)
+    products = x @ x.T
+    products.flat[::len(products) + 1] += np.float32(RIDGE)
+    solved = np.linalg.solve(products, y - bias)
+    del products
     weights = (x.T @ solved).astype(np.float32)
     right = (np.sign(x @ weights + bias) == y).mean(axis=0)
     return Model(languages, code, weights, (bias - middle @ weights).astype(np.float32), np.maximum(0.05, 2 * right - 1).astype(np.float32))
