@@ -3,8 +3,9 @@
 Every item of a bucket is first compared with one item only, the most central: the one that shares most buckets with most
 others. The links found join items to components; then only items of different components still need a comparison. In
 each bucket that holds several components, the items outside its largest one are compared with the others, except where
-sizes, or pieces that no other item has, already rule a link out. No pair of a bucket is left out unless both are known
-to belong together or cannot be similar, so the classes are those that comparing every pair would give.
+an exact bound rules a link out: the pieces that two items can have in common are those of the bucket's central item that
+both have, and no more others than either has in common with anyone. No pair of a bucket is left out unless both are
+known to belong together or cannot be similar, so the classes are those that comparing every pair would give.
 """
 
 from __future__ import annotations
@@ -92,17 +93,20 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
     placed = cut_lineage(shared.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")))
     several = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     mixed = cut_lineage(placed.join(several, "bucket"))
-    common = F.lit(True)
     if pieces is not None:
-        mixed = mixed.join(only_own(data.join(broadcast_if_small(cut_lineage(mixed.select("id").distinct())), "id"), pieces), "id", "left")
-        mixed = cut_lineage(mixed.select("bucket", "id", "size", "label", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common")))
-        common = F.least("c", "common") + 1e-9 >= (F.col("s") + F.col("size")) * (threshold / (1 + threshold))
+        mixed = mixed.join(heads.select("bucket", "head"), "bucket")
+        items = data.join(broadcast_if_small(cut_lineage(mixed.select("id").unionByName(mixed.select(F.col("head").alias("id"))).distinct())), "id")
+        bits = cut_lineage(head_bits(mixed.select("head", "id").distinct(), items, pieces))
+        mixed = cut_lineage(mixed.join(only_own(items, pieces), "id", "left").join(bits, ["head", "id"], "left").select("bucket", "id", "size", "label", "bits", F.when(
+            F.col("id") != F.col("head"), F.col("size") - F.col("in_head") - F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("others")))
+        both = F.aggregate(F.zip_with("b", "bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x) + F.least("o", "others")
+        common = F.coalesce(both + 1e-9 >= (F.col("s") + F.col("size")) * (threshold / (1 + threshold)), F.lit(True))
     else:
-        mixed = mixed.withColumn("common", F.col("size"))
+        mixed, common = mixed.withColumns({"bits": F.lit(None).cast("array<long>"), "others": F.lit(0)}), F.lit(True)
     main = (mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
             .agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     members = mixed.join(main, "bucket")
-    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("label").alias("l"), F.col("common").alias("c"))
+    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("label").alias("l"), F.col("bits").alias("b"), F.col("others").alias("o"))
     pair = (F.col("l") != F.col("label")) & near("s", "size") & common & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
     more = (out.join(members.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & pair)
             .select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
@@ -113,16 +117,37 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
 
 
 def only_own(data: DataFrame, pieces: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """id and own: how many of an item's pieces no other item of `data` has. An id with several rows is left out."""
+    """id and own: how many of an item's pieces no other item of `data` has."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, value in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist()):
                 found = pieces(value).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i, np.int64))], ["piece", "id"])
 
-    single = data.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("id")
     owners = data.select("id", "data").mapInArrow(spread, "piece long, id long").groupBy("piece").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    return owners.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own")).join(single, "id")
+    return owners.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def head_bits(pairs: DataFrame, data: DataFrame, pieces: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """head, id, bits and in_head: which of the head's pieces an item has, as a bitmap, and how many.
+
+    Ids with several data rows are left out, for their sizes and bits would not belong together.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, last, own = [], None, None
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                if left is not last:
+                    last, own = left, np.sort(pieces(left))
+                has = np.isin(own, pieces(right))
+                packed = np.packbits(np.concatenate((has, np.zeros(-len(has) % 64, bool))))
+                rows.append((packed.view(np.int64).tolist(), int(has.sum())))
+            yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("id"), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
+                                              pa.array([r[1] for r in rows], pa.int32())], ["head", "id", "bits", "in_head"])
+
+    single = data.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("data").alias("data")).where("n = 1")
+    left, right = single.select(F.col("id").alias("head"), F.col("data").alias("left")), single.select("id", F.col("data").alias("right"))
+    return pairs.join(left, "head").join(right, "id").select("head", "id", "left", "right").mapInArrow(mark, "head long, id long, bits array<long>, in_head int")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
