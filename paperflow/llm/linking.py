@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import cut_lineage
@@ -52,13 +52,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, bytes], bool], threshold: float,
-           pieces: Callable[[bytes], np.ndarray] | None = None, given: DataFrame | None = None) -> DataFrame:
+           pieces: Callable[[bytes], np.ndarray] | None = None, given: DataFrame | None = None, placed_by: Callable[[dict, dict], Column] | None = None) -> DataFrame:
     """id and label of every item that has a link; items without one are left out.
 
     `buckets` has rows of (bucket, id, size), `payload` one row (id, data) for each item. `similar` gets two data values and
     decides exactly. Items whose sizes differ by more than the factor `threshold` cannot be similar. If `pieces` are given,
     an item is a set of `size` 64-bit values, and two items of n and m values are similar only if they have in common
     threshold / (1 + threshold) * (n + m). `given` has links (a, b) that hold without a comparison.
+    With `placed_by`, rows of `buckets` also have low and high, and it says from the columns (size, low, high) of two rows
+    whether this bucket can speak for the pair; a similar pair must have a bucket that does.
     """
     spark = buckets.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PAIR_BYTES))
@@ -70,6 +72,14 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
     def near(a: str, b: str):
         return F.least(a, b) >= F.greatest(a, b) * threshold
 
+    extra = [] if placed_by is None else ["low", "high"]
+
+    def fits(one: dict[str, str], two: dict[str, str]) -> Column:
+        within = near(one["size"], two["size"])
+        return within if placed_by is None else within & placed_by({k: F.col(v) for k, v in one.items()}, {k: F.col(v) for k, v in two.items()})
+
+    own, of_head, of_out = {c: c for c in ["size", *extra]}, {c: f"head_{c}" for c in ["size", *extra]}, {"size": "s", **{c: f"out_{c}" for c in extra}}
+
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
         left = data.select(F.col("id").alias("a"), F.col("data").alias("left"))
@@ -82,22 +92,22 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
-    heads = shared.join(weights, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "size"), F.struct("weight", "id")).alias("h")).select(
-        "bucket", F.col("h.id").alias("head"), F.col("h.size").alias("head_size"))
-    first = cut_lineage(shared.join(heads, "bucket").where(F.col("id") != F.col("head")).where(near("size", "head_size"))
+    heads = shared.join(weights, "id").groupBy("bucket").agg(F.max_by(F.struct("id", *own), F.struct("weight", "id")).alias("h")).select(
+        "bucket", F.col("h.id").alias("head"), *[F.col(f"h.{c}").alias(n) for c, n in of_head.items()])
+    first = cut_lineage(shared.join(heads, "bucket").where(F.col("id") != F.col("head")).where(fits(own, of_head))
                         .select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     found = compared(first)
     found = cut_lineage(found if given is None else found.unionByName(given))
 
     labels = components(found)
-    placed = cut_lineage(shared.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")))
+    placed = cut_lineage(shared.join(labels, "id", "left").select("bucket", "id", *own, F.coalesce("label", "id").alias("label")))
     several = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     mixed = cut_lineage(placed.join(several, "bucket"))
     if pieces is not None:
         mixed = mixed.join(heads.select("bucket", "head"), "bucket")
         items = data.join(broadcast_if_small(cut_lineage(mixed.select("id").unionByName(mixed.select(F.col("head").alias("id"))).distinct())), "id")
         bits = cut_lineage(head_bits(mixed.select("head", "id").distinct(), items, pieces))
-        mixed = cut_lineage(mixed.join(only_own(items, pieces), "id", "left").join(bits, ["head", "id"], "left").select("bucket", "id", "size", "label", "bits", F.when(
+        mixed = cut_lineage(mixed.join(only_own(items, pieces), "id", "left").join(bits, ["head", "id"], "left").select("bucket", "id", *own, "label", "bits", F.when(
             F.col("id") != F.col("head"), F.col("size") - F.col("in_head") - F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).alias("others")))
         both = F.aggregate(F.zip_with("b", "bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x) + F.least("o", "others")
         common = F.coalesce(both + 1e-9 >= (F.col("s") + F.col("size")) * (threshold / (1 + threshold)), F.lit(True))
@@ -106,8 +116,8 @@ def linked(buckets: DataFrame, payload: DataFrame, similar: Callable[[bytes, byt
     main = (mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
             .agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     members = mixed.join(main, "bucket")
-    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), F.col("size").alias("s"), F.col("label").alias("l"), F.col("bits").alias("b"), F.col("others").alias("o"))
-    pair = (F.col("l") != F.col("label")) & near("s", "size") & common & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
+    out = members.where("label <> main").select("bucket", F.col("id").alias("i"), *[F.col(c).alias(n) for c, n in of_out.items()], F.col("label").alias("l"), F.col("bits").alias("b"), F.col("others").alias("o"))
+    pair = (F.col("l") != F.col("label")) & fits(of_out, own) & common & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
     more = (out.join(members.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & pair)
             .select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     also = cut_lineage(compared(cut_lineage(more)))

@@ -208,6 +208,30 @@ def test_audio_alignment(spark):
     assert audio.align_recordings(spark.createDataFrame([], "id long, media binary")).count() == 0
 
 
+def with_bit_errors(ints, share, rng):
+    flips = (rng.random((len(ints), 32)) < share).astype(np.uint64) @ (np.uint64(1) << np.arange(32, dtype=np.uint64))
+    return ints ^ flips.astype(np.uint32)
+
+
+def test_audio_classes_equal_brute_force_with_spread_bit_errors(spark):
+    """Each copy carries its own bit errors, so that hardly two neighbouring integers of it are unchanged."""
+    rng, shares = np.random.default_rng(3), [0, 0.02, 0.05, 0.08, 0.1, 0.12, 0.15]
+    sounds = {}
+    for k in range(12):
+        whole = rng.integers(0, 1 << 32, 120, np.uint32)
+        for j, share in enumerate(shares):
+            sounds[100 * k + j] = with_bit_errors(whole, share, rng)[rng.integers(0, 6):]
+    ids, label = sorted(sounds), {i: i for i in sounds}
+    pairs = [(a, b) for a in ids for b in ids if a < b and audio.similar_recordings(sounds[a].tobytes(), sounds[b].tobytes())]
+    for _ in ids:  # labels only fall, and fewer rounds than recordings settle them
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [(i, sounds[i].astype("<u4").tobytes(), str(i).encode()) for i in ids]
+    got = {g.id: g.class_id for g in audio.align_fingerprints(spark.createDataFrame(rows, "id long, ints binary, key binary")).collect()}
+    assert got == label
+    assert all(a // 100 == b // 100 for a, b in pairs) and all(got[100 * k + j] == 100 * k for k in range(12) for j, share in enumerate(shares) if share <= 0.08)
+
+
 def test_audio_forms():
     x = melody(3, 60)
     wav = audio.wav_bytes(x)
