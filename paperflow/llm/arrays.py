@@ -9,7 +9,8 @@ from pyspark import TaskContext, cloudpickle
 
 SEGMENT = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_SECOND = 0xD1B54A32D192ED03
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: White space as a break, all other bytes as they are.
 SPACED = np.arange(256, dtype=np.uint8)
@@ -30,21 +31,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
+#: For a second fingerprint that is independent of the first.
+SECOND_VALUES = mixed(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_SECOND))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, multiplier: int = _MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd multiplier and of its inverse modulo 2**64."""
     kept = _POWERS if TaskContext.get() else {}  # on the driver nothing is kept, for it would be sent with each function
-    if not kept or len(kept["up"]) < n:
-        for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
+    if multiplier not in kept or len(kept[multiplier][0]) < n:
+        rows = []
+        for base in (multiplier, pow(multiplier, -1, 1 << 64)):
             row = np.full(n, base, np.uint64)
             row[0] = 1
-            kept[name] = np.multiply.accumulate(row)
-    return kept["up"][:n], kept["down"][:n]
+            rows.append(np.multiply.accumulate(row))
+        kept[multiplier] = rows[0], rows[1]
+    up, down = kept[multiplier]
+    return up[:n], down[:n]
 
 
-def rolling(values: np.ndarray, length: int) -> np.ndarray:
+def rolling(values: np.ndarray, length: int, second: bool = False) -> np.ndarray:
     """Fingerprints of all runs of `length` values (bytes or 64-bit numbers), in segments so that memory stays bounded."""
+    of_byte, multiplier = (SECOND_VALUES, _SECOND) if second else (BYTE_VALUES, _MULTIPLIER)
     n = len(values) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -52,16 +59,17 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
     for a in range(0, n, SEGMENT):
         b = min(a + SEGMENT, n)
         part = values[a:b + length - 1]
-        up, down = _powers(len(part) + 1)
-        terms = (BYTE_VALUES[part] if part.dtype == np.uint8 else part) * up[:len(part)]
+        up, down = _powers(len(part) + 1, multiplier)
+        terms = (of_byte[part] if part.dtype == np.uint8 else part) * up[:len(part)]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(terms, out=total[1:])
         np.multiply(total[length:] - total[:-length], down[:b - a], out=out[a:b])
     return out
 
 
-def word_spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, table: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and fingerprints of the words of one buffer; bytes that `table` maps to 0 are breaks."""
+    of_byte, multiplier = (SECOND_VALUES, _SECOND) if second else (BYTE_VALUES, _MULTIPLIER)
     starts, ends, prints = [], [], []
     a, n = 0, len(buf)
     while a < n:
@@ -72,9 +80,9 @@ def word_spans(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
         code = table[buf[a:b]]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], code != 0, [0])).astype(np.int8)))
         s, e = edge[::2], edge[1::2]
-        up, down = _powers(len(code) + 1)
+        up, down = _powers(len(code) + 1, multiplier)
         total = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[code] * up[:len(code)], out=total[1:])
+        np.cumsum(of_byte[code] * up[:len(code)], out=total[1:])
         prints.append((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         starts.append(s + a)
         ends.append(e + a)

@@ -1,7 +1,7 @@
 """Substring dedup with fixed-block anchors.
 
 The non-overlapping blocks of ten words of every document are the reference index. Every rolling window of ten words
-probes it; a hit is extended to the windows of 20 words around it, whose exact repeats are found by their fingerprints,
+probes it; a hit is extended to the windows of 20 words around it, whose repeats are told by 128 bits of fingerprints,
 and overlapping repeated windows join to the maximal repeated spans. Any window of 20 words holds a whole reference
 block, so each repeat is met by at least one probe.
 
@@ -33,6 +33,11 @@ def word_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return prints, np.searchsorted(starts, begins)
 
 
+def second_word_values(texts: list[bytes], values: np.ndarray) -> np.ndarray:
+    """Fingerprints of the same words that are independent of `values`."""
+    return word_spans(np.frombuffer(b"\n".join(texts), np.uint8), SPACED, second=True)[2]
+
+
 def dedup_blocks(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed, spans (in words) that were removed, kept (the other words joined by a space, UTF-8).
 
@@ -76,7 +81,7 @@ def dedup_blocks(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> D
             "doc_id": pa.array(batch.ids, pa.int64()), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()),
             "spans": span_array([r[2] for r in rows]), "kept": pa.array([r[3] for r in rows], pa.binary())})
 
-    return resolve(docs, window, word_values, prepare, sampled, likely, finish, ROW, keys_per_byte=0.17, sampled_per_byte=0.17)
+    return resolve(docs, window, word_values, second_word_values, prepare, sampled, likely, finish, ROW, keys_per_byte=0.17, sampled_per_byte=0.17)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,8 @@ messages between batches and ranges of fingerprints decide everything:
 
 1. Each batch sends a thin set of short fingerprints (what is sent is the operator's method). A range answers, with one
    bit each, which occur at least twice in the table. Windows without such a piece cannot be repeated.
-2. Each batch sends the fingerprints of its remaining windows. A range answers which of them an earlier batch holds.
+2. Each batch sends two independent 64-bit fingerprints of its remaining windows, both made from the bytes; windows are
+   equal if both are. A range answers which of them an earlier batch holds.
 
 A batch sends every fingerprint once, however often it occurs there, so a passage found everywhere costs one entry per
 batch. Copies of a whole text are recognised beforehand by their hash: nothing of theirs is ever first, so they send nothing.
@@ -28,20 +29,31 @@ from .common import range_bounds, range_number
 #: Bytes of text that one task holds at a time, and fingerprints that one range holds.
 BATCH_BYTES = 8 << 20
 KEYS_PER_RANGE = 1 << 20
-SENT = "part int, batch int, keys binary, anchors binary"
+SENT = "part int, batch int, keys binary, anchors binary, seconds binary"
 REPLY = "batch int, kind int, part long, data binary"
 COPY, REPEATED, LATER = 0, 1, 2
 
 
-def packed_rows(batch: int, keys: np.ndarray, parts: int, bits: int, anchors: np.ndarray | None = None) -> pa.Table:
-    """One row for each range that gets keys. Without anchors of their own all keys are anchors."""
+def packed_rows(batch: int, keys: np.ndarray, parts: int, bits: int, anchors: np.ndarray | None = None, seconds: np.ndarray | None = None) -> pa.Table:
+    """One row for each range that gets keys. Without anchors of their own all keys are anchors. Seconds go along with keys."""
     cut = deal(keys, parts, bits)
     cut_anchors = None if anchors is None else deal(anchors, parts, bits)
     used = [i for i in range(parts) if cut[i + 1] > cut[i]]
     return pa.table({
         "part": pa.array(used, pa.int32()), "batch": pa.array([batch] * len(used), pa.int32()),
         "keys": pa.array([pack(keys[cut[i]:cut[i + 1]]) for i in used], pa.binary()),
-        "anchors": pa.array([None if anchors is None else pack(anchors[cut_anchors[i]:cut_anchors[i + 1]]) for i in used], pa.binary())})
+        "anchors": pa.array([None if anchors is None else pack(anchors[cut_anchors[i]:cut_anchors[i + 1]]) for i in used], pa.binary()),
+        "seconds": pa.array([None if seconds is None else seconds[cut[i]:cut[i + 1]].tobytes() for i in used], pa.binary())})
+
+
+def pair_order(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of pairs by key and second, and which pairs differ from the one before in it."""
+    order = np.argsort(keys, kind="stable")
+    same, alike = keys[order[1:]] == keys[order[:-1]], seconds[order[1:]] == seconds[order[:-1]]
+    if (same & ~alike).any():
+        order = np.lexsort((seconds, keys))
+        same, alike = keys[order[1:]] == keys[order[:-1]], seconds[order[1:]] == seconds[order[:-1]]
+    return order, np.concatenate((np.ones(min(1, len(keys)), bool), ~(same & alike)))
 
 
 def answer(batches: list[int], kind: int, part: int, masks: list[np.ndarray]) -> pa.Table:
@@ -67,14 +79,13 @@ def repeated_in_range(table: pa.Table) -> pa.Table:
 def later_in_range(table: pa.Table) -> pa.Table:
     """Which keys an earlier batch holds as well."""
     part = table["part"][0].as_py()
-    rows = sorted(zip(table["batch"].to_pylist(), table["keys"].to_pylist()))
-    batches, sets = [b for b, _ in rows], [unpack(x) for _, x in rows]
+    rows = sorted(zip(table["batch"].to_pylist(), table["keys"].to_pylist(), table["seconds"].to_pylist()))
+    batches, sets = [b for b, _, _ in rows], [unpack(x) for _, x, _ in rows]
     sizes = np.array([len(s) for s in sets])
-    every, rank = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(every, kind="stable")  # the order of the batches holds within equal keys
-    ordered = every[order]
+    every, seconds = np.concatenate(sets), np.concatenate([np.frombuffer(x, np.uint64) for _, _, x in rows])
+    order, new = pair_order(every, seconds)  # the order of the batches holds within equal pairs
     later = np.zeros(len(every), bool)
-    later[order[1:]] = ordered[1:] == ordered[:-1]
+    later[order] = ~new
     return answer(batches, LATER, part, np.split(later, np.cumsum(sizes)[:-1]))
 
 
@@ -127,10 +138,11 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def resolve(docs: DataFrame, window: int, cut, prepare, sampled, likely, finish, schema: str, keys_per_byte: float, sampled_per_byte: float) -> DataFrame:
+def resolve(docs: DataFrame, window: int, cut, second_values, prepare, sampled, likely, finish, schema: str, keys_per_byte: float, sampled_per_byte: float) -> DataFrame:
     """Run both rounds and finish every batch.
 
-    cut(texts) gives the values of all texts end to end and the bounds of the texts; prepare(values, bounds) what the next
+    cut(texts) gives the values of all texts end to end and the bounds of the texts; second_values(texts, values) the values
+    for the second fingerprint; prepare(values, bounds) what the next
     two need. sampled(prepared) gives the sorted fingerprints of round 1 (twice where repeated) and those that are anchors,
     or None. likely(prepared, keys) gives the starts of windows that hold a piece of the sorted `keys`. finish(batch,
     removed, bounds) gives the rows.
@@ -157,23 +169,23 @@ def resolve(docs: DataFrame, window: int, cut, prepare, sampled, likely, finish,
         return packed_rows(batch.number, keys, parts_1, 48, anchors)
 
     def windows(batch, replies):
-        values, ends = cut(batch.own_texts())
+        own = batch.own_texts()
+        values, ends = cut(own)
         prepared = prepare(values, ends)
         keys = np.unique(sampled(prepared)[0])
         at = likely(prepared, keys[mask_of(replies, REPEATED, keys, parts_1, 48)])
-        return ends, at, mixed(rolling(values, window)[at]) >> np.uint64(8)
+        prints, seconds = mixed(rolling(values, window)[at]), rolling(second_values(own, values), window, second=True)[at]
+        return ends, at, prints, seconds, *pair_order(prints, seconds)
 
     def extend(table, replies):
         batch = Batch(table, replies)
-        return packed_rows(batch.number, np.unique(windows(batch, replies)[2]), parts_2, 56)
+        _, _, prints, seconds, order, new = windows(batch, replies)
+        return packed_rows(batch.number, prints[order[new]], parts_2, 64, seconds=seconds[order[new]])
 
     def last(table, replies):
         batch = Batch(table, replies)
-        ends, at, prints = windows(batch, replies)
-        order = np.argsort(prints, kind="stable")
-        ordered = prints[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
-        earlier = mask_of(replies, LATER, ordered[new], parts_2, 56)
+        ends, at, prints, _, order, new = windows(batch, replies)
+        earlier = mask_of(replies, LATER, prints[order[new]], parts_2, 64)
         gone = np.zeros(len(at), bool)
         gone[order] = ~new | earlier[np.cumsum(new) - 1]
         return finish(batch, covered(at[gone], window, int(ends[-1])), ends)

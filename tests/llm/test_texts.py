@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperflow.llm import audio
+from paperflow.llm import audio, repeats
 from paperflow.llm.block_repeats import dedup_blocks
 from paperflow.llm.language import codewords, held_out, language_of, train
 from paperflow.llm.near_duplicates import labelled_runs, near_duplicate_classes, similar_texts, words_of
@@ -74,6 +74,16 @@ def test_suffix_repeats_equal_brute_force(spark):
         assert bytes(g.kept) == bytes(p for p, x in zip(pieces, gone) if not x)
 
 
+def test_repeats_do_not_rest_on_one_fingerprint(spark, monkeypatch):
+    """Nearly all windows share the first fingerprint; the second still tells them apart."""
+    monkeypatch.setattr(repeats, "mixed", lambda x: x % np.uint64(5) << np.uint64(60))
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 4000)
+    rows = texts_with_repeats(4)
+    for dedup, window, cut in ((dedup_blocks, 20, lambda t: t.encode().split()), (dedup_suffixes, 100, lambda t: list(t.encode()))):
+        want = brute_repeats(rows, window, cut)
+        assert {g.doc_id: g.n_removed for g in dedup(frame(spark, rows)).collect()} == {i: sum(gone) for i, (_, gone) in want.items()}
+
+
 def test_repeats_of_nothing(spark, nothing):
     assert dedup_blocks(nothing).count() == 0 and dedup_suffixes(nothing).count() == 0
 
