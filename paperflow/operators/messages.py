@@ -119,6 +119,16 @@ def _rank(status: Column) -> Column:
     return chain.otherwise(0)
 
 
+def delivery_state(events: DataFrame) -> DataFrame:
+    """M9: what the fold needs of the status events of each message. Built-in aggregates, for a table and for a stream."""
+    failed, rank = F.col("status") == "FAILED", _rank(F.col("status"))
+    return events.groupBy("wa_message_id").agg(
+        F.min(F.when(failed, F.struct("seq", "error_code", "at"))).alias("_fail"),
+        F.min(F.when(rank >= 2, F.col("seq"))).alias("_arrived"),
+        F.max(rank).alias("_rank"),
+        F.min(F.when(rank > 0, F.struct((-rank).alias("r"), F.col("seq"), F.col("at")))).alias("_best"))
+
+
 def fold_delivery(events: DataFrame, outbound: DataFrame) -> DataFrame:
     """M9: the state of each outbound message after its status events, in `seq` order.
 
@@ -126,15 +136,13 @@ def fold_delivery(events: DataFrame, outbound: DataFrame) -> DataFrame:
     the message (a transient code with attempts left re-queues it and frees its id, so later events of that id find
     nothing); otherwise failures are ignored and the highest rank wins.
     """
-    failed = F.col("status") == "FAILED"
-    rank = _rank(F.col("status"))
-    per_message = events.groupBy("wa_message_id").agg(
-        F.min(F.when(failed, F.struct("seq", "error_code", "at"))).alias("_fail"),
-        F.min(F.when(rank >= 2, F.col("seq"))).alias("_arrived"),
-        F.max(rank).alias("_rank"),
-        F.min(F.when(rank > 0, F.struct((-rank).alias("r"), F.col("seq"), F.col("at")))).alias("_best"))
+    return judge_delivery(delivery_state(events), outbound)
+
+
+def judge_delivery(state: DataFrame, outbound: DataFrame, how: str = "left") -> DataFrame:
+    """M9: outbound messages (with the attempts made so far) after the events summed up in `state`."""
     joined = outbound.withColumnRenamed("wa_message_id", "_id").join(
-        per_message, F.col("_id") == F.col("wa_message_id"), "left").drop("wa_message_id")
+        state, F.col("_id") == F.col("wa_message_id"), how).drop("wa_message_id")
     start = _rank(F.col("status"))
     ends = (F.col("_fail").isNotNull() & (start < 2)
             & (F.col("_arrived").isNull() | (F.col("_fail.seq") < F.col("_arrived"))))

@@ -1,4 +1,4 @@
-"""S1-S3, S5, S6 and the streaming forms of M9, M13, M14: tables written to the shared folder and read back."""
+"""S1-S3, S5, S6, the sinks of S7 and S8 and the streaming forms of M9, M13, M14, M16: tables written to the shared folder and read back."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import messages as M
 from ..scale import shared_folder
 from ..sources import files as S
+from ..streaming import history as H
 from ..streaming import streams as T
+from ..streaming import windows as W
+from ..streaming.epochs import latest, read_epochs, write_epoch
 from . import export, messages
 from .registry import ORACLE, Tables, query
 
@@ -68,45 +71,87 @@ def state_tables(t):
 
 # ------------------------------------------------------------------ streams
 
-def event_stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
+SLICES = 5
 
 
-def run(t: Tables, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drain a stream into a table of the shared folder and read it; in update mode the last batch of a key wins."""
-    out, checkpoint = fresh(t, name), fresh(t, name + "-checkpoint")
+def event_stream(t: Tables, slices: int = SLICES) -> DataFrame:
+    """All events as files that came one after the other, read one slice to a micro-batch."""
+    folder = fresh(t, "arrivals")
+    files = max(1, t.events.count() // slices // 5_000_000)
+    number = F.col("event_id") * slices / (t.events.agg(F.max("event_id")).first()[0] + 1)
+    for k in range(slices):
+        t.events.where(F.floor(number) == k).repartition(files).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
-    def write(batch, epoch):
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
-    started = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    started.awaitTermination()
-    return t.spark.read.parquet(out)
+def streamed(t: Tables) -> Tables:
+    """The tables with events as a stream."""
+    out = Tables(t.spark, t.folder)
+    out.events = event_stream(t)
+    return out
 
 
-@query("m9_fold_delivery_stream", """
-WITH e AS (SELECT event_id // 6 AS m, event_id, event_type, value, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 0 END AS rank FROM events),
-g AS (SELECT m, MIN(event_id) FILTER (event_type = 'error') AS fail, MIN(event_id) FILTER (rank >= 2) AS arrived, MAX(rank) AS top FROM e GROUP BY m), j AS (SELECT g.*, x.value FROM g LEFT JOIN e x ON x.event_id = g.fail)
-SELECT 'w' || m AS wa_message_id, CASE WHEN fail IS NOT NULL AND (arrived IS NULL OR fail < arrived) THEN CASE WHEN value < 10 THEN 'PENDING' ELSE 'FAILED' END ELSE CASE top WHEN 2 THEN 'DELIVERED' WHEN 3 THEN 'READ' ELSE 'SENT' END END AS status FROM j""")
+@query("m9_fold_delivery_stream", ORACLE["m9_fold_delivery"])
 def delivery_stream(t):
-    s = Tables(t.spark, t.folder)
-    s.events = event_stream(t)
-    rows = run(t, T.fold_delivery_stream(messages.delivery_events(s)), "delivery", "update")
-    return rows.groupBy("wa_message_id").agg(F.max_by("status", "_epoch").alias("status"))
+    target = fresh(t, "delivery")
+    T.delivery_stream(messages.delivery_events(streamed(t)), messages.outbound_messages(t), target, fresh(t, "delivery-checkpoint")).awaitTermination()
+    return T.delivered_messages(t.spark, target).select("message_id", "status", F.coalesce("last_error", F.lit("")).alias("last_error"),
+                                                        F.coalesce("wa_message_id", F.lit("")).alias("wa_message_id"))
 
 
 @query("m13_dedup_messages_stream", f"SELECT user_id || '-' || {messages.KIND.format('BIGINT')} AS message_id, MIN(event_id) AS event_id FROM events GROUP BY 1")
 def dedup_stream(t):
     rows = event_stream(t).select(F.expr(f"user_id || '-' || {messages.KIND.format('BIGINT')}").alias("message_id"), "event_id", F.col("ts").cast("timestamp").alias("at"))
-    target = fresh(t, "messages")
-    T.dedup_stream(rows, "message_id", "at", target, fresh(t, "messages-checkpoint"), "message_id string, event_id long, at timestamp", order=["at", "event_id"], keep_all=True).awaitTermination()
-    return t.spark.read.parquet(target).select("message_id", "event_id")
+    history = H.MessageHistory(fresh(t, "messages"), "message_id", "message_id string, event_id long, at timestamp")
+    H.dedup_stream(rows, history, ["at", "event_id"], fresh(t, "messages-checkpoint")).awaitTermination()
+    return history.read(t.spark).select("message_id", "event_id")
 
 
 @query("m14_group_pages_stream", f"""WITH {messages.GROUPS_SQL}, d AS (SELECT user_id, document_no, COUNT(*) AS page_count, MIN(ts) AS created, MAX(ts) AS last FROM grouped GROUP BY 1, 2)
-SELECT CAST(user_id AS VARCHAR) AS sender_id, page_count, strftime(created, '%Y-%m-%d %H:%M:%S') AS created_at FROM d WHERE epoch_us(last) + {messages.GAP * 1000000} < (SELECT MAX(epoch_us(ts)) FROM events) - 60000000""")
+SELECT CAST(user_id AS VARCHAR) AS sender_id, page_count, strftime(created, '%Y-%m-%d %H:%M:%S') AS created_at,
+ CASE WHEN epoch_us(last) // 1000 + {messages.GAP * 1000} < (SELECT MAX(epoch_us(ts)) // 1000 FROM events) - 60000 THEN 'PENDING_AI' ELSE 'CAPTURED' END AS status FROM d""")
 def group_stream(t):
-    # Sessions still open at the watermark stay in state.
-    pages = event_stream(t).select(F.col("user_id").cast("string").alias("sender_id"), F.col("ts").cast("timestamp").alias("received_at"))
-    rows = run(t, T.group_stream(pages, messages.GAP), "groups", "append")
-    return rows.select("sender_id", "page_count", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    pages = event_stream(t).select(F.col("user_id").alias("sender_id"), F.col("ts").cast("timestamp").alias("received_at"))
+    target = fresh(t, "groups")
+    changes = W.document_changes(pages, messages.GAP)
+    (changes.writeStream.outputMode("update").option("checkpointLocation", fresh(t, "groups-checkpoint")).trigger(availableNow=True)
+     .foreachBatch(lambda batch, epoch: write_epoch(batch, target, epoch)).start().awaitTermination())
+    return W.documents(read_epochs(t.spark, target, W.CHANGE)).select(
+        "sender_id", "page_count", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "status")
+
+
+@query("s7_sync_log", ORACLE["s7_sync_registered"])
+def sync_log(t):
+    """Documents become registered one slice after the other; each is sent in its micro-batch."""
+    documents, visits, send = messages.sync_tables(t)
+    folder, log = fresh(t, "registered"), fresh(t, "sync-log")
+    for k in range(2):
+        documents.where("status = 'REGISTERED'").where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == k).select("document_id").coalesce(1).write.mode("append").parquet(folder)
+    arrivals = t.spark.readStream.schema("document_id string").option("maxFilesPerTrigger", 1).parquet(folder)
+    T.sync_stream(arrivals, documents, visits, log, fresh(t, "sync-checkpoint"), send).awaitTermination()
+    last = latest(T.read_sync_log(t.spark, log), ["document_id"])
+    return last.select(F.col("document_id").cast("long").alias("document_id"), "status", F.coalesce("ack_id", F.lit("")).alias("ack_id"))
+
+
+@query("s8_flush_outbox", """
+WITH i AS (SELECT event_id AS id, user_id, event_type = 'error' AS bad FROM events),
+f AS (SELECT *, MIN(CASE WHEN bad THEN id END) OVER (PARTITION BY user_id) AS first_bad FROM i),
+r AS (SELECT *, CASE WHEN first_bad IS NULL OR id < first_bad THEN 1 ELSE 2 END AS run FROM f),
+g AS (SELECT user_id, id // 50 AS part, MAX(run) AS closed FROM r GROUP BY 1, 2)
+SELECT CAST(id AS VARCHAR) AS id, 'SYNCED' AS state, CAST(CASE WHEN id = first_bad THEN 2 ELSE 1 END AS BIGINT) AS attempts, 'P' || id AS page_id, closed AS group_closed_in
+FROM r JOIN g ON g.user_id = r.user_id AND g.part = r.id // 50""")
+def flush_outbox(t):
+    """Two runs over all events as items of their users: in the first an error is not acknowledged."""
+    items = t.events.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("sender_id"), F.col("event_id").alias("seq"),
+                            F.expr("concat(user_id, '-', event_id div 50)").alias("group_id"), F.col("event_type").alias("payload"))
+    log, closings = fresh(t, "outbox-log"), fresh(t, "closings")
+    for run in (1, 2):
+        first = run == 1
+
+        def send(item, payload, first=first):
+            return {} if first and payload == "error" else {"page_id": f"P{item}", "document_id": f"D{int(item) // 50}"}
+
+        T.flush_outbox(items, log, run, send)
+        T.close_groups(items, log, closings, run, lambda document: {"ok": True})
+    closed = read_epochs(t.spark, closings, T.CLOSING).where("ok").groupBy("group_id").agg(F.min("epoch").cast("int").alias("group_closed_in"))
+    return T.item_states(items, log).join(closed, "group_id", "left").select("id", "state", "attempts", "page_id", "group_closed_in")

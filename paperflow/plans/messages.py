@@ -162,11 +162,14 @@ SELECT m AS message_id, CASE WHEN fail IS NOT NULL AND (arrived IS NULL OR fail
   CASE WHEN fail IS NOT NULL AND (arrived IS NULL OR fail < arrived) AND value < 10 AND m % 12 < 10 THEN '' ELSE 'w' || m END AS wa_message_id
 FROM j""")
 def fold_delivery(t):
-    outbound = t.events.select(F.expr("event_id div 6").alias("message_id")).distinct().select(
+    return M.fold_delivery(delivery_events(t), outbound_messages(t)).select(
+        "message_id", "status", F.coalesce("last_error", F.lit("")).alias("last_error"), F.coalesce("wa_message_id", F.lit("")).alias("wa_message_id"))
+
+
+def outbound_messages(t: Tables) -> DataFrame:
+    return t.events.select(F.expr("event_id div 6").alias("message_id")).distinct().select(
         "message_id", F.expr("concat('w', message_id)").alias("wa_message_id"), F.lit("SENT").alias("status"), F.expr("cast(message_id % 12 as int)").alias("attempts"),
         F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("next_attempt_at"), F.lit(None).cast("timestamp").alias("updated_at"))
-    return M.fold_delivery(delivery_events(t), outbound).select("message_id", "status", F.coalesce("last_error", F.lit("")).alias("last_error"),
-                                                                F.coalesce("wa_message_id", F.lit("")).alias("wa_message_id"))
 
 
 @query("m10_map_replies", f"""
@@ -315,6 +318,13 @@ def delivery_overview(t):
 SELECT o.o_orderkey AS document_id, CASE WHEN n.n <= 7 THEN 'SYNCED' ELSE 'REGISTERED' END AS status, CASE WHEN n.n <= 7 THEN 'ACK-' || o.o_orderkey || '-' || n.n ELSE '' END AS ack_id
 FROM orders o JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1) n ON n.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'""")
 def sync_registered(t):
+    documents, visits, send = sync_tables(t)
+    log = t.spark.createDataFrame([], "document_id string")
+    acks = S.sync_registered(S.sync_payloads(documents, visits, log), send)
+    return acks.select(F.col("document_id").cast("long").alias("document_id"), "status", F.coalesce("ack_id", F.lit("")).alias("ack_id"))
+
+
+def sync_tables(t: Tables):
     # Finished orders with lines are registered documents; a registry that takes at most seven visits refuses the rest.
     documents = t.orders.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select(
         F.col("o_orderkey").cast("string").alias("document_id"), F.lit("F1").alias("facility_id"), F.col("o_orderkey").cast("string").alias("patient_id"),
@@ -325,9 +335,7 @@ def sync_registered(t):
         n = sum(1 for _v in visits_)
         return {"status": "ACKNOWLEDGED", "ack_id": f"ACK-{document}-{n}"} if n <= 7 else {"status": "BUSY"}
 
-    log = t.spark.createDataFrame([], "document_id string")
-    acks = S.sync_registered(S.sync_payloads(documents, visits, log), send)
-    return acks.select(F.col("document_id").cast("long").alias("document_id"), "status", F.coalesce("ack_id", F.lit("")).alias("ack_id"))
+    return documents, visits, send
 
 
 @query("s8_replay_outbox", """

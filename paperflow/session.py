@@ -28,6 +28,8 @@ RUNTIME = {
     # Split the partition of a hot join key, also where that costs one more shuffle after the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The state of custom stateful operators lies in RocksDB, which holds more than memory does.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -1,7 +1,7 @@
-"""Structured Streaming: the same rules as the batch operators, with bounded state.
+"""Delivery states as a stream, and the two places where something is sent.
 
-The watermark is ours: it bounds what the stream remembers. Exactness does not rest on it, since every sink removes what
-its target already holds (`left_anti` on persisted keys), so replays and restarts change nothing.
+Sending is at least once, with ids the receiver recognises. What was answered is a table by epoch (`epochs`), so a task
+that is lost and repeated, or an epoch that is run again, leaves one answer for each document or item.
 """
 
 from __future__ import annotations
@@ -9,87 +9,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import catalog as C
-from ..functions.text import backoff_seconds
-from ..operators.messages import _rank
+from ..operators.messages import delivery_state, judge_delivery
 from ..scale import cut_lineage, first_by
+from .epochs import is_complete, latest, read_epochs, write_epoch
 
 
-def read_stored(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """A table that may not have been written yet."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(columns).parquet(path) if exists else spark.createDataFrame([], columns)
+DELIVERED = "message_id long, wa_message_id string, status string, attempts int, last_error string, next_attempt_at timestamp, updated_at timestamp"
 
 
-def dedup_stream(messages: DataFrame, key: str, at: str, target: str, checkpoint: str, columns: str, delay: str = "1 hour",
-                 order: list[str] | None = None, keep_all: bool = False) -> StreamingQuery:
-    """M13 as a stream: first delivery of each id, appended to `target` once whatever is replayed.
+def delivery_stream(events: DataFrame, outbound: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """M9 as a stream: the messages whose state a micro-batch changed, judged over all their events and written by epoch.
 
-    `dropDuplicatesWithinWatermark` is a cheap filter before the exact check against the ids already stored; it keeps any
-    one of the copies, so `keep_all` leaves it out when the earliest of a micro-batch must be the one that stays.
+    The aggregates are kept up to date by the stream; the attempts of each message come from the outbound table by a join
+    of the changed messages only. As a message is always judged over its whole history, it does not matter where the
+    micro-batches were cut.
     """
-    near = messages if keep_all else messages.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_epoch(judge_delivery(batch, outbound, "inner"), target, epoch)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        first = first_by(batch, [key], order or [at])
-        first.join(read_stored(spark, target, columns).select(key), key, "left_anti").write.mode("append").parquet(target)
+    return (delivery_state(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(write).start())
 
-    return near.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
-
-def group_stream(pages: DataFrame, window_seconds: int = C.GROUP_WINDOW_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """M14 and M16 as a stream: a document per session window; in append mode it comes out once its window has closed."""
-    return (pages.withWatermark("received_at", delay)
-            .groupBy("sender_id", F.session_window("received_at", f"{window_seconds} seconds"))
-            .agg(F.count(F.lit(1)).alias("page_count"), F.min("received_at").alias("created_at"), F.max("received_at").alias("last_page_at"))
-            .select("sender_id", "page_count", "created_at", "last_page_at", F.lit("PENDING_AI").alias("status")))
-
-
-def delivery_state_stream(events: DataFrame) -> DataFrame:
-    """M9 as a stream of built-in aggregates: what `fold_delivery` needs of each message, kept up to date."""
-    failed, rank = F.col("status") == "FAILED", _rank(F.col("status"))
-    return events.groupBy("wa_message_id").agg(
-        F.min(F.when(failed, F.struct("seq", "error_code", "at"))).alias("first_failure"),
-        F.min(F.when(rank >= 2, F.col("seq"))).alias("arrived_seq"), F.max(rank).alias("top_rank"))
-
-
-DELIVERY_OUTPUT = "wa_message_id string, status string, last_error string, attempts int"
-DELIVERY_STATE = "status string, last_error string"
-
-
-def fold_delivery_stream(events: DataFrame, attempts: int = 1) -> DataFrame:
-    """M9 as a custom stateful operator: the status of each message after every micro-batch, in seq order."""
-    ranks = {"SENT": 1, "DELIVERED": 2, "READ": 3}
-    transient, most = set(C.TRANSIENT_CODES), C.MAX_ATTEMPTS
-
-    def fold(key, batches: Iterator[pd.DataFrame], state):
-        status, error = state.get if state.exists else ("SENT", None)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for event, code in zip(rows["status"], rows["error_code"]):
-            if status in ("FAILED", "PENDING"):
-                break
-            if event == "FAILED":
-                if status == "SENT":
-                    error = f"STATUS_FAILED_{'None' if pd.isna(code) else int(code)}"
-                    again = not pd.isna(code) and int(code) in transient and attempts < most
-                    status = "PENDING" if again else "FAILED"
-            elif ranks.get(event, 0) > ranks.get(status, 0):
-                status = event
-        state.update((status, error))
-        yield pd.DataFrame({"wa_message_id": [key[0]], "status": [status], "last_error": [error], "attempts": [attempts]})
-
-    return events.groupBy("wa_message_id").applyInPandasWithState(fold, DELIVERY_OUTPUT, DELIVERY_STATE, "update", "NoTimeout")
-
-
-def next_attempt(at: Column, attempts: Column) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(at) + backoff_seconds(attempts))
+def delivered_messages(spark: SparkSession, target: str) -> DataFrame:
+    """M9: the last state of every message that had events."""
+    return latest(read_epochs(spark, target, DELIVERED), ["message_id"]).drop("epoch")
 
 
 ACK = "document_id string, patient_id string, ack_id string, status string, error_type string"
@@ -104,13 +53,11 @@ def sync_payloads(documents: DataFrame, visits: DataFrame, log: DataFrame) -> Da
         visits.select("patient_id", F.struct(*rest).alias("visit")), "patient_id", "left")
 
 
-def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[dict]], dict]) -> DataFrame:
-    """Send each document once and return an acknowledgement or an error type per document.
+def deliver_payloads(payloads: DataFrame, send: Callable[[str, str, Iterator[str]], dict]) -> DataFrame:
+    """Send each document once and give an acknowledgement or an error type per document. Every reading sends.
 
     Rows are partitioned by document and sorted inside each partition, so a task streams the visits of one document
-    after the other to `send(document_id, patient_id, visits)` without holding them. The answers are stored in the shared
-    folder, so that reading them again, as statuses and as failures, does not send again. Should a lost executor repeat a
-    task, `send` gets its documents a second time with the same ids, which the receiver recognises.
+    after the other to `send(document_id, patient_id, visits)` without holding them.
     """
     statuses = tuple(C.ACK_STATUSES)  # the function for the workers closes over values, not over this package
     rows = payloads.select("document_id", "patient_id", F.to_json("visit").alias("visit")).repartition("document_id").sortWithinPartitions("document_id")
@@ -140,7 +87,52 @@ def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[dict
                 answers = []
         yield pd.DataFrame(answers, columns=columns)
 
-    return cut_lineage(rows.mapInPandas(deliver, ACK))
+    return rows.mapInPandas(deliver, ACK)
+
+
+def sync_registered(payloads: DataFrame, send: Callable[[str, str, Iterator[str]], dict]) -> DataFrame:
+    """Send once and store the answers in the shared folder, so that reading them again, as statuses and as failures,
+    does not send again. `sync_to_log` keeps them for later runs as well."""
+    return cut_lineage(deliver_payloads(payloads, send))
+
+
+def read_sync_log(spark: SparkSession, log: str) -> DataFrame:
+    """All answers with the epoch in which they came."""
+    return read_epochs(spark, log, ACK)
+
+
+def synced_documents(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
+    return read_epochs(spark, log, ACK, before).where("status = 'SYNCED'").select("document_id")
+
+
+def sync_to_log(documents: DataFrame, visits: DataFrame, log: str, epoch: int, send: Callable[[str, str, Iterator[str]], dict]) -> DataFrame:
+    """Send the registered documents the log does not hold as synced and append the answers as one epoch.
+
+    Spark's writer keeps the rows of one attempt of each task and marks the epoch complete at the end. So a repeated task
+    leaves one acknowledgement per document, an epoch that broke off is sent again and replaced, and a complete one sends
+    nothing. Documents that failed before are in the next epoch again if `documents` has them.
+    """
+    spark = documents.sparkSession
+    if not is_complete(spark, log, epoch):
+        payloads = sync_payloads(documents.dropDuplicates(["document_id"]), visits, synced_documents(spark, log, epoch))
+        write_epoch(deliver_payloads(payloads, send), log, epoch)
+    return read_sync_log(spark, log).where(F.col("epoch") == epoch)
+
+
+def failed_documents(spark: SparkSession, log: str, before: int) -> DataFrame:
+    """Documents whose last answer was an error."""
+    return latest(read_epochs(spark, log, ACK, before), ["document_id"]).where("status <> 'SYNCED'").select("document_id")
+
+
+def sync_stream(registered: DataFrame, documents: DataFrame, visits: DataFrame, log: str, checkpoint: str,
+                send: Callable[[str, str, Iterator[str]], dict]) -> StreamingQuery:
+    """S7 as a stream: documents (`registered` streams their ids) are sent in the micro-batch in which they come, with
+    those whose last sending failed."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        due = batch.select("document_id").union(failed_documents(batch.sparkSession, log, epoch)).distinct()
+        sync_to_log(documents.join(due, "document_id", "left_semi"), visits, log, epoch, send)
+
+    return registered.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def apply_acknowledgements(documents: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,3 +163,89 @@ def closable_groups(state: DataFrame) -> DataFrame:
     """Groups whose items have all been delivered and that had pages."""
     return state.where("group_id IS NOT NULL").groupBy("group_id").agg(
         F.bool_and(F.col("state") == "SYNCED").alias("_done")).where("_done").select("group_id")
+
+
+ITEM = "id string, sender_id string, seq long, group_id string, page_id string, document_id string, error string"
+CLOSING = "group_id string, document_id string, ok boolean"
+
+
+def cursors(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
+    """How far each sender's items have been delivered. Items go out in order, so one number says it."""
+    return read_epochs(spark, log, ITEM, before).where("page_id IS NOT NULL").groupBy("sender_id").agg(F.max("seq").alias("cursor"))
+
+
+def open_items(outbox: DataFrame, done: DataFrame) -> DataFrame:
+    """The items behind the cursor of their sender, one for each id: what an outbox still holds after acknowledgements."""
+    return (first_by(outbox, ["id"], ["seq"]).join(done, "sender_id", "left")
+            .where(F.col("cursor").isNull() | (F.col("seq") > F.col("cursor"))).drop("cursor"))
+
+
+def flush_outbox(outbox: DataFrame, log: str, run: int, send: Callable[[str, str], dict], most: int | None = None) -> DataFrame:
+    """Deliver the open items of each sender in order of `seq`, up to the first that fails, and log what came back.
+
+    `outbox` has id, sender_id, seq, group_id and payload. `send(id, payload)` must answer with a `page_id`. A sender's items
+    are one sorted stream through one task, which holds one at a time; with `most`, a run delivers so many of each sender,
+    so a run that breaks off repeats no more than these. A run that is complete sends nothing when it is called again.
+    """
+    spark = outbox.sparkSession
+    if is_complete(spark, log, run):
+        return read_epochs(spark, log, ITEM).where(F.col("epoch") == run)
+    todo = open_items(outbox, cursors(spark, log, run)).select("id", "sender_id", "seq", "group_id", "payload")
+
+    def deliver(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sender, stopped, n = None, False, 0
+        for frame in batches:
+            out = []
+            for id_, whose, seq, group, payload in frame.itertuples(index=False):
+                if whose != sender:
+                    sender, stopped, n = whose, False, 0
+                if stopped or (most is not None and n == most):
+                    continue
+                n += 1
+                page = document = error = None
+                try:
+                    answer = send(id_, payload)
+                    answer = answer if isinstance(answer, dict) else {}
+                    page, document = answer.get("page_id") or None, answer.get("document_id")
+                    error = None if page else "NOT_ACKNOWLEDGED"
+                except Exception as failure:  # the type only: messages may quote patient data
+                    error = type(failure).__name__
+                stopped = error is not None
+                out.append((id_, whose, seq, group, page, document, error))
+            yield pd.DataFrame(out, columns=["id", "sender_id", "seq", "group_id", "page_id", "document_id", "error"])
+
+    ordered = todo.repartition("sender_id").sortWithinPartitions("sender_id", "seq")
+    write_epoch(ordered.mapInPandas(deliver, ITEM), log, run)
+    return read_epochs(spark, log, ITEM).where(F.col("epoch") == run)
+
+
+def item_states(outbox: DataFrame, log: str) -> DataFrame:
+    """State, attempts, page_id and last error of every item, from the log of all runs."""
+    rows = read_epochs(outbox.sparkSession, log, ITEM)
+    acked = rows.where("page_id IS NOT NULL").select("id", "page_id")
+    tries = rows.where("error IS NOT NULL").select("id", F.col("epoch").alias("seq"), "error")
+    state = replay_outbox(outbox, acked, tries)[1]
+    return state.withColumn("attempts", F.col("attempts") + (F.col("state") == "SYNCED").cast("int"))
+
+
+def close_groups(outbox: DataFrame, log: str, closings: str, run: int, close: Callable[[str], dict]) -> DataFrame:
+    """Close the documents of the groups whose items have all been delivered, each until it is acknowledged."""
+    spark = outbox.sparkSession
+    if not is_complete(spark, closings, run):
+        done = read_epochs(spark, closings, CLOSING, run).where("ok").select("group_id", "document_id")
+        of_group = read_epochs(spark, log, ITEM).where("document_id IS NOT NULL").select("group_id", "document_id").distinct()
+        todo = closable_groups(item_states(outbox, log)).join(of_group, "group_id").join(done, ["group_id", "document_id"], "left_anti")
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                answers = []
+                for document in frame["document_id"]:
+                    try:
+                        answer = close(document)
+                        answers.append(isinstance(answer, dict) and bool(answer.get("ok")))
+                    except Exception:  # counts as not acknowledged
+                        answers.append(False)
+                yield frame[["group_id", "document_id"]].assign(ok=pd.Series(answers, dtype=bool))
+
+        write_epoch(todo.select("group_id", "document_id").mapInPandas(ask, CLOSING), closings, run)
+    return read_epochs(spark, closings, CLOSING).where(F.col("epoch") == run)
