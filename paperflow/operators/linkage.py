@@ -226,9 +226,9 @@ def fill_keys(patients: DataFrame, documents: DataFrame) -> DataFrame:
 
 def assign_ids(df: DataFrame, order: str, prefix: str, start: Column | int = 0, out: str = "new_id", block_size: int = 65_536) -> DataFrame:
     """Dense ids PREFIX-000001, ... in `order` (a unique whole number). Rows are numbered inside blocks of the order;
-    only one count per block is added up in one place."""
+    the counts of the blocks are added up level by level."""
     base = start if isinstance(start, Column) else F.lit(start)
-    return numbered(df, [], [order], F.floor(F.col(order) / block_size), "_no").withColumn(
+    return numbered(df, [], [order], F.floor(F.col(order) / block_size), "_no", levels=3).withColumn(
         out, F.format_string(f"{prefix}-%06d", F.col("_no") + base)).drop("_no")
 
 

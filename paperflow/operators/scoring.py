@@ -151,11 +151,11 @@ def section_confusion(runs: DataFrame) -> DataFrame:
     return runs.groupBy("layout", found.alias("found")).agg(F.count(F.lit(1)).alias("pages"), F.count("review_reason").alias("reviewed"))
 
 
-def timing_stats(runs: DataFrame, keys: list[str], seconds: str = "seconds", bin_width: float = 1.0) -> DataFrame:
+def timing_stats(runs: DataFrame, keys: list[str], seconds: str = "seconds") -> DataFrame:
     """Q12: median, element int(0.9 (n - 1)) of the sorted times, and maximum, exactly and without sorting a group."""
     n = F.col("n")
     stats = order_statistics(runs, keys, seconds, {
-        "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "p90": F.floor((n - 1) * 9 / 10), "maximum": n - 1}, bin_width)
+        "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "p90": F.floor((n - 1) * 9 / 10), "maximum": n - 1})
     return stats.select(*keys, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p90", "maximum")
 
 
@@ -214,8 +214,8 @@ def assign_split(pages: DataFrame, layouts: DataFrame, page: str = "page") -> Da
             .join(table, F.col("_at") == F.col("_position")).drop("_at", "_position"))
 
 
-def ink_distribution(marks: DataFrame, keys: list[str], ink: str = "ink", bin_width: float = 0.01) -> DataFrame:
+def ink_distribution(marks: DataFrame, keys: list[str], ink: str = "ink") -> DataFrame:
     """Q18: number, minimum, median and maximum of the ink share per box state."""
     n = F.col("n")
-    s = order_statistics(marks, keys, ink, {"minimum": F.lit(0), "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "maximum": n - 1}, bin_width)
+    s = order_statistics(marks, keys, ink, {"minimum": F.lit(0), "_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "maximum": n - 1})
     return s.select(*keys, "n", "minimum", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "maximum")

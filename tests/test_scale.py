@@ -73,3 +73,41 @@ def test_candidates_plan_has_no_product(spark):
 def test_cells_plan_has_no_product(spark):
     plan = QUERIES["p7_assign_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_prefix_sums_level_by_level(spark):
+    rows = [(k * 977 - 40_000, k % 7) for k in range(300)] + [(1 << 40, 5), (-(1 << 40), 2), (None, 3)]
+    got = {r.n: r.before for r in scale.prefix_sums(spark.createDataFrame(rows, "n long, t long"), "n", "t", "before").collect()}
+    low = lambda n: float("-inf") if n is None else n
+    assert got == {n: sum(t for m, t in rows if low(m) < low(n)) for n, _ in rows}
+
+
+def test_ids_are_numbered_without_one_task_for_all_blocks(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 5000 * 50_021).alias("k"))
+    got = L.assign_ids(df, "k", "DOC", 100, block_size=65_536)
+    assert {r.k: r.new_id for r in got.collect()} == {r.k: f"DOC-{101 + i:06d}" for i, r in enumerate(df.orderBy("k").collect())}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(0," not in plan and "windowspecdefinition(_group3" in plan
+
+
+def test_running_sums_and_maxima_before_each_row(spark):
+    df = hot(spark)
+    w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    got = scale.running_before(df, ["k"], ["id"], scale.block("id", 100), {"s": "v"}, {"m": "v"}).select("id", "s", "m")
+    want = df.select("id", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.max("v").over(w).alias("m"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_radix_selection_of_a_hot_bin_and_of_odd_doubles(spark):
+    # A million different values within one binade, in one key; the selection never sorts more than `small` of them.
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("k").alias("k"), (1 + F.col("id") * 7919 % n / (2 * n)).alias("v"))
+    middle = {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 1}
+    got = scale.order_statistics(df, ["k"], "v", middle, 1000).first()
+    assert (got.n, got.low, got.mid, got.high) == (n, 1.0, 1 + (n // 2) / (2 * n), 1 + (n - 1) / (2 * n))
+    values = [float("nan"), float("inf"), -float("inf"), 0.0, -1e308, 1e308, 5e-324, -5e-324, 1.0, 1.0 + 2**-52, -3.5, 2.0, 2.0 - 2**-52, None]
+    odd = spark.createDataFrame([("a", v) for v in values] * 3, "k string, v double")
+    ranks = {f"r{i}": F.lit(i) for i in range(39)}
+    row = scale.order_statistics(odd, ["k"], "v", ranks, 1).first()
+    ordered = sorted([v for v in values if v is not None and v == v] * 3) + [float("nan")] * 3
+    assert str([row[f"r{i}"] for i in range(39)]) == str(ordered)
