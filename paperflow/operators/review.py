@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..scale import block, cut_lineage, first_by, neighbour, numbered, running_count, salted_join
+from ..scale import block, cut_lineage, first_by, neighbour, numbered, running_before, running_count, salted_join
 
 FIELD_KEY = ["document_id", "section", "encounter_index", "item_index", "field"]
 SEQ_BLOCK = 65_536
@@ -230,43 +230,90 @@ def page_chain(pages: DataFrame) -> DataFrame:
         resolved = resolved.unionByName(arrived.select("page_id", F.col("to").alias("active_page_id"), F.col("hops").alias("steps")))
 
 
-def move_pages(pages: DataFrame, moves: DataFrame, documents: DataFrame, retakes: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages after the moves, verdict per move, documents to reset or delete).
+MOVE_BLOCK = 4096
 
-    Moves have move_id, page_id, target_document_id (a fresh id for a split) and `split`. Replaced originals follow their
-    active page, positions are compacted, both drafts are dropped, and a document without pages is removed.
+
+def move_pages(pages: DataFrame, moves: DataFrame, documents: DataFrame, retakes: DataFrame, chain: DataFrame,
+               ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pages after the moves, verdict per move, documents to reset or delete, retakes after the moves).
+
+    Moves have move_id (a whole number that orders them), page_id, target_document_id (a fresh id for a split) and `split`.
+    The result is that of the moves one by one: each is judged on where its page is, how many pages are left there and which
+    documents still exist at its turn. Replaced originals and their retakes follow their active page, positions are
+    compacted, both drafts are dropped, and a document without pages is removed.
+
+    A verdict depends on earlier moves only: on the last one of its page and on the sizes of two documents. So verdicts are
+    guessed for all moves together and judged again from running sums under the guess, until none changes. The first move
+    is right at once and each round settles at least the next one, so what stays is the sequential result; in practice a
+    round settles all but the moves that hang on a wrong guess.
     """
     docs = documents.select("document_id", "status", "facility_id")
     pending = retakes.where("status = 'PENDING'").select("page_id").distinct().withColumn("_retake", F.lit(True))
-    sizes = active_pages(pages).groupBy("document_id").agg(F.count(F.lit(1)).alias("_size"))
-    first = moves.groupBy("page_id").agg(F.min("move_id").alias("_first"))
+    home = pages.select("page_id", F.col("document_id").alias("_home"), "replaced_by").join(
+        docs.select(F.col("document_id").alias("_home"), F.col("status").alias("_hs"), F.col("facility_id").alias("_hf")), "_home", "left")
     target = docs.select(F.col("document_id").alias("target_document_id"), F.col("status").alias("_ts"), F.col("facility_id").alias("_tf"))
-    judged = (moves.join(first, "page_id").join(pages.select("page_id", "document_id", "replaced_by"), "page_id", "left")
-              .join(docs.withColumnsRenamed({"status": "_ss", "facility_id": "_sf"}), "document_id", "left")
-              .join(pending, "page_id", "left").join(sizes, "document_id", "left").join(target, "target_document_id", "left"))
-    reason = (F.when(F.col("document_id").isNull(), "PAGE_NOT_FOUND").when(F.col("move_id") != F.col("_first"), "STALE")
-              .when(F.col("replaced_by").isNotNull(), "PAGE_REPLACED").when(F.col("_retake"), "RETAKE_PENDING")
-              .when(F.col("_ss").isin(C.REGISTERED), "ALREADY_REGISTERED")
-              .when(~F.col("split") & (F.col("target_document_id") == F.col("document_id")), "SAME_DOCUMENT")
-              .when(~F.col("split") & F.col("_ts").isNull(), "DOCUMENT_NOT_FOUND").when(~F.col("split") & F.col("_ts").isin(C.REGISTERED), "ALREADY_REGISTERED")
-              .when(~F.col("split") & (F.col("_tf") != F.col("_sf")), "OTHER_FACILITY").when(F.col("split") & (F.col("_size") == 1), "ONLY_PAGE"))
-    verdicts = judged.select("move_id", "page_id", F.col("document_id").alias("source_document_id"), "target_document_id", reason.alias("reason"))
+    split_from = moves.where("split").join(home, "page_id").groupBy("target_document_id").agg(F.min("_hf").alias("_sf"))  # a new document is of its page's facility
+    known = (moves.select("move_id", "page_id", "target_document_id", "split").join(home, "page_id", "left").join(pending, "page_id", "left")
+             .join(target, "target_document_id", "left").join(split_from, "target_document_id", "left"))
+    fixed = (F.when(F.col("_home").isNull(), "PAGE_NOT_FOUND").when(F.col("replaced_by").isNotNull(), "PAGE_REPLACED")
+             .when(F.col("_retake"), "RETAKE_PENDING").when(F.col("_hs").isin(C.REGISTERED), "ALREADY_REGISTERED"))
+    later = (F.when(~F.col("split") & F.col("_ts").isin(C.REGISTERED), "ALREADY_REGISTERED")
+             .when(~F.col("split") & (F.coalesce("_tf", "_sf") != F.col("_hf")), "OTHER_FACILITY"))
+    static = cut_lineage(known.select("move_id", "page_id", "split", "_home", F.col("target_document_id").alias("_to"),
+                                      F.col("_ts").isNotNull().alias("_stored"), fixed.alias("_fixed"), later.alias("_later")))
+    sizes = cut_lineage(active_pages(pages).groupBy("document_id").agg(F.count(F.lit(1)).alias("_size")))
+
+    guess = static.withColumns({"_from": F.col("_home"), "reason": F.coalesce("_fixed", "_later")})
+    while True:
+        judged = cut_lineage(_judge_moves(guess, sizes))
+        changed = judged.where(~F.col("reason").eqNullSafe(F.col("_old")) | ~F.col("_from").eqNullSafe(F.col("_old_from")))
+        guess = judged.drop("_old", "_old_from")
+        if changed.isEmpty():
+            break
+    verdicts = guess.select("move_id", "page_id", F.col("_from").alias("source_document_id"), F.col("_to").alias("target_document_id"), "reason")
     accepted = verdicts.where("reason IS NULL")
-    carried = chain.join(accepted.select(F.col("page_id").alias("active_page_id"), F.col("target_document_id").alias("_to"), F.col("move_id").alias("_order")),
-                         "active_page_id").select("page_id", "_to", "_order")
+
+    final = accepted.groupBy(F.col("page_id").alias("active_page_id")).agg(
+        F.max_by("target_document_id", "move_id").alias("_in"), F.max("move_id").alias("_order"))
+    carried = chain.join(final, "active_page_id").select("page_id", "_in", "_order")
     moved = pages.join(carried, "page_id", "left").withColumns({
-        "document_id": F.coalesce("_to", "document_id"), "_late": F.coalesce("_order", F.lit(0))})
-    # Moved pages go behind the pages already there, in the order of the moves.
-    active = active_pages(moved).withColumn("_rank", F.struct((F.col("_late") > 0).alias("m"), F.col("_late").alias("l"), F.col("position").alias("p")))
-    new_position = numbered(active.select("document_id", "page_id", "_rank", (F.col("_late") > 0).cast("int").alias("_m"), "position"), ["document_id"],
-                            ["_rank", "page_id"], F.col("_m") * 1_000_000_000 + F.when(F.col("_m") == 0, F.floor(F.col("position") / 4096)).otherwise(0),
-                            "_new").select(F.col("page_id").alias("active_page_id"), "_new")
-    placed = moved.join(chain.select("page_id", "active_page_id"), "page_id", "left").join(new_position, "active_page_id", "left").withColumn(
+        "document_id": F.coalesce("_in", "document_id"), "_late": F.coalesce(F.col("_order"), F.lit(-1))})
+    # Moved pages stand behind the pages already there, in the order of the moves; blocks of moves are buckets of their own.
+    active = active_pages(moved).select("document_id", "page_id", "_late", "position", F.col("_order").isNotNull().alias("_came"))
+    block_ = F.when(F.col("_came"), F.lit(1 << 40) + block("_late", MOVE_BLOCK)).otherwise(block("position", MOVE_BLOCK))
+    place = numbered(active, ["document_id"], ["_came", "_late", "position", "page_id"], block_, "_new").select(F.col("page_id").alias("active_page_id"), "_new")
+    placed = moved.join(chain.select("page_id", "active_page_id"), "page_id", "left").join(place, "active_page_id", "left").withColumn(
         "position", F.coalesce("_new", "position")).select(*pages.columns)
     touched = accepted.select(F.explode(F.array("source_document_id", "target_document_id")).alias("document_id")).distinct()
     left = active_pages(placed).select("document_id").distinct().withColumn("_has", F.lit(True))
     effects = touched.join(left, "document_id", "left").select("document_id", F.when(F.col("_has"), "RESET").otherwise("DELETE").alias("effect"))
-    return placed, verdicts, effects
+    followed = retakes
+    if "document_id" in retakes.columns:
+        followed = retakes.join(carried.select("page_id", "_in"), "page_id", "left").withColumn(
+            "document_id", F.coalesce("_in", "document_id")).select(*retakes.columns)
+    return placed, verdicts, effects, followed
+
+
+def _judge_moves(guess: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One round of `move_pages`: verdict and source of every move if all earlier moves end as guessed."""
+    taken = F.col("reason").isNull()
+    own = running_before(guess.withColumn("_moved", F.when(taken, F.col("move_id"))), ["page_id"], ["move_id"], block("move_id", MOVE_BLOCK), maxima={"_last": "_moved"})
+    there = guess.where(taken).select(F.col("move_id").alias("_last"), F.col("_to").alias("_now"))
+    placed = own.join(there, "_last", "left").withColumns({"_old": F.col("reason"), "_old_from": F.col("_from")}).withColumn("_from", F.coalesce("_now", "_home"))
+    # Two rows for each move, one for each document it looks at; accepted moves take a page from one to the other.
+    sides = F.explode(F.array(F.struct(F.col("_from").alias("document_id"), F.lit(-1).alias("sign")), F.struct(F.col("_to").alias("document_id"), F.lit(1).alias("sign"))))
+    steps = placed.select("move_id", F.when(F.col("_old").isNull(), 1).otherwise(0).alias("_n"), sides.alias("_side")).select(
+        "move_id", "_side.document_id", "_side.sign", (F.col("_n") * F.col("_side.sign")).alias("_step"), F.when(F.col("_side.sign") < 0, F.col("_n")).otherwise(0).alias("_gone"))
+    sums = running_before(steps.where("document_id IS NOT NULL"), ["document_id"], ["move_id", "sign"], block("move_id", MOVE_BLOCK), {"_sum": "_step", "_left": "_gone"})
+    seen = sums.join(sizes, "document_id", "left").withColumn("_size", F.coalesce("_size", F.lit(0)) + F.col("_sum"))
+    at = seen.groupBy("move_id").agg(F.max(F.when(F.col("sign") < 0, F.col("_size"))).alias("_source_size"), F.max(F.when(F.col("sign") > 0, F.col("_size"))).alias("_target_size"),
+                                     F.max(F.when(F.col("sign") > 0, F.col("_left"))).alias("_target_left"))
+    exists = (F.col("_target_size") > 0) | (F.col("_stored") & (F.col("_target_left") == 0))
+    reason = (F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).when(~F.col("split") & (F.col("_to") == F.col("_from")), "SAME_DOCUMENT")
+              .when(~F.col("split") & ~F.coalesce(exists, F.lit(False)), "DOCUMENT_NOT_FOUND").when(F.col("_later").isNotNull(), F.col("_later"))
+              .when(F.col("split") & (F.col("_source_size") == 1), "ONLY_PAGE"))
+    return placed.join(at, "move_id", "left").withColumn("reason", reason).select(
+        "move_id", "page_id", "split", "_home", "_to", "_stored", "_fixed", "_later", "_from", "reason", "_old", "_old_from")
 
 
 def discard_reviews(documents: DataFrame, fields: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import review as R
@@ -274,6 +274,66 @@ def move_verdicts(t):
     return moved(t)[1].select("move_id", *text("reason"))
 
 
+# Documents of three pages, so that moves meet one another: they empty documents, move a page again and aim at new ones.
+# The SQL takes the moves of a facility one by one and carries the accepted ones in a list.
+SEQUENCE_SQL = """
+pg AS (SELECT event_id AS page, event_id // 3 AS doc, value, CASE WHEN event_type = 'error' THEN LEAD(event_id) OVER (PARTITION BY event_id // 3 ORDER BY event_id) END AS repl FROM events),
+ch AS (SELECT *, MIN(CASE WHEN repl IS NULL THEN page END) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS active FROM pg),
+size0 AS (SELECT doc, COUNT(*) AS n FROM pg WHERE repl IS NULL GROUP BY doc),
+m0 AS (SELECT event_id AS id, event_id - event_id % 2 AS page, value > 60 AS split, event_id // 180 AS fac,
+  MAX(CASE WHEN value > 60 THEN event_id END) OVER (PARTITION BY event_id // 180 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM events WHERE event_type = 'purchase' AND value > 20),
+m AS (SELECT id, page, split, fac, CASE WHEN split THEN 1000000 + id WHEN id % 3 = 0 AND prev IS NOT NULL THEN 1000000 + prev ELSE id // 3 + id % 5 - 2 END AS target,
+  ROW_NUMBER() OVER (PARTITION BY fac ORDER BY id) AS k FROM m0),
+j AS (SELECT m.*, pg.doc AS home, pg.repl, coalesce(pg.value BETWEEN 30 AND 35, false) AS retake, coalesce(t.n, 0) AS target_n, d.doc IS NOT NULL AS stored,
+  CASE WHEN target >= 1000000 THEN fac ELSE target // 60 END AS tfac
+  FROM m JOIN pg ON pg.page = m.page LEFT JOIN size0 t ON t.doc = m.target LEFT JOIN (SELECT DISTINCT doc FROM pg) d ON d.doc = m.target),
+step(fac, k, id, page, src, target, reason, acc) AS (
+ SELECT DISTINCT fac, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::STRUCT(p BIGINT, s BIGINT, t BIGINT)[] FROM j
+ UNION ALL SELECT fac, k, id, page, src, target, reason, CASE WHEN reason = '' THEN list_append(acc, {'p': page, 's': src, 't': target}) ELSE acc END
+ FROM (SELECT q.*, CASE WHEN repl IS NOT NULL THEN 'PAGE_REPLACED' WHEN retake THEN 'RETAKE_PENDING' WHEN home % 10 = 0 THEN 'ALREADY_REGISTERED'
+   WHEN NOT split AND target = src THEN 'SAME_DOCUMENT' WHEN NOT split AND NOT (tsize > 0 OR stored AND tleft = 0) THEN 'DOCUMENT_NOT_FOUND'
+   WHEN NOT split AND stored AND target % 10 = 0 THEN 'ALREADY_REGISTERED' WHEN NOT split AND tfac <> fac THEN 'OTHER_FACILITY'
+   WHEN split AND coalesce(z.n, 0) + len(list_filter(acc, lambda x: x.t = src)) - len(list_filter(acc, lambda x: x.s = src)) = 1 THEN 'ONLY_PAGE' ELSE '' END AS reason
+  FROM (SELECT j.*, s.acc, coalesce(list_last(list_transform(list_filter(s.acc, lambda x: x.p = j.page), lambda x: x.t)), home) AS src,
+     target_n + len(list_filter(s.acc, lambda x: x.t = j.target)) - len(list_filter(s.acc, lambda x: x.s = j.target)) AS tsize,
+     len(list_filter(s.acc, lambda x: x.s = j.target)) AS tleft FROM step s JOIN j ON j.fac = s.fac AND j.k = s.k + 1) q
+  LEFT JOIN size0 z ON z.doc = q.src)),
+moved AS (SELECT page, arg_max(target, id) AS target, max(id) AS id FROM step WHERE reason = '' GROUP BY page),
+act AS (SELECT ch.page, coalesce(moved.target, doc) AS doc, ROW_NUMBER() OVER (PARTITION BY coalesce(moved.target, doc) ORDER BY coalesce(moved.id, -1), ch.page) AS position
+  FROM ch LEFT JOIN moved ON moved.page = ch.page WHERE repl IS NULL)"""
+
+
+def moved_in_sequence(t: Tables):
+    e = t.events
+    near = e.withColumn("document_id", F.expr("event_id div 3")).withColumn("_next", F.lead("event_id").over(Window.partitionBy("document_id").orderBy("event_id")))
+    pages = near.select(F.col("event_id").alias("page_id"), "document_id", F.when(F.col("event_type") == "error", F.col("_next")).alias("replaced_by"), "value")
+    first = Window.partitionBy("document_id").orderBy("page_id")
+    rows = pages.select("page_id", "document_id", "replaced_by", F.sum(F.when(F.col("replaced_by").isNull(), 1).otherwise(0)).over(first).alias("position"))
+    docs = pages.select("document_id").distinct().select(
+        "document_id", F.when(F.col("document_id") % 10 == 0, "REGISTERED").otherwise("NEEDS_REVIEW").alias("status"), F.expr("document_id div 60").alias("facility_id"))
+    split, k = F.col("value") > 60, F.col("event_id")
+    asked = e.where("event_type = 'purchase' AND value > 20").withColumn("_prev", F.max(F.when(split, k)).over(
+        Window.partitionBy(F.expr("event_id div 180")).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)))
+    aim = F.when(split, k + 1_000_000).when((k % 3 == 0) & F.col("_prev").isNotNull(), F.col("_prev") + 1_000_000).otherwise(F.expr("event_id div 3 + event_id % 5 - 2"))
+    moves = asked.select(k.alias("move_id"), (k - k % 2).alias("page_id"), split.alias("split"), aim.alias("target_document_id"))
+    retakes = pages.where("value BETWEEN 30 AND 35").select("page_id", "document_id", F.lit("PENDING").alias("status"))
+    return R.move_pages(rows, moves, docs, retakes, R.page_chain(pages.select("page_id", "replaced_by")))
+
+
+@query("r12_move_sequence", f"WITH RECURSIVE {SEQUENCE_SQL} SELECT id AS move_id, src AS source_document_id, reason FROM step WHERE k > 0")
+def move_sequence(t):
+    return moved_in_sequence(t)[1].select("move_id", "source_document_id", *text("reason"))
+
+
+@query("r12_moved_pages", f"""WITH RECURSIVE {SEQUENCE_SQL} SELECT ch.page AS page_id, act.doc AS document_id, act.position, CASE WHEN ch.value BETWEEN 30 AND 35 THEN act.doc ELSE -1 END AS retake_document_id
+FROM ch JOIN act ON act.page = ch.active""")
+def moved_pages(t):
+    pages, _verdicts, _effects, retakes = moved_in_sequence(t)
+    follow = retakes.select("page_id", F.col("document_id").alias("retake_document_id"))
+    return pages.join(follow, "page_id", "left").select("page_id", "document_id", "position", F.coalesce("retake_document_id", F.lit(-1)).alias("retake_document_id"))
+
+
 @query("r13_discard_reviews", f"""WITH {FIRST_SQL}, n AS (SELECT l_orderkey, 2 * COUNT(*) FILTER (l_linestatus = 'F') AS n FROM visits GROUP BY 1)
 SELECT o_orderkey AS document_id, COALESCE(n.n, 0) AS discarded_reviews, o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS selection_discarded, CAST(o_orderkey % 4 + 1 AS INT) AS revision FROM orders LEFT JOIN n ON l_orderkey = o_orderkey""")
 def discard_reviews(t):
