@@ -7,7 +7,7 @@ Pieces of one length are alike to this rule, and there are at most `capacity` le
 lengths, a table bounded by the capacity whatever the corpus holds: a filled bin is a pattern, and it is repeated as
 often as the rule would find it again. The pieces themselves never leave the cluster. They are encoded once, numbered per
 length within the task that encodes them, and written; a count per task and length turns these numbers into ranks, and a
-rank of a length leads to its sequence and place by a search in the patterns. A length that a third of all pieces share
+rank of a length leads to its sequence and place by a search in its length's row of the patterns. A length that a third of all pieces share
 is therefore spread like any other.
 
 Cases: a null text is empty and holds only the end id; an empty table gives no rows. Only documents of more than
@@ -24,26 +24,29 @@ import sys
 import types
 import uuid
 from array import array
-from itertools import chain
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scale import cut_lineage, shared_folder
 from .common import broadcast_if_small
+from .token_files import _byte_characters
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, the longest of them, and bytes of text it encodes at a time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 WORD_BYTES = 64
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+MARKS = ".,;:!?)"
 TWO_SPACES = re.compile(r"\s\s")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ENCODED = "part int, doc_id long, piece int, start long, length long, number long, ids binary"
-PLACED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
 class SpacedEncoder:
@@ -58,7 +61,7 @@ class SpacedEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.characters = Tokenizer.from_file(path), _byte_characters()
         told = json.loads(self.tokenizer.to_str())
         splitter = told["pre_tokenizer"] or {}
         self.by_words = (told["normalizer"] is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex") is True
@@ -78,6 +81,37 @@ class SpacedEncoder:
             return SINGLE_SPACE.split(text)
         return text.split(" ")
 
+    def learn(self, fresh: list[str]) -> None:
+        """Remember the ids of new words. To the tokenizer a space and letters are one piece and marks behind them another,
+        so the model is asked for such pieces directly; all other words go through the whole tokenizer."""
+        known, others, marked, bodies = self.known, [], [], []
+        for w in fresh:
+            body = w.rstrip(MARKS)
+            if not (self.by_words and body.isalpha() and (body.isascii() or max(body) < "\u0250")):
+                others.append(w)
+            else:
+                if body not in known:
+                    bodies.append(body)
+                if len(body) < len(w):
+                    marked.append((w, body, "\n" + w[len(body):]))
+        bodies = list(set(bodies))
+        tokenize, space = self.tokenizer.model.tokenize, self.characters[0x20]
+        written = [w if w.isascii() else "".join([self.characters[b] for b in w.encode()]) for w in bodies]
+        self.keep(bodies, [[t.id for t in tokenize(space + w)] for w in written])
+        others = list({w for w in others if w not in known}.union(m for _, _, m in marked if m not in known))
+        for a in range(0, len(others), 1024):
+            some = others[a:a + 1024]
+            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\n" else " " + w for w in some], add_special_tokens=False)
+            self.keep(some, [e.ids for e in encoded])
+        ids, ends = self.ids, self.ends
+        self.keep([w for w, _, _ in marked], [ids[ends[a]:ends[a + 1]] + ids[ends[b]:ends[b + 1]] for a, b in ((known[body], known[m]) for _, body, m in marked)])
+
+    def keep(self, words: list[str], ids: list) -> None:
+        first = len(self.ends) - 1
+        self.ids.extend(chain.from_iterable(ids))
+        self.ends.extend(accumulate(map(len, ids), initial=self.ends.pop()))
+        self.known.update(zip(words, range(first, first + len(words))))
+
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text followed by the end id, and the number of ids of each text."""
         if len(self.ends) > REMEMBERED:
@@ -89,13 +123,7 @@ class SpacedEncoder:
             words += own[1:]
             counts.append(len(own))
         fresh = [w for w in set(words) if w not in self.known]
-        for a in range(0, len(fresh), 4096):
-            some = fresh[a:a + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\n" else " " + w for w in some], add_special_tokens=False)
-            for w, e in zip(some, encoded):
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
-                self.known[w] = len(self.ends) - 2
+        self.learn(fresh)
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         flat, ends = np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         length, begin = ends[index + 1] - ends[index], ends[index]
@@ -134,9 +162,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -
     def encode(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in chunks([len(t) for t in texts]):
-                flat, counts = encoder(tokenizer)(texts[a:b], end_id)
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for a, b in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                flat, counts = encoder(tokenizer)([t or "" for t in texts.slice(a, b - a).to_pylist()], end_id)
                 pieces = -(-counts // capacity)
                 of = np.repeat(np.arange(b - a), pieces)
                 piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -154,6 +182,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -
                     "part": pa.array(np.full(len(of), part, np.int32)), "doc_id": pa.array([ids[a + i] for i in of.tolist()], pa.int64()),
                     "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length),
                     "number": pa.array(number), "ids": pa.array(payload, pa.binary())})
+        encoder(tokenizer).forget()  # the worker lives on and need not hold the words of this task
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, ENCODED)
 
@@ -215,44 +244,30 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
-def place(plan: list[tuple[int, int, int, int, int, int]]):
-    """The sequence and offset of ranks of lengths."""
-    length, first, each, _, sequence, offset = np.array(sorted(plan), np.int64).reshape(-1, 6).T
-    of_length = np.searchsorted(length, np.arange((int(length.max()) if len(length) else 0) + 2))
-
-    def at(lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ranks, lengths))
-        row = np.empty(len(order), np.int64)
-        bounds = np.searchsorted(lengths[order], np.arange(len(of_length)))
-        for x in np.unique(lengths).tolist():
-            own = order[bounds[x]:bounds[x + 1]]
-            row[own] = of_length[x] + np.searchsorted(first[of_length[x]:of_length[x + 1]], ranks[own], side="right") - 1
-        inside = ranks - first[row]
-        return sequence[row] + inside // each[row], offset[row] + inside % each[row] * lengths
-
-    return at
+def plan_table(spark: SparkSession, plan: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """One row for each length, `capacity` rows at most: where its ranks lie, in the order of the first ranks."""
+    rows = [(length, *map(list, zip(*[(x[1], x[2], x[4], x[5]) for x in own]))) for length, own in groupby(sorted(plan), key=itemgetter(0))]
+    return spark.createDataFrame(rows, "length long, firsts array<long>, each array<long>, sequences array<long>, offsets array<long>")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids (32-bit little-endian), sequence_id, offset of every piece of every document."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
-    encode_pieces(docs, tokenizer, end_id, capacity).write.option("compression", "zstd").parquet(folder)
+    encode_pieces(docs, tokenizer, end_id, capacity).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
     pieces = spark.read.schema(ENCODED).parquet(folder)
     by_task = cut_lineage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
-    at = place(plan_bins({r["length"]: r["n"] for r in histogram}, capacity))
+    plan = F.broadcast(plan_table(spark, plan_bins({r["length"]: r["n"] for r in histogram}, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     ahead = broadcast_if_small(cut_lineage(by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))))
 
-    def put(batches):
-        for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            sequence, offset = at(lengths, batch.column("number").to_numpy() + batch.column("ahead").to_numpy())
-            kept = {name: batch.column(name) for name in ("doc_id", "piece", "start", "length", "ids")}
-            yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
-
-    return pieces.join(ahead, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", "number", "ahead").mapInArrow(put, PLACED)
+    rank = F.col("number") + F.col("ahead")
+    at = F.size(F.filter("firsts", lambda x: x <= F.col("rank"))) - 1
+    inside, each = F.col("rank") - F.get("firsts", F.col("at")), F.get("each", F.col("at"))
+    put = pieces.join(ahead, ["part", "length"]).withColumn("rank", rank).join(plan, "length").withColumn("at", at)
+    return put.select("doc_id", "piece", "start", "length", "ids", (F.get("sequences", F.col("at")) + F.floor(inside / each)).alias("sequence_id"),
+                      (F.get("offsets", F.col("at")) + inside % each * F.col("length")).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
