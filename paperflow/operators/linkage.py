@@ -121,19 +121,47 @@ def confirm_fields(fields: DataFrame, accepted: DataFrame, reviewer: Column, at:
                                "verified_by": F.when(hit, reviewer), "verified_at": F.when(hit, at)}).drop("_ok")
 
 
+VISIT_KEY = ["patient_id", "encounter_type", "visit_date"]
+
+
+def choose_documents(accepted: DataFrame) -> DataFrame:
+    """The documents of a batch that can be applied as they were judged, as if one after the other by seq: a document is
+    left out when an encounter of it has no date, when two of its encounters are one visit, or when a document applied
+    before it has touched one of its visits (it must be matched again against the new state).
+
+    Rounds over the undecided: who is first on all its visits is applied, and who shares a visit with it is left out. So a
+    visit that many documents claim is settled at once; rounds are only as many as the longest chain of documents that wait
+    for one another.
+    """
+    claims = accepted.groupBy("document_id", *VISIT_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    turns = accepted.groupBy("document_id").agg(F.min("seq").alias("_turn"), F.bool_or(F.col("visit_date").isNull()).alias("_undated"))
+    twice = claims.groupBy("document_id").agg(F.max("_n").alias("_most"))
+    sound = turns.where("NOT _undated").join(twice.where("_most = 1").select("document_id"), "document_id", "left_semi").drop("_undated")
+    undecided = cut_lineage(claims.select("document_id", *VISIT_KEY).join(sound, "document_id"))
+    applied = undecided.select("document_id").limit(0)
+    while not undecided.isEmpty():
+        order = F.struct("_turn", "document_id")
+        first = undecided.groupBy(*VISIT_KEY).agg(F.min(order).alias("_first"))
+        marked = undecided.join(first, VISIT_KEY).withColumn("_leads", F.col("_first") == order)
+        leaders = cut_lineage(marked.groupBy("document_id").agg(F.bool_and("_leads").alias("_leads")).where("_leads").select("document_id"))
+        applied = applied.unionByName(leaders)
+        taken = undecided.join(leaders, "document_id", "left_semi").select(*VISIT_KEY)
+        beaten = undecided.join(taken, VISIT_KEY, "left_semi").select("document_id").distinct()  # the leaders themselves as well
+        undecided = cut_lineage(undecided.join(beaten, "document_id", "left_anti"))
+    return applied
+
+
 def upsert_visits(visits: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(visits after the batch, outcome per encounter, deferred encounters).
 
     `accepted` rows: seq, document_id, patient_id, encounter_type, visit_date, slot, fields, decision (UPDATE, KEEP, FIELDS or
-    null), selected, by, at. Several encounters of one batch on one visit: the first is applied and the others are returned
-    as deferred, because they must be matched again against the new state. Encounters without a date belong to no visit and
-    are returned as deferred too. Applying a batch twice changes nothing.
+    null), selected, by, at. A document is applied whole or deferred whole (`choose_documents`); deferred ones must be
+    matched again against the new state. Applying a batch twice changes nothing.
     """
-    key = ["patient_id", "encounter_type", "visit_date"]
-    dated = accepted.where("visit_date IS NOT NULL")
-    winners = dated.groupBy(*key).agg(F.min("seq").alias("seq"))
-    first = dated.join(winners.select("seq"), "seq", "left_semi")
-    deferred = accepted.join(winners.select("seq"), "seq", "left_anti")
+    key = VISIT_KEY
+    chosen_docs = choose_documents(accepted)
+    first = accepted.join(chosen_docs, "document_id", "left_semi")
+    deferred = accepted.join(chosen_docs, "document_id", "left_anti")
     new = first.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("document_id", "slot", "fields", "decision", "selected", "by", "at", "seq")])
     both = visits.join(new, key, "full_outer")
     exists, arrives = F.col("visit_id").isNotNull(), F.col("n_seq").isNotNull()

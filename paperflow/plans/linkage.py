@@ -87,7 +87,7 @@ def encounters(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     fields = F.create_map(F.lit("visit_date"), F.lit("x"), F.lit("weight_kg"), ((k + k % 2) % 50).cast("string"), F.lit("hiv_test"), F.lit(None).cast("string"), F.lit("fundal_height_cm"), F.when(k % 4 == 1, "30"))
     return t.orders.select(k.alias("seq"), k.cast("string").alias("document_id"), F.lit(0).alias("encounter_index"), F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("encounter_type"),
-                           F.when(k % 13 != 0, F.to_date("o_orderdate")).alias("visit_date"), F.when(k % 5 == 0, "M8").otherwise("M7").alias("slot"), fields.alias("fields"), "o_orderstatus")
+                           F.when(k % 13 != 0, F.to_date("o_orderdate")).alias("visit_date"), F.when(k % 5 == 0, "M8").otherwise("M7").alias("slot"), fields.alias("fields"), "o_orderstatus", F.col("o_orderdate").alias("when"))
 
 
 VISITS_SQL = """e AS (SELECT o_orderkey AS k, o_custkey AS p, o_orderpriority AS ty, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS d, (o_orderkey + o_orderkey % 2) % 50 AS w, o_orderkey % 4 = 1 AS high, o_orderkey % 5 = 0 AS other, o_orderstatus AS s FROM orders),
@@ -160,6 +160,26 @@ def outcomes(t):
     return done.select("seq", "outcome").unionByName(deferred.select("seq", F.lit("DEFERRED").alias("outcome")))
 
 
+@query("l8_whole_documents", """
+WITH RECURSIVE e AS (SELECT o_orderkey AS seq, o_orderkey // 4 AS doc, (o_orderkey // 4) % 150 AS p, o_orderpriority || '|' || CASE WHEN o_orderkey % 97 <> 0 THEN year(o_orderdate) END AS v FROM orders),
+d AS (SELECT doc, p, COUNT(*) AS n, bool_or(v IS NULL) OR COUNT(*) <> COUNT(DISTINCT v) AS bad, list(v) AS keys, ROW_NUMBER() OVER (PARTITION BY p ORDER BY MIN(seq)) AS k FROM e GROUP BY doc, p),
+step(p, k, doc, n, ok, taken) AS (
+ SELECT DISTINCT p, 0::BIGINT, NULL::BIGINT, 0::BIGINT, false, []::VARCHAR[] FROM d
+ UNION ALL SELECT d.p, d.k, d.doc, d.n, NOT bad AND NOT list_has_any(s.taken, d.keys), CASE WHEN NOT bad AND NOT list_has_any(s.taken, d.keys) THEN list_concat(s.taken, d.keys) ELSE s.taken END
+ FROM step s JOIN d ON d.p = s.p AND d.k = s.k + 1)
+SELECT doc AS document_id, CASE WHEN ok THEN n ELSE 0 END AS applied, CASE WHEN ok THEN 0 ELSE n END AS deferred FROM step WHERE k > 0""")
+def whole_documents(t):
+    """Documents of up to four encounters of one patient, whose visits meet those of other documents."""
+    k = F.col("seq")
+    rows = encounters(t).select(k, F.expr("seq div 4").cast("string").alias("document_id"), (F.expr("seq div 4") % 150).alias("patient_id"), "encounter_type",
+                                F.when(k % 97 != 0, F.to_date(F.trunc(F.col("when"), "year"))).alias("visit_date"), "slot", "fields", F.lit("UPDATE").alias("decision"),
+                                F.array(F.lit("weight_kg")).alias("selected"), F.lit("r").alias("by"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    before = visits(t).limit(0)
+    _v, done, deferred = L.upsert_visits(before, rows)
+    sides = done.select("document_id", F.lit(1).alias("a")).unionByName(deferred.select("document_id", F.lit(0).alias("a")))
+    return sides.groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.sum("a").cast("long").alias("applied"), F.sum(1 - F.col("a")).cast("long").alias("deferred"))
+
+
 # ------------------------------------------------------------------ patients
 
 PEOPLE_SQL = "p AS (SELECT c_custkey AS id, c_nationkey // 5 AS fac, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHAR) END AS num, 'C' || c_custkey AS code FROM customer)"

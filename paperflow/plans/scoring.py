@@ -199,4 +199,4 @@ def split(t):
 
 @query("q18_ink_distribution", "SELECT l_returnflag, COUNT(*) AS n, MIN(l_extendedprice) AS minimum, MEDIAN(l_extendedprice) AS median, MAX(l_extendedprice) AS maximum FROM lineitem GROUP BY 1")
 def ink(t):
-    return Q.ink_distribution(t.lineitem, ["l_returnflag"], "l_extendedprice", 100.0)
+    return Q.ink_distribution(t.lineitem, ["l_returnflag"], "l_extendedprice")
