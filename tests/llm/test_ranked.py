@@ -64,6 +64,25 @@ def test_packing_covers_every_token_once(spark):
     assert len(bins) <= 1.05 * sum(g.length for g in got) / 2048 + 1
 
 
+def test_tables_of_ranks_say_the_same_as_the_tokenizer(spark):
+    encode = packing.TextEncoder(TOKENIZER)
+    assert encode.ranked is not None and packing.TextEncoder(public_word_file()).ranked is None
+    texts = [d.text or "" for d in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    texts += ["", " ", "  a  b\t\n c ", "don't  can't've", "x\u00a0y\u2003z\u0085", "1999\u00b2\u00bd 12,5%", "\u4e2d\u6587 text \U0001f600", "a<|endoftext|>b", "\x00\x1c \x1f", "ÀÉÎ ſ ǅ ñ'll"]
+    texts.append(" ".join(texts[:400]) * 3)  # cut into parts
+    ids, counts = encode(texts, 7)
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == [*whole_tokenizer().encode(text, add_special_tokens=False).ids, 7]
+    assert len(encode.parts(texts[-1])) > 1
+
+
+def public_word_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def one_bin_at_a_time(lengths, capacity):
     """The rule over single pieces."""
     left, bins = sorted(lengths, reverse=True), []
@@ -128,7 +147,7 @@ def test_packing_of_an_empty_table_and_of_other_tokenizers(spark, nothing):
 
     other = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(other)
-    ids, counts = packing.SpacedEncoder(other)(["Ein  Wort, two"], 0)
+    ids, counts = packing.TextEncoder(other)(["Ein  Wort, two"], 0)
     assert ids.tolist() == [*whole.encode("Ein  Wort, two", add_special_tokens=False).ids, 0] and counts.tolist() == [len(ids)]
 
 
