@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from hashlib import blake2b
 
 import numpy as np
 from pyspark import TaskContext, cloudpickle
@@ -10,6 +11,9 @@ from pyspark import TaskContext, cloudpickle
 SEGMENT = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xD1B54A32D192ED03
+#: Bytes up to which a word's fingerprint is a polynomial. Sums modulo 2**64 with odd factors have long inputs that collide
+#: whatever the factors (a Thue-Morse word and its mirror), so longer words are hashed by BLAKE2b.
+POLYNOMIAL_BYTES = 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: White space as a break, all other bytes as they are.
@@ -83,7 +87,10 @@ def word_spans(buf: np.ndarray, table: np.ndarray, second: bool = False) -> tupl
         up, down = _powers(len(code) + 1, multiplier)
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(of_byte[code] * up[:len(code)], out=total[1:])
-        prints.append((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        found = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        for k in np.flatnonzero(e - s > POLYNOMIAL_BYTES).tolist():
+            found[k] = int.from_bytes(blake2b(code[s[k]:e[k]].tobytes(), digest_size=8, person=b"second" if second else b"first").digest(), "little")
+        prints.append(found)
         starts.append(s + a)
         ends.append(e + a)
         a = b

@@ -1,7 +1,7 @@
 """Substring dedup with fixed-block anchors.
 
 The non-overlapping blocks of ten words of every document are the reference index. Every rolling window of ten words
-probes it; a hit is extended to the windows of 20 words around it, whose repeats are told by 128 bits of fingerprints,
+probes it; a hit is extended to the windows of 20 words around it, whose repeats are told by 96 bits of fingerprints,
 and overlapping repeated windows join to the maximal repeated spans. Any window of 20 words holds a whole reference
 block, so each repeat is met by at least one probe.
 

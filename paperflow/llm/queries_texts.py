@@ -36,7 +36,22 @@ def block_anchor_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_blocks(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_suffix_radix_dedup")
+SUFFIX_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+runs AS (SELECT doc_id, s, substr(h, 2 * s - 1, 200) AS t FROM (SELECT *, unnest(range(1, n - 98)) AS s FROM h WHERE n >= 100)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM runs) WHERE k > 1),
+islands AS (SELECT doc_id, s, sum(starts) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM (
+    SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS starts FROM later)),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY doc_id, i),
+edges AS (SELECT doc_id, coalesce(lag(b) OVER w, 1) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+    UNION ALL SELECT doc_id, coalesce(x.b, 1), n + 1 FROM h LEFT JOIN (SELECT doc_id, max(b) AS b FROM spans GROUP BY doc_id) x USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS k FROM edges JOIN h USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM h JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+
+@query("op7_suffix_radix_dedup", SUFFIX_SQL)
 def suffix_radix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of repeated strings of 100 bytes removed from all but their first place."""
     return dedup_suffixes(table(spark, folder, "documents")).select(

@@ -5,8 +5,8 @@ messages between batches and ranges of fingerprints decide everything:
 
 1. Each batch sends a thin set of short fingerprints (what is sent is the operator's method). A range answers, with one
    bit each, which occur at least twice in the table. Windows without such a piece cannot be repeated.
-2. Each batch sends two independent 64-bit fingerprints of its remaining windows, both made from the bytes; windows are
-   equal if both are. A range answers which of them an earlier batch holds.
+2. Each batch sends two fingerprints of its remaining windows, of 64 and of 32 bits, made from the bytes with different
+   tables and factors; windows are equal if both are. A range answers which of them an earlier batch holds.
 
 A batch sends every fingerprint once, however often it occurs there, so a passage found everywhere costs one entry per
 batch. Copies of a whole text are recognised beforehand by their hash: nothing of theirs is ever first, so they send nothing.
@@ -56,6 +56,11 @@ def pair_order(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.concatenate((np.ones(min(1, len(keys)), bool), ~(same & alike)))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """32 bits that depend on all bits of a 64-bit sum."""
+    return ((x * np.uint64(0xC2B2AE3D27D4EB4F) ^ (x >> np.uint64(29))) >> np.uint64(32)).astype(np.uint32)
+
+
 def answer(batches: list[int], kind: int, part: int, masks: list[np.ndarray]) -> pa.Table:
     kept = [i for i, m in enumerate(masks) if m.any()]
     return pa.table({
@@ -82,7 +87,7 @@ def later_in_range(table: pa.Table) -> pa.Table:
     rows = sorted(zip(table["batch"].to_pylist(), table["keys"].to_pylist(), table["seconds"].to_pylist()))
     batches, sets = [b for b, _, _ in rows], [unpack(x) for _, x, _ in rows]
     sizes = np.array([len(s) for s in sets])
-    every, seconds = np.concatenate(sets), np.concatenate([np.frombuffer(x, np.uint64) for _, _, x in rows])
+    every, seconds = np.concatenate(sets), np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in rows])
     order, new = pair_order(every, seconds)  # the order of the batches holds within equal pairs
     later = np.zeros(len(every), bool)
     later[order] = ~new
@@ -174,7 +179,8 @@ def resolve(docs: DataFrame, window: int, cut, second_values, prepare, sampled,
         prepared = prepare(values, ends)
         keys = np.unique(sampled(prepared)[0])
         at = likely(prepared, keys[mask_of(replies, REPEATED, keys, parts_1, 48)])
-        prints, seconds = mixed(rolling(values, window)[at]), rolling(second_values(own, values), window, second=True)[at]
+        prints = mixed(rolling(values, window)[at])
+        seconds = folded(rolling(second_values(own, values), window, second=True)[at])
         return ends, at, prints, seconds, *pair_order(prints, seconds)
 
     def extend(table, replies):

@@ -2,7 +2,7 @@
 
 Suffixes are ordered only through 100 bytes, most significant digit first, with two digits of 50 bytes; the order of a
 digit is that of its fingerprint. A pass keeps the groups of at least two suffixes, and after the last pass equal groups
-are the repeated windows, told by 128 bits of fingerprints. The first pass sorts one suffix for each window, the one with the least first digit
+are the repeated windows, told by 96 bits of fingerprints. The first pass sorts one suffix for each window, the one with the least first digit
 among the 51 that start in it with a whole digit: equal windows choose equal suffixes, so a window whose suffix is alone
 is unique, and about one suffix in 25 is sorted. The second pass sorts what is left through the full depth.
 

@@ -9,8 +9,9 @@ order of doc_id. A shard is a range of doc_id. The files are Parquet with one ro
     displace                  the hash function: one 32-bit signed number for each bucket of about four keys
     slots                     24 bytes a document: fingerprint of its key, offset and length in ids, each 64-bit little-endian
 
-A key goes to a bucket, its displacement gives the slot (a negative one is the slot itself), and the stored fingerprint
-tells a document of the shard from any other key: one access, whatever the number of documents. Next to the shards lies
+A key has two 64-bit hashes. The first leads to a bucket, both and the bucket's displacement give the slot (a negative one
+is the slot itself), and the second, stored as fingerprint, tells a document of the shard from any other key: one access,
+whatever the number of documents. Next to the shards lies
 `ranges`, the bounds of doc_id that lead a key to its shard.
 
 Cases: a null text is empty and holds only the end id. Rows that share a doc_id are keys (doc_id, 0), (doc_id, 1), ... in
@@ -19,6 +20,7 @@ the order of their texts. A null doc_id comes first. An empty table gives no sha
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -47,6 +49,16 @@ NULL_KEY = np.uint64(0x6E756C6C)
 #: Letters that the normalizer at most lowers (a-z and those of Latin-1), and marks that end a word without joining it.
 PLAIN_BODY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 MARKS = b".,;:!?%*#$&|)"
+#: Settings of a tokenizer file under which a text's ids are those of its words; fixed values of the format.
+WORDS = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Displacements tried for a bucket before the shard is given up: two keys then agree in 128 bits.
+TRIES = 1 << 22
 
 
 def _byte_characters() -> list[str]:
@@ -64,18 +76,24 @@ class WordEncoder:
 
     A word of plain letters with marks behind it is two pieces to the tokenizer, a run of letters and a run of marks, and
     all its normalizer does to them is to lower the letters. Such pieces are looked up in the tokenizer's model directly
-    and remembered; all other words go through the whole tokenizer.
+    and remembered; all other words go through the whole tokenizer. That holds for files with the settings `WORDS`; with
+    any other file whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.characters = Tokenizer.from_file(path), _byte_characters()
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = ({k: told[k] for k in WORDS} == WORDS and told["model"]["end_of_word_suffix"] == "</w>" and told["model"]["dropout"] is None
+                         and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]))
         self.forget()
 
     def forget(self) -> None:
         self.bodies: dict[bytes, int] = {}
         self.whole: dict[bytes, int] = {}
+        self.pairs: dict[bytes, int] = {}
+        self.firsts, self.seconds = array("q"), array("q")
         self.ids, self.ends = array("I"), array("q", [0])
 
     def keep(self, ids: list[int]) -> int:
@@ -88,7 +106,18 @@ class WordEncoder:
         return self.keep([t.id for t in self.tokenizer.model.tokenize(written)])
 
     def pieces(self, words: list[bytes]) -> np.ndarray:
-        """Two pieces for each word, the second -1 if there is none."""
+        """Two pieces for each word, the second -1 if there is none. Words met before are not cut again."""
+        fresh = [w for w in words if w not in self.pairs]
+        found = self.cut(fresh)
+        begin = len(self.firsts)
+        self.firsts.extend(found[:, 0].tolist())
+        self.seconds.extend(found[:, 1].tolist())
+        self.pairs.update(zip(fresh, range(begin, begin + len(fresh))))
+        at = np.fromiter(map(self.pairs.__getitem__, words), np.int64, len(words))
+        return np.stack((np.array(self.firsts, np.int64)[at], np.array(self.seconds, np.int64)[at]), axis=1)
+
+    def cut(self, words: list[bytes]) -> np.ndarray:
+        """`pieces` of new words."""
         first, second, unknown = [], [-1] * len(words), []
         bodies, whole = self.bodies, self.whole
         for k, word in enumerate(words):
@@ -132,8 +161,11 @@ class WordEncoder:
         return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
     def some(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ends) > REMEMBERED:
+        if len(self.pairs) > REMEMBERED or len(self.ends) > REMEMBERED:
             self.forget()
+        if not self.by_words:
+            encoded = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(encoded), np.uint32), np.array([len(e) for e in encoded])
         split = [t.split() for t in texts]
         index = {w: k for k, w in enumerate(set().union(*split))}
         pieces = np.concatenate((self.pieces(list(index)), [[self.keep([end_id]), -1]]))
@@ -157,21 +189,26 @@ def encoder(path: str) -> WordEncoder:
     return home.__dict__[path]
 
 
-def key_hash(ids: list[int | None], copies: list[int]) -> np.ndarray:
+def key_hash(ids: list[int | None], copies: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key; only the second tells a null apart from the number in its place."""
     base = np.array([int(NULL_KEY) if i is None else i & (2**64 - 1) for i in ids], np.uint64)
-    nulls = np.array([i is None for i in ids], np.uint64)
-    return mixed(mixed(base + nulls * np.uint64(1 << 63)) + np.array(copies, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    nulls, times = np.array([i is None for i in ids], np.uint64), np.array(copies, np.uint64)
+    first = mixed(mixed(base) + times * np.uint64(0x9E3779B97F4A7C15))
+    return first, mixed(mixed(base * np.uint64(0xD1B54A32D192ED03) + nulls) ^ mixed(times + np.uint64(0x632BE59BD9B4E019)))
 
 
-def slot_of(keys: np.ndarray, displace: np.ndarray, n: int) -> np.ndarray:
-    """The slot of each key hash in a shard of n documents."""
+def _slots(keys: np.ndarray, seconds: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(keys + d * (seconds | np.uint64(1))) % np.uint64(n)).astype(np.int64)
+
+
+def slot_of(keys: np.ndarray, seconds: np.ndarray, displace: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each key in a shard of n documents."""
     d = displace[(keys % np.uint64(len(displace))).astype(np.int64)].astype(np.int64)
-    hashed = mixed(keys + np.maximum(d, 0).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n)
-    return np.where(d < 0, -d - 1, hashed.astype(np.int64))
+    return np.where(d < 0, -d - 1, _slots(keys, seconds, np.maximum(d, 0).astype(np.uint64), n))
 
 
-def minimal_perfect_hash(keys: np.ndarray) -> np.ndarray:
-    """Displacements that send n distinct key hashes to n slots. Large buckets are placed first; single keys take what is free."""
+def minimal_perfect_hash(keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    """Displacements that send n distinct keys to n slots. Large buckets are placed first; single keys take what is free."""
     n = len(keys)
     displace = np.zeros(max(1, -(-n // 4)), np.int32)
     bucket = (keys % np.uint64(len(displace))).astype(np.int64)
@@ -182,17 +219,18 @@ def minimal_perfect_hash(keys: np.ndarray) -> np.ndarray:
     by_size = np.argsort(-sizes, kind="stable")
     tries = np.arange(1, 65, dtype=np.uint64)
     for b in by_size[:int((sizes > 1).sum())].tolist():
-        own, base = keys[order[begin[b]:begin[b] + sizes[b]]], np.uint64(0)
-        while True:
-            d = base + tries
-            slots = (mixed(own[None, :] + d[:, None] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n)).astype(np.int64)
+        own = order[begin[b]:begin[b] + sizes[b]]
+        for base in range(0, TRIES, len(tries)):
+            d = np.uint64(base) + tries
+            slots = _slots(keys[own][None, :], seconds[own][None, :], d[:, None], n)
             ordered = np.sort(slots, axis=1)
             good = np.flatnonzero(~used[slots].any(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1))
             if len(good):
                 displace[b] = int(d[good[0]])
                 used[slots[good[0]]] = True
                 break
-            base += np.uint64(len(tries))
+        else:
+            raise ValueError("keys of a shard cannot be told apart")
     singles = by_size[int((sizes > 1).sum()):int((sizes > 0).sum())]
     displace[singles] = -np.flatnonzero(~used)[:len(singles)] - 1
     return displace
@@ -217,11 +255,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
         for i in range(1, len(ids)):
             copies[i] = copies[i - 1] + 1 if ids[i] == ids[i - 1] else 0
         payload, lengths = encoder(tokenizer)([texts[i] for i in order], end_id)
-        keys = key_hash(ids, copies)
-        displace = minimal_perfect_hash(keys)
+        keys, seconds = key_hash(ids, copies)
+        displace = minimal_perfect_hash(keys, seconds)
         slots = np.zeros(len(ids), SLOT)
-        at = slot_of(keys, displace, len(ids))
-        slots["fingerprint"][at], slots["offset"][at], slots["length"][at] = mixed(keys), np.cumsum(lengths) - lengths, lengths
+        at = slot_of(keys, seconds, displace, len(ids))
+        slots["fingerprint"][at], slots["offset"][at], slots["length"][at] = seconds, np.cumsum(lengths) - lengths, lengths
         return pa.table({
             "shard": pa.array(table["shard"][:1].to_pylist(), pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([len(payload)], pa.int64()),
             "payload": pa.array([payload.astype("<u4").tobytes()], pa.binary()), "keys": pa.array([ids], pa.list_(pa.int64())),
@@ -236,9 +274,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
 def find(row: dict, ids: list[int | None], copies: list[int]) -> list[tuple[int, int] | None]:
     """Offset and length of keys in one shard, None for keys that are not there."""
     slots, displace = np.frombuffer(row["slots"], SLOT), np.frombuffer(row["displace"], "<i4")
-    keys = key_hash(ids, copies)
-    met = slots[slot_of(keys, displace, len(slots))]
-    good = met["fingerprint"] == mixed(keys)
+    keys, seconds = key_hash(ids, copies)
+    met = slots[slot_of(keys, seconds, displace, len(slots))]
+    good = met["fingerprint"] == seconds
     return [(int(m["offset"]), int(m["length"])) if g else None for m, g in zip(met, good)]
 
 

@@ -16,6 +16,7 @@ from paperflow.llm.token_files import lookup, read_token_files, shard_starts, wr
 
 from .conftest import FOLDER, frame, long_text
 
+WORD_FILE = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 ODD = [(2001, None, "a"), (2002, "", "a"), (2003, "one two three", None), (2003, "one two three", None), (None, "no id here", "b"), (None, "no id here", "b"), (2005, " \n\t ", ""), (2008, "a\0b   é", "a")]
 
 
@@ -258,3 +259,54 @@ def test_queries_read_whole_tables(spark):
     for name in ("op1_order_minhash_classes", "op5_language_codes", "op7_suffix_radix_dedup", "op8_token_shards"):
         assert QUERIES[name](spark, FOLDER).count() == n, name
     assert QUERIES["op9_chroma_fingerprints"](spark, FOLDER).count() == c
+
+
+def thue_morse(n, a, b):
+    """The word over two pieces that polynomials modulo 2**64 cannot tell from its mirror once it is long."""
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_long_words_that_polynomials_confuse_are_kept_apart(spark):
+    one, other = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    frame_words = " ".join(f"w{i}" for i in range(19))
+    got = {g.doc_id: g for g in dedup_blocks(frame(spark, [(1, f"{one} {frame_words}", "s"), (2, f"{other} {frame_words}", "s"), (3, f"{one} {frame_words}", "s")])).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, 20]
+
+
+def test_long_texts_that_polynomials_confuse_are_kept_apart(spark):
+    one, other = (" ".join(thue_morse(2048, *x)) for x in (("aa", "bb"), ("bb", "aa")))
+    got = {g.doc_id: g.class_id for g in near_duplicate_classes(frame(spark, [(1, one, "s"), (2, other, "s"), (3, one.upper(), "s")])).collect()}
+    assert got[1] == got[3] == 1 and (got[2] == 1) == similar_texts(one.encode(), other.encode())
+
+
+def test_keys_that_share_a_hash_end_and_are_told_apart(spark):
+    from paperflow.llm import token_files
+
+    rows = [(None, "no id", "s"), (-9223372035001586580, "its twin", "s"), (-5, "negative", "s"), (None, "no id again", "s")]
+    files = token_files.write_token_files(frame(spark, rows), WORD_FILE)
+    found = {g.doc_id: len(g.ids) for g in lookup(spark, files, spark.createDataFrame([(-9223372035001586580,), (-5,), (7,)], "doc_id long")).collect()}
+    assert set(found) == {-9223372035001586580, -5}
+    keys = np.zeros(3, np.uint64)  # one first hash for all: the second decides
+    displace = token_files.minimal_perfect_hash(keys, np.array([3, 10, 21], np.uint64))
+    assert sorted(token_files.slot_of(keys, np.array([3, 10, 21], np.uint64), displace, 3).tolist()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        token_files.TRIES, kept = 256, token_files.TRIES
+        try:
+            token_files.minimal_perfect_hash(keys, keys)
+        finally:
+            token_files.TRIES = kept
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from paperflow.llm.token_files import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [b"Two  words, here\n", b"", "Ünï 12".encode()]
+    ids, counts = WordEncoder(path)(texts, 9)
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t.decode(), add_special_tokens=False).ids, 9] for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert WordEncoder(WORD_FILE).by_words
