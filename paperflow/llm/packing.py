@@ -222,11 +222,12 @@ def plan_table(spark: SparkSession, plan: list[tuple[int, int, int, int, int, in
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (32-bit little-endian), sequence_id, offset of every piece of every document."""
+    """doc_id, piece, start, length, ids (32-bit little-endian), ids_crc32, sequence_id, offset of every piece of every document."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
-    encode_pieces(docs, tokenizer, end_id, capacity).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
-    pieces = spark.read.schema(ENCODED).parquet(folder)
+    # A checksum lies next to the ids, so that pieces can be placed and compared without reading the ids again.
+    encode_pieces(docs, tokenizer, end_id, capacity).withColumn("ids_crc32", F.crc32("ids")).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
+    pieces = spark.read.schema(f"{ENCODED}, ids_crc32 long").parquet(folder)
     by_task = cut_lineage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
     plan = F.broadcast(plan_table(spark, plan_bins({r["length"]: r["n"] for r in histogram}, capacity)))
@@ -237,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     at = F.size(F.filter("firsts", lambda x: x <= F.col("rank"))) - 1
     inside, each = F.col("rank") - F.get("firsts", F.col("at")), F.get("each", F.col("at"))
     put = pieces.join(ahead, ["part", "length"]).withColumn("rank", rank).join(plan, "length").withColumn("at", at)
-    return put.select("doc_id", "piece", "start", "length", "ids", (F.get("sequences", F.col("at")) + F.floor(inside / each)).alias("sequence_id"),
+    return put.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", (F.get("sequences", F.col("at")) + F.floor(inside / each)).alias("sequence_id"),
                       (F.get("offsets", F.col("at")) + inside % each * F.col("length")).alias("offset"))
 
 

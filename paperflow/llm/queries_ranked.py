@@ -17,7 +17,7 @@ def best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     packed = pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 SEARCH_SQL = r"""

@@ -53,6 +53,7 @@ def test_packing_covers_every_token_once(spark):
         assert len(pieces) == copies * -(-len(ids) // 2048)
         for g in pieces:
             assert g.length <= 2048 and np.frombuffer(g.ids, "<u4").tolist() == ids[g.start:g.start + g.length]
+            assert zlib.crc32(g.ids) == g.ids_crc32
             assert g.length == 2048 or g.piece == 0
         assert sum(g.length for g in pieces) == copies * len(ids)
     bins = {}
