@@ -155,11 +155,22 @@ LABELLED = [
     ("delivery", "birth_head_circumference_cm", r"perimetre\s*cranien\s*a\s*la\s*naissance", "Périmètre crânien à la naissance"),
     ("newborn", "consultation_date", r"date\s*de\s*la\s*consultation", "Date de la consultation"),
 ]
+# field, pattern of the label beside its single box, printed label
+SINGLE_BOXES = [
+    ("consanguinity_mark", r"consanguinite", "Consanguinité"),
+    ("pregnancy_desired_mark", r"grossesse\s*desiree", "Grossesse désirée"),
+]
+# field, option, pattern of the label beside the option's box, printed label
 CHOICE_BOXES = [
-    ("delivery_mode", "VAGINAL_NON_INSTRUMENTAL"), ("delivery_mode", "VAGINAL_INSTRUMENTAL"),
-    ("delivery_mode", "CESAREAN_PLANNED"), ("delivery_mode", "CESAREAN_EMERGENCY"),
-    ("feeding_mode", "EXCLUSIVE_BREASTFEEDING"), ("feeding_mode", "ARTIFICIAL"), ("feeding_mode", "MIXED"),
+    ("delivery_mode", "VAGINAL_NON_INSTRUMENTAL", r"voie\s*basse\s*non\s*instrumentale", "Voie basse non instrumentale"),
+    ("delivery_mode", "VAGINAL_INSTRUMENTAL", r"voie\s*basse\s*instrumentale", "Voie basse instrumentale"),
+    ("delivery_mode", "CESAREAN_PLANNED", r"cesarienne", "Césarienne : Programmée"),
+    ("delivery_mode", "CESAREAN_EMERGENCY", r"\burgence$", "Urgence"),
+    ("feeding_mode", "EXCLUSIVE_BREASTFEEDING", r"exclusivement\s*au\s*sein", "exclusivement au sein"),
+    ("feeding_mode", "ARTIFICIAL", r"\bartificiel$", "Artificiel"), ("feeding_mode", "MIXED", r"\bmixte$", "mixte"),
 ]
+# Where a box is looked for, in heights of its label from the start of the label's words, and the sides it may have.
+BOX_BEFORE, BOX_AFTER, BOX_UP_DOWN, BOX_SIDES = 2.6, 1.8, 1.0, (0.5, 1.3)
 PERIOD_TITLES = [("EARLY", r"post.?partum\s*precoce"), ("LATE", r"post.?partum\s*tardif")]
 PREVIOUS_DELIVERY_HEADER = r"accouch\.?\s*(\d)"
 PREVIOUS_DELIVERY_ROWS = [

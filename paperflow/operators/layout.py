@@ -322,6 +322,62 @@ def resolve_choice(marks: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise(F.array(F.lit("CHECKBOX_NONE_MARKED"))).alias("validation_flags"))
 
 
+def box_marks(lines: DataFrame, squares: DataFrame, pages: DataFrame, catalog: list[tuple]) -> DataFrame:
+    """State, ink and box of every check box of the catalog on every page.
+
+    `catalog` has (field, option or null, pattern of the label, printed label); `squares` are the printed squares that were
+    measured on a page: x0, y0, x1, y1, score of the outline, ink inside. A box belongs to a label when it lies round the
+    start of the label's words, is as high as writing there, and has the best outline. Labels are found by one aggregate
+    over the lines; each page's few squares meet its few labels.
+    """
+    text = norm(F.col("text"))
+    box = F.struct("line_no", "x0", "y0", "x1", "y1", text.alias("text"))
+    firsts = [F.min(F.when(text.rlike(pattern), box)).alias(f"l{i}") for i, (_f, _o, pattern, _l) in enumerate(catalog)]
+    found = pages.select(*PAGE).join(lines.groupBy(*PAGE).agg(*firsts), PAGE, "left")
+    start = lambda i, pattern: F.regexp_instr(F.col(f"l{i}.text"), F.lit(pattern)) - 1
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(f).alias("field"), F.lit(o).cast("string").alias("option"), F.lit(label).alias("label"), F.lit(i).alias("order"),
+        F.struct(*[F.col(f"l{i}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "text")], start(i, pattern).alias("start")).alias("line"))
+        for i, (f, o, pattern, label) in enumerate(catalog)]))
+    labels = found.select(*PAGE, rows.alias("r")).select(*PAGE, "r.*")
+    h = F.col("line.y1") - F.col("line.y0")
+    cy = (F.col("line.y0") + F.col("line.y1")) / 2
+    x = F.col("line.x0") + (F.col("line.x1") - F.col("line.x0")) * F.col("line.start") / F.greatest(F.length("line.text"), F.lit(1))
+    side = F.greatest(F.col("q.x1") - F.col("q.x0"), F.col("q.y1") - F.col("q.y0"))
+    near = ((F.col("q.x0") >= x - C.BOX_BEFORE * h) & (F.col("q.x1") <= x + C.BOX_AFTER * h) & (F.col("q.y0") >= cy - C.BOX_UP_DOWN * h)
+            & (F.col("q.y1") <= cy + C.BOX_UP_DOWN * h) & side.between(C.BOX_SIDES[0] * h, C.BOX_SIDES[1] * h))
+    each = squares.select(*PAGE, F.struct("x0", "y0", "x1", "y1", "score", "ink").alias("q"))
+    # By outline, then size, then distance from the words.
+    best = labels.where("line.x0 IS NOT NULL").join(each, PAGE).where(near).groupBy(*PAGE, "field", "order").agg(
+        F.max_by("q", F.struct("q.score", side, -F.abs((F.col("q.x0") + F.col("q.x1")) / 2 - x))).alias("q"))
+    joined = labels.join(best, [*PAGE, "field", "order"], "left")
+    state = mark_state(F.col("q.ink"), F.col("q").isNotNull(), F.col("line.x0").isNotNull())
+    return joined.select(*PAGE, "field", "option", "label", "order", state.alias("state"), F.col("q.ink").alias("ink"),
+                         *[F.col(f"q.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _evidence(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """The boxes looked at, in the order of the form, and the box round all that were found."""
+    return marks.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("order", "label", "state", F.bround("ink", 3).alias("ink")))),
+                    lambda m: F.struct(m["label"], m["state"], m["ink"])).alias("checkboxes"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def single_box_fields(marks: DataFrame) -> DataFrame:
+    """Fields of one box each: a clear state is KNOWN, an empty box as UNMARKED; anything else goes to review."""
+    flag = mark_flag(F.col("state"))
+    values = marks.select(*PAGE, "field", F.when(flag.isNull(), F.col("state")).alias("value"),
+                          F.when(flag.isNull(), "KNOWN").otherwise("NEEDS_REVIEW").alias("field_status"),
+                          F.array_compact(F.array(flag)).alias("validation_flags"))
+    return values.join(_evidence(marks, [*PAGE, "field"]), [*PAGE, "field"])
+
+
+def choice_box_fields(marks: DataFrame) -> DataFrame:
+    """Fields of a group of boxes, with the evidence of all of them."""
+    return resolve_choice(marks, [*PAGE, "field"]).join(_evidence(marks, [*PAGE, "field"]), [*PAGE, "field"])
+
+
 def photo_problem() -> Column:
     """The first reason a photo cannot be read, from its metrics."""
     return F.coalesce(
@@ -416,6 +472,13 @@ def bbox_fraction(x: Column, size: Column) -> Column:
     return F.bround(F.least(F.greatest(x / size, F.lit(0.0)), F.lit(1.0)), 4)
 
 
+def with_sources(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """P20: cells with their place on the photo (ix0..iy1, turned back by the page's angle) and `source`: page, row, column and
+    box as shares of the image. `pages` has angle, width and height of each page."""
+    placed = image_rect(cells.join(pages.select(*PAGE, "angle", "width", "height"), PAGE, "left").withColumn("angle", F.coalesce("angle", F.lit(0.0))))
+    return cell_boxes(placed).withColumn("source", F.struct("page_ref", F.col("row").alias("row"), F.col("slot").alias("column"), "bbox")).drop("bbox", "angle")
+
+
 def cell_boxes(cells: DataFrame) -> DataFrame:
     """P20: the box of each cell's text, or of the cell itself when it is empty, as fractions of the image."""
     def side(text, cell, size):

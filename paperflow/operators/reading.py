@@ -151,9 +151,11 @@ def read_bp(cells: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_grid_cells(cells: DataFrame, table: DataFrame, as_of: Column) -> DataFrame:
-    """All visit and laboratory rows of the grid: N13 for the pressure row, N12 for the others."""
-    bp = read_bp(cells.where("row = 'bp'").select(*PAGE, "slot", "text", "confidence", "empty_reason", "spans")).drop("normalized_from")
-    rest = read_values(cells.where("row <> 'bp'").select(*PAGE, "slot", F.col("row").alias("field"), "text", "confidence",
+    """All visit and laboratory rows of the grid: N13 for the pressure row, N12 for the others. A `source` of the cells
+    becomes that of the fields."""
+    own = [*PAGE, "slot", *(["source"] if "source" in cells.columns else [])]
+    bp = read_bp(cells.where("row = 'bp'").select(*own, "text", "confidence", "empty_reason", "spans")).drop("normalized_from")
+    rest = read_values(cells.where("row <> 'bp'").select(*own, F.col("row").alias("field"), "text", "confidence",
                                                          "empty_reason", "spans"), table, as_of)
     return rest.unionByName(bp)
 

@@ -186,6 +186,54 @@ def resolve_choice(t):
     return P.resolve_choice(marks, ["l_orderkey"]).select("l_orderkey", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"))
 
 
+# A page per order: two labels, and each order line as a printed square beside the label of its number.
+_BOXES_SQL = """
+WITH pages AS (SELECT o_orderkey FROM orders), labels AS (SELECT o_orderkey, i, o_orderkey % 7 <> i AS printed FROM pages, (SELECT UNNEST([1, 2, 3, 4]) AS i)),
+q AS (SELECT l_orderkey, l_linenumber AS i, l_discount * 4 AS ink, l_extendedprice AS score, CASE WHEN l_quantity < 4 THEN 40 ELSE 16 END AS side, CASE WHEN l_quantity > 40 THEN 100 ELSE 270 END AS x FROM lineitem),
+best AS (SELECT l_orderkey, i, arg_max(ink, score) AS ink FROM q WHERE side = 16 AND x = 270 GROUP BY 1, 2),
+marks AS (SELECT o_orderkey, labels.i, CASE WHEN NOT printed THEN 'LABEL_NOT_FOUND' WHEN ink IS NULL THEN 'BOX_NOT_FOUND' WHEN ink >= 0.18 THEN 'MARKED' WHEN ink <= 0.04 THEN 'UNMARKED' ELSE 'UNCLEAR' END AS state,
+  CASE WHEN printed THEN round(ink, 3) END AS ink, printed AND ink IS NOT NULL AS found FROM labels LEFT JOIN best ON l_orderkey = o_orderkey AND best.i = labels.i),
+flagged AS (SELECT *, CASE state WHEN 'UNCLEAR' THEN 'CHECKBOX_UNCLEAR' WHEN 'BOX_NOT_FOUND' THEN 'CHECKBOX_NOT_FOUND' WHEN 'LABEL_NOT_FOUND' THEN 'OCR_LABEL_NOT_FOUND' ELSE '' END AS flag FROM marks)"""
+
+
+def box_page(t: Tables):
+    o, h = t.orders.select(F.col("o_orderkey").alias("document_id"), F.lit("p").alias("page_ref")), 20.0
+    words = ["Consanguinité", "2 x Grossesse  désirée", "exclusivement au sein", "Mode : mixte"]
+    each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("line_no"), F.lit(w).alias("text")) for i, w in enumerate(words)]))
+    lines = o.withColumn("l", each).where(F.col("document_id") % 7 != F.col("l.line_no")).select(
+        "document_id", "page_ref", "l.line_no", "l.text", F.lit(300.0).alias("x0"), (F.col("l.line_no") * 100.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("l.line_no") * 100.0 + h).alias("y1"))
+    side = F.when(F.col("l_quantity") < 4, 40.0).otherwise(16.0)
+    # The words of the second and fourth label begin further right, and so do their boxes.
+    x = F.when(F.col("l_quantity") > 40, 100.0).otherwise(270.0) + F.when(F.col("l_linenumber") == 2, 200.0 * 4 / 21).when(F.col("l_linenumber") == 4, 200.0 * 7 / 12).otherwise(0.0)
+    squares = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.lit("p").alias("page_ref"), x.alias("x0"), (F.col("l_linenumber") * 100.0 + 2).alias("y0"), (x + side).alias("x1"),
+                                (F.col("l_linenumber") * 100.0 + 2 + side).alias("y1"), F.col("l_extendedprice").alias("score"), (F.col("l_discount") * 4).alias("ink"))
+    return lines, squares, o
+
+
+def evidence():
+    return F.array_join(F.transform("checkboxes", lambda m: F.concat_ws(":", m["label"], m["state"], F.coalesce(F.round(m["ink"] * 1000).cast("int").cast("string"), F.lit("-")))), "|")
+
+
+@query("p14_single_boxes", f"""{_BOXES_SQL}
+SELECT o_orderkey, CASE i WHEN 1 THEN 'consanguinity_mark' ELSE 'pregnancy_desired_mark' END AS field, CASE WHEN flag = '' THEN state ELSE '' END AS value, CASE WHEN flag = '' THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END AS field_status, flag AS flags,
+ CASE i WHEN 1 THEN 'Consanguinité:' ELSE 'Grossesse désirée:' END || state || ':' || coalesce(CAST(CAST(round(ink * 1000) AS INT) AS VARCHAR), '-') AS evidence, CASE WHEN found THEN i * 100 + 2 ELSE -1 END AS top FROM flagged WHERE i <= 2""")
+def single_boxes(t):
+    marks = P.box_marks(*box_page(t), [(f, None, pattern, label) for f, pattern, label in C.SINGLE_BOXES])
+    return P.single_box_fields(marks).select(F.col("document_id").alias("o_orderkey"), "field", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"),
+                                             evidence().alias("evidence"), F.coalesce(F.col("y0").cast("int"), F.lit(-1)).alias("top"))
+
+
+@query("p14_choice_boxes", f"""{_BOXES_SQL},
+g AS (SELECT o_orderkey, COUNT(*) FILTER (state = 'MARKED') AS marked, MAX(CASE WHEN state = 'MARKED' THEN CASE i WHEN 3 THEN 'EXCLUSIVE_BREASTFEEDING' ELSE 'MIXED' END END) AS sole, MAX(CASE WHEN i = 3 THEN state END) AS s3, MAX(CASE WHEN i = 4 THEN state END) AS s4,
+  MAX(CASE WHEN i = 3 THEN ink END) AS k3, MAX(CASE WHEN i = 4 THEN ink END) AS k4, bool_or(state IN ('BOX_NOT_FOUND')) AS lost, bool_or(state = 'UNCLEAR') AS unclear FROM flagged WHERE i >= 3 GROUP BY 1)
+SELECT o_orderkey, CASE WHEN marked = 1 THEN sole ELSE '' END AS value, 'NEEDS_REVIEW' AS field_status,
+ concat_ws(';', CASE WHEN marked > 1 THEN 'CHECKBOX_MULTIPLE_MARKED' END, CASE WHEN lost THEN 'CHECKBOX_NOT_FOUND' END, CASE WHEN unclear THEN 'CHECKBOX_UNCLEAR' END, 'OCR_LABEL_NOT_FOUND') AS flags,
+ 'exclusivement au sein:' || s3 || ':' || coalesce(CAST(CAST(round(k3 * 1000) AS INT) AS VARCHAR), '-') || '|Artificiel:LABEL_NOT_FOUND:-|mixte:' || s4 || ':' || coalesce(CAST(CAST(round(k4 * 1000) AS INT) AS VARCHAR), '-') AS evidence FROM g""")
+def choice_boxes(t):
+    marks = P.box_marks(*box_page(t), [b for b in C.CHOICE_BOXES if b[0] == "feeding_mode"])
+    return P.choice_box_fields(marks).select(F.col("document_id").alias("o_orderkey"), F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"), evidence().alias("evidence"))
+
+
 @query("p15_triage_photos", """
 WITH c AS (SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice, COALESCE(COUNT(l.l_orderkey) FILTER (1 - l.l_discount * 8 >= 0.5), 0) AS lines FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3)
 SELECT o_orderkey, CASE WHEN o_totalprice < 15000 THEN 'IMAGE_TOO_SMALL' WHEN o_totalprice / 2000 < 35 THEN 'IMAGE_TOO_DARK' WHEN o_totalprice / 2000 > 245 THEN 'IMAGE_OVEREXPOSED'

@@ -6,12 +6,13 @@ come from the order's lines, and the whole page is tilted by an angle that depen
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..scale import numbered
+from ..scale import numbered, shared_folder
 from .registry import Tables
 
 HEADERS = ["Visite 1", "Visite 2", "Visite 3", "Visite 1", "Visite 2", "Visite 3", "7e mois", "8e mois", "9e mois"]
@@ -42,16 +43,17 @@ def cell_texts() -> F.Column:
         F.when(F.col("l_linestatus") == "O", "NEG").otherwise(""), F.concat((q % 10 + 8).cast("string"), F.lit(",5")), F.lit("0,9 g/l"), F.lit("pos"))
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def kept(t: Tables, name: str, make) -> DataFrame:
-    """A derived table that stands for a stored one: made once per session and folder, spread evenly over the cores."""
+    """A derived table that stands for a stored one: written to the shared folder when it is first asked for, by page."""
     key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _KEPT:
-        parts = max(8, 2 * t.spark.sparkContext.defaultParallelism)
-        _KEPT[key] = make(t).repartition(parts, "document_id", "page_ref").persist(StorageLevel.MEMORY_AND_DISK)
-    return _KEPT[key]
+    if key not in _STORED:
+        path = f"{shared_folder(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        make(t).repartition("document_id", "page_ref").write.parquet(path)
+        _STORED[key] = path
+    return t.spark.read.parquet(_STORED[key])
 
 
 def ocr_lines(t: Tables) -> DataFrame:

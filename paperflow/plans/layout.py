@@ -193,6 +193,44 @@ def read_values(t):
     return fv.select("page_ref", "slot", "field", F.coalesce("value", F.lit("")).alias("value"), "field_status", F.array_join("validation_flags", ";").alias("flags"))
 
 
+# Places on the tilted photo: of the written text, or of the corners of an empty cell.
+SOURCE_SQL = f"""{CELLS_SQL}, pages AS (SELECT DISTINCT page_ref, (l_orderkey % 5 - 2) * 0.01::DOUBLE AS a FROM cells), slots AS (SELECT UNNEST({C.GRID_SLOTS}) AS slot, UNNEST(range(0, 9)) AS i),
+frame AS (SELECT page_ref, a, slot, i, r, names[r + 1] AS row FROM pages, slots, names, (SELECT UNNEST(range(0, 10)) AS r)),
+placed AS (SELECT f.*, c.text, c.q, c.low, c.l_returnflag, c.l_linestatus, c.l_shipdate, 335 + 100 * i AS tx, 260 + 40 * r AS ty, 285 + 100 * i AS l, 385 + 100 * i AS rt, 240 + 40 * r AS t, 280 + 40 * r AS b
+  FROM frame f LEFT JOIN (SELECT *, CASE WHEN conf < 0.85 THEN 'OCR_LOW_CONFIDENCE' ELSE '' END AS low FROM cells WHERE text <> '') c ON c.page_ref = f.page_ref AND c.slot = f.slot AND c.row = f.row),
+boxed AS (SELECT *, CASE WHEN text IS NOT NULL THEN [tx * cos(a) - ty * sin(a) - 30, tx * sin(a) + ty * cos(a) - 10, tx * cos(a) - ty * sin(a) + 30, tx * sin(a) + ty * cos(a) + 10]
+  ELSE [least(l * cos(a) - t * sin(a), l * cos(a) - b * sin(a)), least(l * sin(a) + t * cos(a), rt * sin(a) + t * cos(a)), greatest(rt * cos(a) - t * sin(a), rt * cos(a) - b * sin(a)), greatest(l * sin(a) + b * cos(a), rt * sin(a) + b * cos(a))] END AS p FROM placed),
+shares AS (SELECT *, [round(least(greatest(p[1] / 1100, 0), 1), 4), round(least(greatest(p[2] / 700, 0), 1), 4), round(least(greatest(p[3] / 1100, 0), 1), 4), round(least(greatest(p[4] / 700, 0), 1), 4)] AS s FROM boxed)"""
+_BOX_SQL = ", ".join(f"CAST(round(s[{i + 1}] * 10000) AS BIGINT) AS {c}" for i, c in enumerate(("x0", "y0", "x1", "y1")))
+
+
+def box_columns():
+    return [F.round(F.col("source.bbox")[i] * 10_000).cast("long").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+
+
+def sourced_cells(t: Tables) -> DataFrame:
+    """All cells with their place on a photo that is smaller than the page, so that some boxes are cut off."""
+    cells, lines = read_pages(t)
+    sizes = lines.groupBy("document_id", "page_ref").agg(F.max("angle").alias("angle")).withColumns({"width": F.lit(1100), "height": F.lit(700)})
+    return P.with_sources(cells.drop("ix0", "iy0", "ix1", "iy1", "width", "height"), sizes)
+
+
+@query("p20_cell_sources", f"WITH {SOURCE_SQL} SELECT page_ref, slot, row, {_BOX_SQL} FROM shares")
+def cell_sources(t):
+    return sourced_cells(t).select("page_ref", "slot", "row", *box_columns())
+
+
+@query("n12_grid_fields", f"""WITH {SOURCE_SQL}, written AS (SELECT * FROM shares WHERE text IS NOT NULL), field AS (
+SELECT *, row AS field, '' AS value FROM written WHERE row <> 'bp' UNION ALL SELECT *, 'systolic_bp_mmhg', CAST((q % 6 + 10) * 10 AS VARCHAR) FROM written WHERE row = 'bp'
+UNION ALL SELECT *, 'diastolic_bp_mmhg', CAST((q % 3 + 6) * 10 AS VARCHAR) FROM written WHERE row = 'bp')
+SELECT page_ref, slot, field, row AS source_row, value AS pressure, {_BOX_SQL} FROM field""")
+def grid_fields(t):
+    """Every written cell of every page as fields that carry their source."""
+    fv = R.read_grid_cells(sourced_cells(t).where("text <> ''"), reading_table(t), as_of())
+    pressure = F.when(F.col("source.row") == "bp", F.coalesce("value", F.lit(""))).otherwise("")
+    return fv.select("page_ref", "slot", "field", F.col("source.row").alias("source_row"), pressure.alias("pressure"), *box_columns())
+
+
 @query("n13_read_bp", f"""WITH {FV_SQL}, b AS (SELECT page_ref, slot, q % 6 + 10 AS hi, q % 3 + 6 AS lo, low FROM low WHERE row = 'bp')
 SELECT page_ref, slot, 'systolic_bp_mmhg' AS field, CAST(hi * 10 AS VARCHAR) AS value, CASE WHEN low = '' THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END AS field_status, low AS flags FROM b
 UNION ALL SELECT page_ref, slot, 'diastolic_bp_mmhg', CAST(lo * 10 AS VARCHAR), CASE WHEN low = '' THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END, low FROM b""")
