@@ -19,7 +19,16 @@ for _code in range(0x80, 0x10000):
     elif _plain:
         _SPREAD[chr(_code)] = _plain
 _FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
-_SPREAD_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPREAD) + "]"
+
+
+def _ranges(codes: list[int]) -> str:
+    """A class of code points as ranges; the pattern engine tests single code points one after the other."""
+    starts = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
+_SPREAD_CLASS = _ranges(sorted(map(ord, _SPREAD)))
 _SPREAD_TEXT = "\x01".join(f"{c}\x02{plain}" for c, plain in _SPREAD.items())
 #: White space beyond ASCII, as typed by French keyboards and office programs.
 BLANKS = "".join(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))

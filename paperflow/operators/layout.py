@@ -274,7 +274,8 @@ def value_beside(labels: DataFrame, lines: DataFrame, keys: list[str] = PAGE) ->
     nearest box is a minimum, not a sort.
     """
     # What follows the first colon of the label's own box.
-    own = F.when(F.contains("text", F.lit(":")), strip(F.regexp_replace("text", r"^[^:]*:", "")))
+    colons = F.translate("text", "\uff1a\ufe55\ufe13", ":::")  # full-width, small and vertical colons are the same sign
+    own = F.when(F.contains(colons, F.lit(":")), strip(F.regexp_replace(colons, r"^[^:]*:", "")))
     known = with_centres(labels).withColumn("_own", own)
     boxes = with_centres(lines).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("line_no", "text", "confidence", "x0", "y0", "x1", "y1", "cy")])
     near = ((F.col("_line_no") != F.col("line_no")) & (F.col("_x0") >= F.col("x1") - 2)

@@ -149,9 +149,9 @@ def reject_stale(commands: DataFrame, documents: DataFrame, key: str = "command_
     return joined.withColumn("verdict", verdict).drop("_now", "_first")
 
 
-def select_patient(commands: DataFrame, documents: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verdict per selection, selection of each document after the last accepted one). CLEAR stands for a corrected
-    link key, which drops the selection."""
+def select_patient(commands: DataFrame, documents: DataFrame, patients: DataFrame, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdict per selection, selection of each document after the last accepted one). CLEAR drops the selection, and
+    so does an accepted review of a link key (`reviews`: document_id, seq in the order of the commands, field)."""
     docs = documents.select("document_id", F.col("facility_id").alias("_df"))
     pats = patients.select("patient_id", F.col("facility_id").alias("_pf"))
     joined = commands.join(docs, ["document_id"], "left")
@@ -161,7 +161,10 @@ def select_patient(commands: DataFrame, documents: DataFrame, patients: DataFram
               .when((F.col("choice") == "EXISTING") & (F.col("_pf") != F.col("_df")), "OTHER_FACILITY"))
     judged = joined.withColumn("reason", reason).drop("_df", "_pf")
     last = judged.where("reason IS NULL").groupBy("document_id").agg(F.max_by(F.struct(
-        "choice", F.when(F.col("choice") == "EXISTING", F.col("patient_id")).alias("patient_id"), "reviewer"), "seq").alias("s"))
+        "choice", F.when(F.col("choice") == "EXISTING", F.col("patient_id")).alias("patient_id"), "reviewer"), "seq").alias("s"), F.max("seq").alias("seq"))
+    if reviews is not None:
+        settled = reviews.where(F.col("field").isin(C.KEY_FIELDS)).groupBy("document_id").agg(F.max("seq").alias("_reviewed"))
+        last = last.join(settled, "document_id", "left").where(F.col("_reviewed").isNull() | (F.col("_reviewed") <= F.col("seq")))
     selected = last.where("s.choice <> 'CLEAR'").select("document_id", "s.choice", "s.patient_id", F.col("s.reviewer").alias("by"))
     return judged, selected
 

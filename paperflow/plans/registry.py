@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import numbered
+from ..scale import cut_lineage, numbered
 from ..session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +36,10 @@ class SheetTables(Tables):
     def __getattr__(self, name: str) -> DataFrame:
         if name not in ("lineitem", "orders"):
             return super().__getattr__(name)
-        lines = super().__getattr__("lineitem")
-        copies = numbered(lines, ["l_orderkey", "l_linenumber"], COPY_ORDER, F.floor(F.col("l_extendedprice") / 20_000), "_n")
+        if "_copies" not in self.__dict__:  # numbered once for all uses within a query, whichever they are
+            lines = super().__getattr__("lineitem")
+            self._copies = cut_lineage(numbered(lines, ["l_orderkey", "l_linenumber"], COPY_ORDER, F.floor(F.col("l_extendedprice") / 20_000), "_n"))
+        copies = self._copies
         if name == "lineitem":
             return copies.withColumn("l_orderkey", F.col("l_orderkey") * 1000 + F.col("_n") - 1).drop("_n")
         orders, most = super().__getattr__("orders"), copies.groupBy("l_orderkey").agg(F.max("_n").alias("_n"))

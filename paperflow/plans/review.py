@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import catalog as C
 from ..operators import review as R
 from ..scale import numbered
 from .drafts import FIRST_SQL, document_lines
@@ -190,13 +191,13 @@ j AS (SELECT c.*, CASE WHEN o_orderkey IS NULL THEN 'UNKNOWN_DOCUMENT' WHEN choi
  FROM c LEFT JOIN orders ON o_orderkey = user_id LEFT JOIN customer d ON d.c_custkey = o_custkey LEFT JOIN customer p ON p.c_custkey = patient AND p.c_mktsegment <> 'BUILDING')"""
 
 
-def selections(t: Tables):
+def selections(t: Tables, reviews: DataFrame | None = None):
     kind = F.col("event_type")
     commands = t.events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("document_id"), F.expr(KIND.format("BIGINT")).alias("patient_id"), F.lit("r").alias("reviewer"),
                                F.when(kind == "view", "NEW").when(kind.isin("click", "signup"), "EXISTING").when(kind == "error", "CLEAR").otherwise("UNSURE").alias("choice"))
     place = F.expr("c_nationkey div 5").alias("facility_id")
     docs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("document_id"), place)
-    return R.select_patient(commands, docs, t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("patient_id"), place))
+    return R.select_patient(commands, docs, t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("patient_id"), place), reviews)
 
 
 @query("r8_select_patient", SELECT_SQL + " SELECT event_id AS seq, choice, reason FROM j")
@@ -210,6 +211,15 @@ def selected(t):
     return selections(t)[1].select("document_id", "choice", F.coalesce("patient_id", F.lit(-1)).alias("patient_id"))
 
 
+@query("r8_key_reviews", SELECT_SQL + """, l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS no FROM j WHERE reason = '')
+ SELECT user_id AS document_id, choice FROM l WHERE no = 1 AND choice <> 'CLEAR' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = l.user_id AND e.event_id % 22 = 0 AND e.event_id > l.event_id)""")
+def key_reviews(t):
+    """Reviews among the selections; those of a link key drop the selection before them."""
+    reviews = t.events.where("event_id % 11 = 0").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"),
+                                                         F.when(F.col("event_id") % 2 == 0, "registry_file_number").otherwise("weight_kg").alias("field"))
+    return selections(t, reviews)[1].select("document_id", "choice")
+
+
 # ------------------------------------------------------------------ pages
 
 @query("r10_retake_view", """
@@ -421,7 +431,7 @@ def group_counts(t):
     return R.group_counts(visit_fields(t).where("field = 'weight_kg'"), ["document_id"])
 
 
-@query("r19_visit_grid", f"""WITH {FIRST_SQL} SELECT l_orderkey AS document_id, """ + ", ".join(f"COALESCE(MAX(CASE WHEN slot = '{s}' THEN CAST(q AS VARCHAR) END), '') AS {s}" for s in ("T1_V1", "T1_V2", "T1_V3", "T2_V1", "T2_V2", "T2_V3", "M7")) + " FROM visits GROUP BY 1")
+@query("r19_visit_grid", f"""WITH {FIRST_SQL} SELECT l_orderkey AS document_id, """ + ", ".join(f"COALESCE(MAX(CASE WHEN slot = '{s}' THEN CAST(q AS VARCHAR) END), '') AS {s}" for s in C.GRID_SLOTS) + " FROM visits GROUP BY 1")
 def visit_grid(t):
     grid = R.visit_grid(visit_fields(t).where("field = 'weight_kg'"), F.col("value"))
-    return grid.select("document_id", *text("T1_V1", "T1_V2", "T1_V3", "T2_V1", "T2_V2", "T2_V3", "M7"))
+    return grid.select("document_id", *text(*C.GRID_SLOTS))

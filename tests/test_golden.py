@@ -240,3 +240,84 @@ def test_documents_are_sent_once(spark, tmp_path):
     after.collect(), failed.collect(), failed.count()
     assert sorted(f.name.split("-")[0] for f in tmp_path.iterdir()) == ["d0", "d1", "d2", "d3", "d4"]
     assert [f.document_id for f in failed.collect() if f.document_id == "d1"] == ["d1"]
+
+
+def test_a_full_width_colon_ends_a_label(spark):
+    lines = spark.createDataFrame([("d", "p", 1, "DDR\uff1a 01/02/2025", 0.9, 0.0, 0.0, 100.0, 20.0)],
+                                  "document_id string, page_ref string, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    assert P.value_beside(lines.withColumn("label", F.lit("l")), lines).first().value_text == "01/02/2025"
+
+
+BOX_LINES = "document_id string, page_ref string, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
+SQUARES = "document_id string, page_ref string, x0 double, y0 double, x1 double, y1 double, score double, ink double"
+
+
+def test_single_boxes_are_found_beside_their_labels(spark):
+    cases = {"ticked": 0.5, "empty": 0.01, "faint": 0.1, "none": None, "far": 0.5}
+    lines = spark.createDataFrame([(k, "p", 1, "Consanguinité", 0.9, 300.0, 100.0, 440.0, 120.0) for k in cases], BOX_LINES)
+    squares = spark.createDataFrame([(k, "p", 20.0 if k == "far" else 270.0, 102.0, 36.0 if k == "far" else 286.0, 118.0, 1.0, ink) for k, ink in cases.items() if ink is not None], SQUARES)
+    pages = spark.createDataFrame([(k, "p") for k in [*cases, "unprinted"]], "document_id string, page_ref string")
+    marks = P.box_marks(lines, squares, pages, [(f, None, pattern, label) for f, pattern, label in C.SINGLE_BOXES])
+    got = {g.document_id: g for g in P.single_box_fields(marks).where("field = 'consanguinity_mark'").collect()}
+    assert {k: (g.value, g.field_status, g.validation_flags) for k, g in got.items()} == {
+        "ticked": ("MARKED", "KNOWN", []), "empty": ("UNMARKED", "KNOWN", []), "faint": (None, "NEEDS_REVIEW", ["CHECKBOX_UNCLEAR"]),
+        "none": (None, "NEEDS_REVIEW", ["CHECKBOX_NOT_FOUND"]), "far": (None, "NEEDS_REVIEW", ["CHECKBOX_NOT_FOUND"]), "unprinted": (None, "NEEDS_REVIEW", ["OCR_LABEL_NOT_FOUND"])}
+    assert got["ticked"].checkboxes[0].label == "Consanguinité" and (got["ticked"].x0, got["ticked"].y1) == (270.0, 118.0)
+
+
+def test_a_choice_keeps_the_evidence_of_all_its_boxes(spark):
+    words = {"exclusivement au sein": 0.5, "Artificiel": 0.01, "mixte": 0.02}
+    lines = spark.createDataFrame([("d", "p", i, w, 0.9, 300.0, 100.0 * i, 400.0, 100.0 * i + 20) for i, w in enumerate(words)], BOX_LINES)
+    squares = spark.createDataFrame([("d", "p", 270.0, 100.0 * i + 2, 286.0, 100.0 * i + 18, 1.0, ink) for i, ink in enumerate(words.values())], SQUARES)
+    pages = spark.createDataFrame([("d", "p")], "document_id string, page_ref string")
+    fv = P.choice_box_fields(P.box_marks(lines, squares, pages, [b for b in C.CHOICE_BOXES if b[0] == "feeding_mode"])).first()
+    assert (fv.value, fv.field_status, [m.state for m in fv.checkboxes]) == ("EXCLUSIVE_BREASTFEEDING", "KNOWN", ["MARKED", "UNMARKED", "UNMARKED"])
+
+
+def test_documents_are_applied_whole_in_turn(spark):
+    import random
+
+    r = random.Random(9)
+    rows, seq = [], 0
+    for d in range(60):
+        for _ in range(r.randrange(1, 4)):
+            seq += 1
+            rows.append((seq, f"d{d}", f"p{r.randrange(5)}", r.choice("AB"), None if r.random() < 0.03 else dt.date(2025, 1, r.randrange(1, 15))))
+    taken, want = set(), set()
+    for d in range(60):
+        visits = [x[2:] for x in rows if x[1] == f"d{d}"]
+        if all(v[2] for v in visits) and len(set(visits)) == len(visits) and not taken & set(visits):
+            taken |= set(visits)
+            want.add(f"d{d}")
+    accepted = spark.createDataFrame(rows, "seq int, document_id string, patient_id string, encounter_type string, visit_date date")
+    assert {g.document_id for g in L.choose_documents(accepted).collect()} == want
+
+
+def test_moves_of_pages_equal_the_moves_one_by_one(spark):
+    import random
+
+    r = random.Random(11)
+    pages = [(f"p{i}", f"d{i // 2}", None, i % 2 + 1) for i in range(16)]
+    moves = [(k, f"p{r.randrange(17)}", k % 4 == 0, f"new{k}" if k % 4 == 0 else r.choice(["d0", "d1", "d2", "d3", "d4", "new0", "new4", "d9"])) for k in range(40)]
+    place, order, documents, verdicts = {p: d for p, d, *_ in pages}, {p: (-1, n) for p, _, _, n in pages}, {f"d{i}" for i in range(8)}, {}
+    for k, page, split, target in moves:
+        source = place.get(page)
+        size = sum(d == source for d in place.values())
+        why = ("PAGE_NOT_FOUND" if source is None else "SAME_DOCUMENT" if not split and target == source else "DOCUMENT_NOT_FOUND" if not split and target not in documents
+               else "ONLY_PAGE" if split and size == 1 else None)
+        verdicts[k] = why
+        if why is None:
+            place[page], order[page] = target, (k, 0)
+            documents.add(target)
+            if source not in place.values():
+                documents.discard(source)
+    assert {"DOCUMENT_NOT_FOUND", "ONLY_PAGE", None} <= set(verdicts.values())
+    frame = spark.createDataFrame(pages, "page_id string, document_id string, replaced_by string, position int")
+    docs = spark.createDataFrame([(f"d{i}", "NEEDS_REVIEW", "F") for i in range(8)], "document_id string, status string, facility_id string")
+    after, judged, _effects, _retakes = V.move_pages(frame, spark.createDataFrame(moves, "move_id int, page_id string, split boolean, target_document_id string"), docs,
+                                                     spark.createDataFrame([], "page_id string, status string"), V.page_chain(frame))
+    assert {g.move_id: g.reason for g in judged.collect()} == verdicts
+    want = {}
+    for page in sorted(place, key=lambda p: order[p]):
+        want[page] = (place[page], 1 + sum(d == place[page] for d, _ in want.values()))
+    assert {g.page_id: (g.document_id, g.position) for g in after.collect()} == want
