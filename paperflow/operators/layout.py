@@ -448,6 +448,13 @@ def document_outcome(entries: DataFrame) -> DataFrame:
                           .otherwise("OCR_FAILED").alias("outcome"))
 
 
+def failed_pages(entries: DataFrame) -> DataFrame:
+    """Why each page of a failed document was not read: the reason for a retake, else the code. A document may have any
+    number of pages, so they stay rows."""
+    failed = document_outcome(entries).where("read_pages = 0").select("document_id", "outcome")
+    return entries.join(failed, "document_id").select("document_id", "page_ref", "outcome", F.coalesce("retake_reason", "unread_code").alias("reason"))
+
+
 def newborn_period(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """The period of a newborn page; a page with none or both titles has no row."""
     found = page_signs(lines, C.PERIOD_TITLES, keys)

@@ -296,6 +296,16 @@ def document_outcome(t):
     return P.document_outcome(entries(t).withColumn("read", F.col("unread_code").isNull()))
 
 
+@query("p18_failed_pages", """
+WITH d AS (SELECT *, COUNT(*) FILTER (l_returnflag <> 'A') OVER (PARTITION BY l_orderkey) AS readable, COUNT(*) OVER (PARTITION BY l_orderkey) AS n, COUNT(*) FILTER (l_linenumber < 3) OVER (PARTITION BY l_orderkey) AS retakes,
+  COUNT(*) FILTER (l_linenumber IN (3, 4)) OVER (PARTITION BY l_orderkey) AS late FROM lineitem)
+SELECT l_orderkey AS document_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS page, CASE WHEN retakes = n THEN 'RETAKE_REQUIRED' WHEN late > 0 THEN 'OCR_TIMEOUT' ELSE 'OCR_FAILED' END AS outcome,
+  CASE WHEN l_linenumber < 3 THEN 'IMAGE_BLURRY' WHEN l_linenumber < 5 THEN 'OCR_TIMEOUT' ELSE 'OCR_FAILED' END AS reason FROM d WHERE readable = 0""")
+def failed_pages(t):
+    ref = F.split("page_ref", "-")
+    return P.failed_pages(entries(t).withColumn("read", F.col("unread_code").isNull())).select("document_id", F.concat_ws("-", ref[0], ref[1], ref[2]).alias("page"), "outcome", "reason")
+
+
 @query("p19_sections_present", """
 WITH p AS (SELECT l_orderkey AS document_id, ['cover', 'identification', 'current_pregnancy', 'delivery', 'postpartum', 'newborn', 'unknown'][l_linenumber] AS page, l_quantity AS q FROM lineitem WHERE l_returnflag <> 'A')
 SELECT DISTINCT document_id, UNNEST(CASE page WHEN 'identification' THEN ['patient', 'pregnancy', 'previous_deliveries'] WHEN 'current_pregnancy' THEN ['pregnancy', 'visit_labs'] WHEN 'delivery' THEN ['delivery', 'newborns']

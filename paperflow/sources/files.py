@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from .. import catalog as C
 from .. import schemas
-from ..scale import first_by
+from ..scale import cut_lineage, first_by
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -26,11 +26,11 @@ def write_registry_csv(rows: DataFrame, path: str, single_file: bool = False) ->
 def read_drafts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(drafts, rejected rows with the text that could not be read). One JSON document per line."""
     schema = StructType.fromDDL(f"document_id string, {schemas.DRAFT}, _corrupt string")
-    parsed = spark.read.json(path, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    raw = spark.read.text(path).select(
-        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
-    return (parsed.where(F.col("_corrupt").isNull()).drop("_corrupt"),
-            raw.where(F.col("d._corrupt").isNotNull()).select(F.col("d._corrupt").alias("text"), F.lit("MALFORMED").alias("error")))
+    # Parsed once: both results come from the stored rows. Blank lines are neither.
+    rows = cut_lineage(spark.read.text(path).where(F.trim("value") != "").select(
+        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d")))
+    return (rows.where(F.col("d._corrupt").isNull()).select("d.*").drop("_corrupt"),
+            rows.where(F.col("d._corrupt").isNotNull()).select(F.col("d._corrupt").alias("text"), F.lit("MALFORMED").alias("error")))
 
 
 def read_webhooks(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
