@@ -138,17 +138,17 @@ def choose_documents(accepted: DataFrame) -> DataFrame:
     twice = claims.groupBy("document_id").agg(F.max("_n").alias("_most"))
     sound = turns.where("NOT _undated").join(twice.where("_most = 1").select("document_id"), "document_id", "left_semi").drop("_undated")
     undecided = cut_lineage(claims.select("document_id", *VISIT_KEY).join(sound, "document_id"))
-    applied = undecided.select("document_id").limit(0)
+    applied = undecided.where(F.lit(False)).select(F.col("document_id").alias("_applied"))
     while not undecided.isEmpty():
         order = F.struct("_turn", "document_id")
         first = undecided.groupBy(*VISIT_KEY).agg(F.min(order).alias("_first"))
         marked = undecided.join(first, VISIT_KEY).withColumn("_leads", F.col("_first") == order)
         leaders = cut_lineage(marked.groupBy("document_id").agg(F.bool_and("_leads").alias("_leads")).where("_leads").select("document_id"))
-        applied = applied.unionByName(leaders)
+        applied = applied.union(leaders.select(F.col("document_id").alias("_applied")))
         taken = undecided.join(leaders, "document_id", "left_semi").select(*VISIT_KEY)
         beaten = undecided.join(taken, VISIT_KEY, "left_semi").select("document_id").distinct()  # the leaders themselves as well
         undecided = cut_lineage(undecided.join(beaten, "document_id", "left_anti"))
-    return applied
+    return cut_lineage(applied.select(F.col("_applied").alias("document_id")))
 
 
 def upsert_visits(visits: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
