@@ -43,7 +43,13 @@ def visits(t: Tables) -> DataFrame:
 
 
 def document(column: str = "o_orderkey"):
-    return F.concat(F.lit("DOC-"), F.lpad(F.col(column).cast("string"), 9, "0"))
+    """As wide as any whole number, so that ids of long keys stay different and order as the keys do."""
+    return F.concat(F.lit("DOC-"), F.lpad(F.col(column).cast("string"), 19, "0"))
+
+
+def short_document(column: str = "document_id"):
+    """The nine characters that the SQL shows of an id; longer keys are cut only here, after every join and maximum."""
+    return F.concat(F.lit("DOC-"), F.lpad(F.substring_index(column, "-", -1).cast("long").cast("string"), 9, "0"))
 
 
 def documents(t: Tables) -> DataFrame:
@@ -130,7 +136,7 @@ def cesarean(t):
 @query("e8_latest_extended", f"WITH {EXPORT_SQL} SELECT p AS patient_id, 'DOC-' || LPAD(CAST(doc AS VARCHAR), 9, '0') AS document_id FROM ch")
 def latest(t):
     sources = visits(t).select("patient_id", F.explode("source_documents").alias("document_id"))
-    return E.latest_extended(sources, documents(t), extended_fields(t))
+    return E.latest_extended(sources, documents(t), extended_fields(t)).withColumn("document_id", short_document())
 
 
 @query("e10_coverage", f"""WITH {EXPORT_SQL}, r AS (SELECT {EXPORT_COLUMNS_SQL} FROM customer LEFT JOIN vc ON vc.p = c_custkey LEFT JOIN ec ON ec.p = c_custkey LEFT JOIN xc ON xc.p = c_custkey)
