@@ -52,6 +52,13 @@ def test_salted_join_is_a_join(spark):
         assert {tuple(r) for r in scale.salted_join(df, names, ["k"], how, ["id"]).select("id", "name").collect()} == {tuple(r) for r in df.join(names, "k", how).select("id", "name").collect()}
 
 
+def test_lookups_that_grow_do_not_pass_the_driver(spark):
+    for name in ("m2_classify_inbound", "m3_webhook_summary", "m11_outbound_queue", "r16_queue_view"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        joins = [line for line in plan.toString().splitlines() if "_salt#" in line and "Join" in line]
+        assert joins and all("rightHint=(strategy=merge)" in line for line in joins), (name, joins)
+
+
 def test_grouping_does_not_depend_on_order_or_partitions(spark):
     start = dt.datetime(2025, 1, 1)
     df = spark.range(3000).select(F.concat(F.lit("p"), F.col("id")).alias("page_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("sender_id"),
