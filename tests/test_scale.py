@@ -59,6 +59,14 @@ def test_lookups_that_grow_do_not_pass_the_driver(spark):
         assert joins and all("rightHint=(strategy=merge)" in line for line in joins), (name, joins)
 
 
+def test_recognised_lines_are_not_shuffled(spark):
+    from paperflow.plans import layout
+    from paperflow.plans.registry import Tables
+
+    plan = layout.straight(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [document_id" not in plan and plan.count("Exchange hashpartitioning(document_id") == plan.count("REPARTITION_BY_COL")
+
+
 def test_grouping_does_not_depend_on_order_or_partitions(spark):
     start = dt.datetime(2025, 1, 1)
     df = spark.range(3000).select(F.concat(F.lit("p"), F.col("id")).alias("page_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("sender_id"),
