@@ -40,3 +40,8 @@ def test_more_than_a_million_ids(spark, tmp_path):
 
 def test_balances_around_zero(spark, tmp_path):
     check(spark, tmp_path, ["n6_decimal"], customer="SELECT * REPLACE ([-0.0::DOUBLE, 0.0, -0.004, -0.01, 0.04, 0.05, 0.95, -999.99][c_custkey % 8 + 1] AS c_acctbal) FROM small_customer")
+
+
+def test_new_documents_meet_stored_ones(spark, tmp_path):
+    # Documents from 1,000,000 on are stored already when moves ask for new ones.
+    check(spark, tmp_path, ["r12_move_sequence", "r12_moved_pages"], events="SELECT * REPLACE (CASE WHEN event_id >= 500 THEN event_id + 2999500 ELSE event_id END AS event_id) FROM small_events")
