@@ -120,14 +120,20 @@ def group_stream(t):
         "sender_id", "page_count", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "status")
 
 
+#: Orders to one file of arrivals.
+ARRIVALS_PER_FILE = 250_000
+
+
 @query("s7_sync_log", ORACLE["s7_sync_registered"])
 def sync_log(t):
     """Documents become registered one slice after the other; each is sent in its micro-batch."""
     documents, visits, send = messages.sync_tables(t)
     folder, log = fresh(t, "registered"), fresh(t, "sync-log")
+    # Each slice is written and read in as many tasks as its size asks for.
+    files = max(1, t.orders.count() // 2 // ARRIVALS_PER_FILE)
     for k in range(2):
-        documents.where("status = 'REGISTERED'").where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == k).select("document_id").coalesce(1).write.mode("append").parquet(folder)
-    arrivals = t.spark.readStream.schema("document_id string").option("maxFilesPerTrigger", 1).parquet(folder)
+        documents.where("status = 'REGISTERED'").where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == k).select("document_id").repartition(files, "document_id").write.mode("append").parquet(folder)
+    arrivals = t.spark.readStream.schema("document_id string").option("maxFilesPerTrigger", files).parquet(folder)
     T.sync_stream(arrivals, documents, visits, log, fresh(t, "sync-checkpoint"), send).awaitTermination()
     last = latest(T.read_sync_log(t.spark, log), ["document_id"])
     return last.select(F.col("document_id").cast("long").alias("document_id"), "status", F.coalesce("ack_id", F.lit("")).alias("ack_id"))

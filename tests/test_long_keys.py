@@ -45,3 +45,16 @@ def test_balances_around_zero(spark, tmp_path):
 def test_new_documents_meet_stored_ones(spark, tmp_path):
     # Documents from 1,000,000 on are stored already when moves ask for new ones.
     check(spark, tmp_path, ["r12_move_sequence", "r12_moved_pages"], events="SELECT * REPLACE (CASE WHEN event_id >= 500 THEN event_id + 2999500 ELSE event_id END AS event_id) FROM small_events")
+
+
+def test_arrivals_of_a_slice_in_several_files(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from paperflow.plans import files
+    from paperflow.scale import shared_folder
+
+    monkeypatch.setattr(files, "ARRIVALS_PER_FILE", 100)
+    before = set(Path(shared_folder(spark)).glob("registered-*"))
+    check(spark, tmp_path, ["s7_sync_log"])
+    folder, = set(Path(shared_folder(spark)).glob("registered-*")) - before
+    assert len(list(folder.glob("*.parquet"))) > 2
