@@ -61,7 +61,8 @@ def classify_inbound(messages: DataFrame, known: DataFrame, senders: DataFrame,
     unique = messages.groupBy("wa_message_id").agg(
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_m"), F.count(F.lit(1)).alias("copies"))
     rows = unique.select("wa_message_id", "_m.*", "copies").withColumn("sender_id", sender_id(F.col("phone"))).drop("phone")
-    seen = known.select("wa_message_id").distinct().withColumn("_seen", F.lit(True))
+    # Known ids grow with the history, so they are merged with the rows, which are grouped by id already.
+    seen = known.select("wa_message_id").distinct().withColumn("_seen", F.lit(True)).hint("merge")
     enrolled = senders.where("channel = 'WHATSAPP'").select("sender_id", F.lit(True).alias("_enrolled"))
     joined = salted_join(rows.join(seen, "wa_message_id", "left"), enrolled, ["sender_id"], "left", ["wa_message_id"])
     status = (F.when(F.col("_seen"), "DUPLICATE").when(F.col("_enrolled").isNull(), "REJECTED")
@@ -192,7 +193,7 @@ def discard_held(outbound: DataFrame) -> DataFrame:
 
 def dedup_messages(messages: DataFrame, seen: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First delivery of each id that is not stored yet."""
-    return first_by(messages, [key], order).join(seen.select(key).distinct(), key, "left_anti")
+    return first_by(messages, [key], order).join(seen.select(key).distinct().hint("merge"), key, "left_anti")
 
 
 def group_pages(pages: DataFrame, window_seconds: float = C.GROUP_WINDOW_SECONDS, sender: str = "sender_id",

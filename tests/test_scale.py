@@ -126,3 +126,12 @@ def test_radix_selection_of_a_hot_bin_and_of_odd_doubles(spark):
     row = scale.order_statistics(odd, ["k"], "v", ranks, 1).first()
     ordered = sorted([v for v in values if v is not None and v == v] * 3) + [float("nan")] * 3
     assert str([row[f"r{i}"] for i in range(39)]) == str(ordered)
+
+
+def test_known_messages_are_not_broadcast(spark):
+    from paperflow.plans import QUERIES
+
+    for name in ("m2_classify_inbound", "m3_webhook_summary", "m13_dedup_messages"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), name
