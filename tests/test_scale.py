@@ -135,3 +135,17 @@ def test_known_messages_are_not_broadcast(spark):
         found = QUERIES[name](spark, "/root/testdata/sf0.001")
         found.collect()
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from paperflow import session
+    from paperflow.plans import QUERIES
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "lineitem.parquet").write_bytes(b"x" * 4000)
+    monkeypatch.setattr(session, "PARTITION_INPUT", 100)
+    session.tune(spark, str(tmp_path))
+    assert spark.conf.get(name) == "40" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+    monkeypatch.undo()
+    rows = QUERIES["v7_pages_multiset_equal"](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
