@@ -1,6 +1,7 @@
 """Properties that matter at scale: hot keys, order of the input, partition counts, and plan shapes."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from paperflow import scale
 from paperflow.operators import linkage as L
 from paperflow.operators import messages as M
 from paperflow.plans import QUERIES
+from paperflow.session import tune
 
 
 def hot(spark, n=4000):
@@ -67,6 +69,32 @@ def test_recognised_lines_are_not_shuffled(spark):
     assert "SortMergeJoin [document_id" not in plan and plan.count("Exchange hashpartitioning(document_id") == plan.count("REPARTITION_BY_COL")
 
 
+def test_a_task_prints_a_bounded_number_of_pages(spark, monkeypatch):
+    from paperflow.plans import forms
+    from paperflow.plans.registry import Tables
+
+    monkeypatch.setattr(forms, "PRINTED", 100, raising=False)
+    t = Tables(tune(spark), "/root/testdata/sf0.001")
+    plan = forms.ocr_lines(t)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.search(r"page_ref#\d+, (\d+)\), REPARTITION_BY_COL", plan)
+    assert int(dealt[1]) == -(-t.lineitem.count() // 100) and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == forms.PRINTED_BYTES
+    tune(spark)
+
+
+def test_written_cells_are_those_of_the_grid_and_not_dealt_out_by_cell(spark):
+    from paperflow.operators import layout as P
+    from paperflow.plans import layout
+    from paperflow.plans.registry import Tables
+
+    lines, grids = layout.located(Tables(spark, "/root/testdata/sf0.001"))
+    pieces = P.assign_cells(lines, grids)
+    written, every = P.written_cells(pieces, grids), P.grid_cells(pieces, grids).where("text <> ''")
+    columns = sorted(every.columns)
+    assert sorted(written.columns) == columns
+    assert sorted(map(str, written.select(columns).collect())) == sorted(map(str, every.select(columns).collect()))
+    assert not re.search(r"hashpartitioning\([^)]*slot", written._jdf.queryExecution().executedPlan().toString())
+
+
 def test_grouping_does_not_depend_on_order_or_partitions(spark):
     start = dt.datetime(2025, 1, 1)
     df = spark.range(3000).select(F.concat(F.lit("p"), F.col("id")).alias("page_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("sender_id"),
