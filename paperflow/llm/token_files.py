@@ -27,7 +27,7 @@ import types
 import uuid
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from .arrays import mixed
 from .common import range_bounds, range_number
 
 SHARD_BYTES = 4 << 20
-#: Pieces whose ids a worker remembers; when full it starts anew. Bytes of text it splits at a time.
+#: Words whose ids a worker remembers; when full it starts anew. Bytes of text it splits at a time.
 REMEMBERED = 500_000
 CHUNK = 4 << 20
 SHARD = "shard int, n_docs long, n_ids long, payload binary, keys array<long>, displace binary, slots binary"
@@ -75,9 +75,9 @@ class WordEncoder:
     """Ids of texts by words. The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn.
 
     A word of plain letters with marks behind it is two pieces to the tokenizer, a run of letters and a run of marks, and
-    all its normalizer does to them is to lower the letters. Such pieces are looked up in the tokenizer's model directly
-    and remembered; all other words go through the whole tokenizer. That holds for files with the settings `WORDS`; with
-    any other file whole texts are encoded.
+    all its normalizer does to them is to lower the letters. Such pieces are looked up in the tokenizer's model directly;
+    all other words go through the whole tokenizer. That holds for files with the settings `WORDS`; with
+    any other file whole texts are encoded. A word's ids are remembered as one stretch.
     """
 
     def __init__(self, path: str):
@@ -90,10 +90,8 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.bodies: dict[bytes, int] = {}
-        self.whole: dict[bytes, int] = {}
-        self.pairs: dict[bytes, int] = {}
-        self.firsts, self.seconds = array("q"), array("q")
+        self.bodies: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
     def keep(self, ids: list[int]) -> int:
@@ -101,50 +99,31 @@ class WordEncoder:
         self.ends.append(len(self.ids))
         return len(self.ends) - 2
 
-    def piece(self, text: str) -> int:
+    def piece(self, text: str) -> list[int]:
         written = text if text.isascii() else "".join([self.characters[b] for b in text.encode()])
-        return self.keep([t.id for t in self.tokenizer.model.tokenize(written)])
-
-    def pieces(self, words: list[bytes]) -> np.ndarray:
-        """Two pieces for each word, the second -1 if there is none. Words met before are not cut again."""
-        fresh = [w for w in words if w not in self.pairs]
-        found = self.cut(fresh)
-        begin = len(self.firsts)
-        self.firsts.extend(found[:, 0].tolist())
-        self.seconds.extend(found[:, 1].tolist())
-        self.pairs.update(zip(fresh, range(begin, begin + len(fresh))))
-        at = np.fromiter(map(self.pairs.__getitem__, words), np.int64, len(words))
-        return np.stack((np.array(self.firsts, np.int64)[at], np.array(self.seconds, np.int64)[at]), axis=1)
-
-    def cut(self, words: list[bytes]) -> np.ndarray:
-        """`pieces` of new words."""
-        first, second, unknown = [], [-1] * len(words), []
-        bodies, whole = self.bodies, self.whole
-        for k, word in enumerate(words):
+        return [t.id for t in self.tokenizer.model.tokenize(written)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of new words: those of its letters and of its marks, or of the whole word."""
+        unknown, bodies = [], self.bodies
+        for word in words:
             body = word.rstrip(MARKS)
             low = body.lower()
-            at = bodies.get(low)
-            if at is None:
-                at = whole.get(word)
-                if at is not None:
-                    first.append(at)
-                    continue
+            ids = bodies.get(low)
+            if ids is None:
                 if not PLAIN_BODY.fullmatch(low):
-                    unknown.append(k)
-                    first.append(-1)
+                    unknown.append(word)
                     continue
-                at = bodies[low] = self.piece(low.decode().lower())
-            first.append(at)
+                ids = bodies[low] = self.piece(low.decode().lower())
             if len(body) < len(word):
                 marks = word[len(body):]
-                at = whole.get(marks)
-                if at is None:
-                    at = whole[marks] = self.piece(marks.decode())
-                second[k] = at
-        encoded = self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in unknown], add_special_tokens=False)
-        for k, e in zip(unknown, encoded):
-            first[k] = whole[words[k]] = self.keep(e.ids)
-        return np.array([first, second], np.int64).reshape(2, -1).T
+                if marks not in bodies:
+                    bodies[marks] = self.piece(marks.decode())
+                ids = ids + bodies[marks]
+            self.words[word] = self.keep(ids)
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
+        for word, e in zip(unknown, encoded):
+            self.words[word] = self.keep(e.ids)
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text followed by the end id, and the number of ids of each text."""
@@ -161,24 +140,28 @@ class WordEncoder:
         return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
     def some(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.pairs) > REMEMBERED or len(self.ends) > REMEMBERED:
+        if len(self.words) > REMEMBERED or len(self.bodies) > REMEMBERED:
             self.forget()
         if not self.by_words:
             encoded = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(encoded), np.uint32), np.array([len(e) for e in encoded])
         split = [t.split() for t in texts]
-        index = {w: k for k, w in enumerate(set().union(*split))}
-        pieces = np.concatenate((self.pieces(list(index)), [[self.keep([end_id]), -1]]))
         counts = np.array([len(words) for words in split])
-        order = np.insert(np.array(list(map(index.__getitem__, chain.from_iterable(split))), np.int64), np.cumsum(counts), len(index))
-        used = pieces[order]
+        words = list(chain.from_iterable(split))
+        # One look at each word; only those that were not met before are looked at again.
+        used = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(used < 0)
+        if len(fresh):
+            missing = [words[k] for k in fresh.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            used[fresh] = np.fromiter(map(self.words.__getitem__, missing), np.int64, len(missing))
+        used = np.insert(used, np.cumsum(counts), self.keep([end_id]))
         flat, ends = np.frombuffer(self.ids, np.uint32).copy(), np.frombuffer(self.ends, np.int64).copy()
-        sizes = np.where(used >= 0, ends[used + 1] - ends[used], 0)
-        length, begin = sizes.ravel(), ends[used].ravel()
+        begin = ends[used]
+        length = ends[used + 1] - begin
         upto = np.cumsum(length)
         where = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - length), length)
-        last = 2 * np.cumsum(counts + 1) - 1
-        return flat[where], np.diff(upto[last], prepend=0)
+        return flat[where], np.diff(upto[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:

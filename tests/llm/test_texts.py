@@ -310,3 +310,17 @@ def test_other_tokenizers_encode_whole_texts():
     want = [[*whole.encode(t.decode(), add_special_tokens=False).ids, 9] for t in texts]
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
     assert WordEncoder(WORD_FILE).by_words
+
+
+def test_words_met_before_are_not_cut_again():
+    from tokenizers import Tokenizer
+
+    from paperflow.llm.token_files import WordEncoder
+
+    texts = ["L'été, ÉTÉ! don't (abc) naïve. ... x!?", "", "  ", "abc)) ... don't été", "."]
+    coder, whole = WordEncoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    want = [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 2]]
+    assert coder([t.encode() for t in texts], 2)[0].tolist() == want
+    coder.learn = lambda words: pytest.fail(f"cut again: {words}")
+    ids, counts = coder([t.encode() for t in texts], 2)
+    assert ids.tolist() == want and counts.sum() == len(want)
