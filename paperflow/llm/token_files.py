@@ -31,6 +31,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,9 @@ SHARD = "shard int, n_docs long, n_ids long, payload binary, keys array<long>, d
 SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<i8"), ("length", "<i8")])
 NULL_KEY = np.uint64(0x6E756C6C)
 #: Letters that the normalizer at most lowers (a-z and those of Latin-1), and marks that end a word without joining it.
-PLAIN_BODY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-MARKS = b".,;:!?%*#$&|)"
+PLAIN_BODY = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and (c.isascii() or c >= "\u00c0"))
+MARKS = ".,;:!?%*#$&|)"
 #: Settings of a tokenizer file under which a text's ids are those of its words; fixed values of the format.
 WORDS = {
     "truncation": None, "padding": None, "post_processor": None,
@@ -71,6 +73,28 @@ def _byte_characters() -> list[str]:
     return out
 
 
+def _keep(ids: array, ends: array, more: list[list[int]]) -> np.ndarray:
+    """Append stretches of ids; their numbers."""
+    first, at = len(ends) - 1, len(ids)
+    ids.extend(chain.from_iterable(more))
+    ends.frombytes((at + np.cumsum([len(m) for m in more], dtype=np.int64)).tobytes())
+    return first + np.arange(len(more))
+
+
+def _values(texts: pa.Array) -> list:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _stretches(ids: array, ends: array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of the given numbers end to end, and the length of each."""
+    flat, bounds = np.frombuffer(ids, np.uint32), np.frombuffer(ends, np.int64)
+    begin = bounds[which]
+    length = bounds[which + 1] - begin
+    upto = np.cumsum(length)
+    where = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - length), length)
+    return flat[where], length
+
+
 class WordEncoder:
     """Ids of texts by words. The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn.
 
@@ -90,40 +114,51 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.bodies: dict[bytes, list[int]] = {}
-        self.words: dict[bytes, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def keep(self, ids: list[int]) -> int:
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        return len(self.ends) - 2
+        self.bodies: dict[str, int] = {"": 0}
+        self.pieces, self.piece_ends = array("I"), array("q", [0, 0])
+        self.words: dict[bytes, int] = {b"": 0}
+        self.ids, self.ends = array("I"), array("q", [0, 0])
 
     def piece(self, text: str) -> list[int]:
         written = text if text.isascii() else "".join([self.characters[b] for b in text.encode()])
         return [t.id for t in self.tokenizer.model.tokenize(written)]
 
-    def learn(self, words: list[bytes]) -> None:
+    def pieces_of(self, texts: pa.Array) -> np.ndarray:
+        """The number of each run of letters or marks among the pieces; new ones are encoded."""
+        met = texts.dictionary_encode()
+        written = _values(met.dictionary)
+        at = np.fromiter(map(self.bodies.get, written, repeat(-1)), np.int64, len(written))
+        fresh = np.flatnonzero(at < 0)
+        new = [written[k] for k in fresh.tolist()]
+        at[fresh] = _keep(self.pieces, self.piece_ends, [self.piece(text.lower()) for text in new])
+        self.bodies.update(zip(new, at[fresh].tolist()))
+        return at[met.indices.to_numpy()]
+
+    def learn(self, words: pa.Array) -> None:
         """Keep the ids of new words: those of its letters and of its marks, or of the whole word."""
-        unknown, bodies = [], self.bodies
-        for word in words:
-            body = word.rstrip(MARKS)
-            low = body.lower()
-            ids = bodies.get(low)
-            if ids is None:
-                if not PLAIN_BODY.fullmatch(low):
-                    unknown.append(word)
-                    continue
-                ids = bodies[low] = self.piece(low.decode().lower())
-            if len(body) < len(word):
-                marks = word[len(body):]
-                if marks not in bodies:
-                    bodies[marks] = self.piece(marks.decode())
-                ids = ids + bodies[marks]
-            self.words[word] = self.keep(ids)
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
-        for word, e in zip(unknown, encoded):
-            self.words[word] = self.keep(e.ids)
+        lowered = pc.ascii_lower(pc.ascii_rtrim(words, characters=MARKS))
+        is_plain = pc.match_substring_regex(lowered, PLAIN_BODY)
+        plain = is_plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(words), 2), np.int64)
+        parts[plain, 0] = self.pieces_of(lowered.filter(is_plain))
+        parts[plain, 1] = self.pieces_of(pc.utf8_ltrim(words.filter(is_plain), characters=LETTERS))
+        others = _values(words.filter(pc.invert(is_plain)).cast(pa.large_binary()))
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+        parts[~plain, 0] = _keep(self.pieces, self.piece_ends, [e.ids for e in encoded])
+        ids, lengths = _stretches(self.pieces, self.piece_ends, parts.ravel())
+        self.ends.frombytes((len(self.ids) + np.cumsum(lengths.reshape(-1, 2).sum(axis=1))).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
+    def known(self, words: pa.Array) -> np.ndarray:
+        """The number of each of different words among those remembered."""
+        written = _values(words.cast(pa.large_binary()))
+        at = np.fromiter(map(self.words.get, written, repeat(-1)), np.int64, len(written))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            at[fresh] = len(self.ends) - 1 + np.arange(len(fresh))
+            self.learn(words.take(pa.array(fresh)))
+            self.words.update(zip([written[k] for k in fresh.tolist()], at[fresh].tolist()))
+        return at
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text followed by the end id, and the number of ids of each text."""
@@ -145,23 +180,15 @@ class WordEncoder:
         if not self.by_words:
             encoded = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(encoded), np.uint32), np.array([len(e) for e in encoded])
-        split = [t.split() for t in texts]
-        counts = np.array([len(words) for words in split])
-        words = list(chain.from_iterable(split))
-        # One look at each word; only those that were not met before are looked at again.
-        used = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        fresh = np.flatnonzero(used < 0)
-        if len(fresh):
-            missing = [words[k] for k in fresh.tolist()]
-            self.learn(list(dict.fromkeys(missing)))
-            used[fresh] = np.fromiter(map(self.words.__getitem__, missing), np.int64, len(missing))
-        used = np.insert(used, np.cumsum(counts), self.keep([end_id]))
-        flat, ends = np.frombuffer(self.ids, np.uint32).copy(), np.frombuffer(self.ends, np.int64).copy()
-        begin = ends[used]
-        length = ends[used + 1] - begin
+        # Invalid UTF-8 is passed through: only ASCII marks and blanks are looked at here.
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+        counts = split.value_lengths().to_numpy()
+        met = split.flatten().dictionary_encode()
+        used = self.known(met.dictionary)[met.indices.to_numpy()]
+        used = np.insert(used, np.cumsum(counts), _keep(self.ids, self.ends, [[end_id]])[0])
+        ids, length = _stretches(self.ids, self.ends, used)
         upto = np.cumsum(length)
-        where = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin - (upto - length), length)
-        return flat[where], np.diff(upto[np.cumsum(counts + 1) - 1], prepend=0)
+        return ids, np.diff(upto[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:

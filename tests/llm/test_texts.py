@@ -324,3 +324,22 @@ def test_words_met_before_are_not_cut_again():
     coder.learn = lambda words: pytest.fail(f"cut again: {words}")
     ids, counts = coder([t.encode() for t in texts], 2)
     assert ids.tolist() == want and counts.sum() == len(want)
+
+
+def test_each_different_word_is_looked_up_once():
+    from paperflow.llm.token_files import WordEncoder
+
+    class Counting(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            self.looked += 1
+            return super().get(key, default)
+
+    coder = WordEncoder(WORD_FILE)
+    coder.words = Counting(coder.words)
+    ids, counts = coder([b"one two, " * 500, b"two, three"] * 3, 2)
+    assert coder.words.looked == len(coder.words) == 4 and len(counts) == 6 and (ids == 2).sum() >= 6
+    broken = [b"caf\xe9 \xff\xff, abc", b"\xc3 x"]
+    whole = [w for t in broken for w in [*coder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2]]
+    assert coder(broken, 2)[0].tolist() == whole
