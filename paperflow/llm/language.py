@@ -35,6 +35,8 @@ RIDGE = 0.05
 #: Ratio of the best codeword's loss to the second best's above which a text is ambiguous.
 CLOSE = 0.9
 RESULT = "lang string, score double, ambiguous boolean"
+FITTED_NAMES = ["languages", "code", "weights", "bias", "trust"]
+FITTED = "languages array<string>, code binary, weights binary, bias binary, trust binary"
 
 #: ASCII marks and digits count as blanks.
 _FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
@@ -122,7 +124,24 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "lang": pa.array([o[1] for o in out], pa.string()),
                                               "at": pa.array([o[2] for o in out], pa.binary()), "n": pa.array([o[3] for o in out], pa.binary())})
 
-    rows = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(sparse, "doc_id long, lang string, at binary, n binary").collect()
+    rows = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(sparse, "doc_id long, lang string, at binary, n binary")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fitted([row for batch in batches for row in batch.to_pylist()])
+        if model is not None:
+            parts = [pa.array([np.asarray(part, "<f4").tobytes()], pa.binary()) for part in (model.code, model.weights, model.bias, model.trust)]
+            yield pa.RecordBatch.from_arrays([pa.array([model.languages], pa.list_(pa.string())), *parts], FITTED_NAMES)
+
+    # The sample is bounded, so one task fits it; the driver sees the weights only.
+    told = rows.repartition(1).mapInArrow(fit, FITTED).collect()
+    if not told:
+        return None
+    code, weights, bias, trust = (np.frombuffer(told[0][c], "<f4") for c in FITTED_NAMES[1:])
+    return Model(told[0]["languages"], code.reshape(len(told[0]["languages"]), -1), weights.reshape(FEATURES, -1), bias, trust)
+
+
+def fitted(rows: list[dict]) -> Model | None:
+    """The classifiers for rows of lang and counts (`at`, `n`), whatever their order."""
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, len(r["at"]), r["at"], r["n"]))
     languages = sorted({r["lang"] for r in rows})
     if not rows:
@@ -132,7 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return Model(languages, code, np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
     x = np.zeros((len(rows), FEATURES), np.float32)
     y = code[[languages.index(r["lang"]) for r in rows]]
-    for i, r in enumerate(rows):  # one matrix, changed in place: the driver's memory is small
+    for i, r in enumerate(rows):  # one matrix, changed in place
         counts = np.sqrt(np.frombuffer(r["n"], "<u4"), dtype=np.float32)
         x[i, np.frombuffer(r["at"], "<u4")] = counts / np.linalg.norm(counts)
     del rows

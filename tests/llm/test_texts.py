@@ -343,3 +343,12 @@ def test_each_different_word_is_looked_up_once():
     broken = [b"caf\xe9 \xff\xff, abc", b"\xc3 x"]
     whole = [w for t in broken for w in [*coder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2]]
     assert coder(broken, 2)[0].tolist() == whole
+
+
+def test_the_driver_does_not_fit_the_language_model(spark, monkeypatch):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    monkeypatch.setattr(np.linalg, "solve", lambda *_: pytest.fail("fitted on the driver"))
+    model = train(docs)
+    assert model.weights.shape == (1 << 13, model.code.shape[1]) and np.isfinite(model.weights).all()
