@@ -1,8 +1,9 @@
 """M14 and M16 as a stream: pages become documents, open documents are CAPTURED, closed ones PENDING_AI.
 
 State per sender: the sessions that may still grow, as (first page, last page, number of pages). A page joins a session
-when it is at most the window away, and may join two sessions to one. An event-time timer stands at the end of each
-session's window; when the watermark passes it the document is closed and leaves the state. What comes out is a log of
+when it is at most the window away, and may join two sessions to one. One event-time timer for each sender stands at the
+end of the earliest window; when the watermark passes it, all documents whose windows are over are closed and leave the
+state, and the next timer is set. So the calls to the state store follow senders and batches, not sessions. What comes out is a log of
 changes; `documents` gives its end: open documents too, so the result does not depend on where micro-batches were cut.
 
 A page that comes after the watermark opens nothing and is dropped by Spark; the delay bounds how late a page may be.
@@ -46,7 +47,7 @@ class DocumentSessions(StatefulProcessor):
         self.handle, self.open = handle, handle.getListState("open", "first long, last long, pages long")
 
     def held(self) -> list[tuple[int, int, int]]:
-        return [tuple(map(int, s)) for s in self.open.get()] if self.open.exists() else []
+        return [tuple(map(int, s)) for s in self.open.get()]
 
     def store(self, spans: list[tuple[int, int, int]]) -> None:
         self.open.put(spans) if spans else self.open.clear()
@@ -55,6 +56,13 @@ class DocumentSessions(StatefulProcessor):
         """The first millisecond at which the window after `last` is over."""
         return (last + self.gap) // 1000 + 1
 
+    def wake(self, before: int | None, last: int | None) -> None:
+        """Move the sender's timer from the end of one window to that of another."""
+        if before is not None and before != last:
+            self.handle.deleteTimer(self.timer(before))
+        if last is not None and before != last:
+            self.handle.registerTimer(self.timer(last))
+
     def changes(self, key, rows: list[tuple[int, int, int, str]]) -> Iterator[pd.DataFrame]:
         if rows:
             first, last, pages, status = zip(*rows)
@@ -67,19 +75,18 @@ class DocumentSessions(StatefulProcessor):
             at = np.sort(frame["at_us"].to_numpy(np.int64))
             cut = np.concatenate(([0], np.flatnonzero(np.diff(at) > self.gap) + 1, [len(at)]))
             spans = joined_spans(spans + [(int(at[a]), int(at[b - 1]), int(b - a)) for a, b in zip(cut[:-1], cut[1:])], self.gap)
-        for _, last, _ in set(before) - set(spans):
-            self.handle.deleteTimer(self.timer(last))
-        for _, last, _ in spans:
-            self.handle.registerTimer(self.timer(last))
+        self.wake(min((s[1] for s in before), default=None), min(s[1] for s in spans))
         self.store(spans)
         starts = {s[0] for s in spans}
         yield from self.changes(key, [(*s, OPEN) for s in spans if s not in before] + [(*s, GONE) for s in before if s[0] not in starts])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # The timer that fired is taken away by Spark.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         spans = self.held()
-        done = [s for s in spans if self.timer(s[1]) <= now]
-        self.store([s for s in spans if s not in done])
+        done, kept = [s for s in spans if self.timer(s[1]) <= now], [s for s in spans if self.timer(s[1]) > now]
+        self.store(kept)
+        self.wake(None, min((s[1] for s in kept), default=None))
         yield from self.changes(key, [(*s, CLOSED) for s in done])
 
     def close(self) -> None:

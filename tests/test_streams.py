@@ -257,3 +257,66 @@ def test_a_run_that_broke_off_is_made_again(spark, tmp_path):
     assert not is_complete(spark, log, 1)
     assert T.flush_outbox(items, log, 1, dies).count() == 60
     assert T.item_states(items, log).where("state = 'SYNCED' AND attempts = 1").count() == 60
+
+
+def test_one_timer_for_a_sender_whatever_the_sessions():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers, self.rows = 0, set(), []
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.discard(at)
+
+    class Times:
+        def __init__(self, now, watermark):
+            self.now, self.watermark = now, watermark
+
+        def getExpiryTimeInMs(self):
+            return self.now
+
+        def getCurrentWatermarkInMs(self):
+            return self.watermark
+
+    sessions, handle = W.DocumentSessions(1_000), Handle()
+    sessions.init(handle)
+    opened = list(sessions.handleInputRows(("a",), iter([pd.DataFrame({"at_us": [k * 10_000 for k in range(100)]})]), None))
+    assert len(opened[0]) == 100 and handle.calls == 1
+    first = min(handle.timers)
+    handle.timers.clear()
+    closed = list(sessions.handleExpiredTimer(("a",), Times(first, 500), Times(first, 500)))
+    assert len(closed[0]) == 50 and set(closed[0].status) == {W.CLOSED} and len(handle.rows) == 50
+    assert handle.timers == {sessions.timer(500_000)} and handle.calls == 2
+    list(sessions.handleInputRows(("a",), iter([pd.DataFrame({"at_us": [500_500]})]), None))
+    assert handle.timers == {sessions.timer(500_500)} and handle.rows[0] == (500_000, 500_500, 2)
+
+
+def test_pages_whose_ids_run_against_their_times_are_all_grouped(spark, tmp_path):
+    from paperflow.plans import QUERIES
+
+    rows = [(99 - k, dt.datetime(2024, 1, 1) + dt.timedelta(days=k), k % 3, "view", 1.0, "{}") for k in range(100)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["m14_group_pages_stream"](spark, str(tmp_path)).collect()
+    assert len(got) == 100 and {g.page_count for g in got} == {1} and sum(g.status == "CAPTURED" for g in got) == 1
