@@ -17,37 +17,32 @@ FV_COLUMNS = ["raw_text", "value", "unit", "confidence", "field_status", "valida
 
 # ------------------------------------------------------------------ nested and long forms
 
-def _entries(fields: Column) -> Column:
-    return F.map_entries(fields)
-
-
 def flatten_fields(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per field value: document fields, encounters by index, extended sections by item, with a review order."""
+    """One row per field value: document fields, encounters by index, extended sections by item, with a review order.
+
+    The entries of all parts of a draft are put together and spread once, so a draft is made and looked at once.
+    """
     null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
 
-    def rows(frame, rank, section, enc, slot, item, key, entry):
-        e = F.col(entry)
-        return frame.select(
-            "document_id", F.lit(rank).alias("_rank"), section.alias("section"), enc.alias("encounter_index"), slot.alias("slot"),
-            item.alias("item_index"), key.cast("string").alias("item_key"), e["key"].alias("field"),
-            *[e["value"][c].alias(c) for c in FV_COLUMNS])
-
-    parts = [rows(drafts.select("document_id", F.explode(_entries(F.col("document_fields"))).alias("e")), 0, F.lit("document"),
-                  null_i, null_s, null_i, null_s, "e")]
-    enc = drafts.select("document_id", F.posexplode("encounters").alias("i", "n")).select(
-        "document_id", "i", "n.slot", F.explode(_entries(F.col("n.fields"))).alias("e"))
-    parts.append(rows(enc, 1, F.lit("encounter"), F.col("i"), F.col("slot"), null_i, null_s, "e"))
+    def entries(rank, section, enc, slot, item, key, fields):
+        return F.transform(F.map_entries(fields), lambda e: F.struct(
+            F.lit(rank).alias("_rank"), F.lit(section).alias("section"), enc.cast("int").alias("encounter_index"), slot.cast("string").alias("slot"), item.cast("int").alias("item_index"),
+            key.cast("string").alias("item_key"), e["key"].alias("field"), *[e["value"][c].alias(c) for c in FV_COLUMNS]))
+
+    def listed(items, of):
+        """The entries of the items of a list that have fields, with their place in it."""
+        return F.flatten(F.filter(F.transform(items, lambda n, i: of(n, i)), lambda x: x.isNotNull()))
+
+    parts = [entries(0, "document", null_i, null_s, null_i, null_s, F.col("document_fields")),
+             listed(F.col("encounters"), lambda n, i: entries(1, "encounter", i, n["slot"], null_i, null_s, n["fields"]))]
     for rank, (name, _scope, item_key, _values) in enumerate(C.EXTENDED_SECTIONS, start=2):
+        part = F.col(f"extended.{name}")
         if item_key is None:
-            frame = drafts.select("document_id", F.explode(_entries(F.col(f"extended.{name}"))).alias("e"))
-            parts.append(rows(frame, rank, F.lit(name), null_i, null_s, null_i, null_s, "e"))
+            parts.append(entries(rank, name, null_i, null_s, null_i, null_s, part))
         else:
-            frame = drafts.select("document_id", F.posexplode(f"extended.{name}").alias("i", "n")).select(
-                "document_id", "i", F.col(f"n.{item_key}").alias("k"), F.explode(_entries(F.col("n.fields"))).alias("e"))
-            parts.append(rows(frame, rank, F.lit(name), null_i, null_s, F.col("i"), F.col("k"), "e"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+            parts.append(listed(part, lambda n, i, rank=rank, name=name, item_key=item_key: entries(rank, name, null_i, null_s, i, n[item_key], n["fields"])))
+    every = F.flatten(F.array_compact(F.array(*parts)))
+    out = drafts.select("document_id", F.explode(every).alias("_e")).select("document_id", "_e.*")
     order = F.broadcast(catalog.select(F.col("field").alias("_f"), F.col("ord").alias("_o")))
     ordered = out.join(order, F.col("field") == F.col("_f"), "left")
     return ordered.withColumn(
@@ -64,28 +59,31 @@ def assemble_drafts(fields: DataFrame, slots: DataFrame) -> DataFrame:
 
     What is gathered per document is the closed set of catalog fields and slots.
     """
-    as_map = F.map_from_entries(F.collect_list(F.struct("field", field_value().alias("fv"))))
-    base = fields.where("section = 'document'").groupBy("document_id").agg(as_map.alias("document_fields"))
     order = F.broadcast(slots.select(F.col("slot").alias("_s"), F.col("slot_ord")))
-    visits = fields.where("section = 'encounter'").join(order, F.col("slot") == F.col("_s"), "left").groupBy(
-        "document_id", "slot_ord", "encounter_index", "slot").agg(as_map.alias("fields"))
-    # Structs with maps cannot be sorted, so the sort is over their keys.
-    encounters = visits.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.struct("slot_ord", "encounter_index").alias("k"),
-        F.struct(F.lit("ANTENATAL").alias("encounter_type"), "slot", "fields").alias("v")))).alias("_v"))
-    ordered = F.transform(F.array_sort(F.map_keys("_v")), lambda k: F.element_at(F.col("_v"), k))
-    out = base.join(encounters.select("document_id", ordered.alias("encounters")), "document_id", "full_outer")
+    item = F.struct("section", "slot_ord", "encounter_index", "slot", "item_index", "item_key", "field", field_value().alias("fv"))
+    # A document's fields are dealt out once and gathered once; its parts are made from them there.
+    gathered = fields.join(order, F.col("slot") == F.col("_s"), "left").groupBy("document_id").agg(F.collect_list(item).alias("_items"))
+
+    def of_section(name):
+        return F.filter("_items", lambda i: i["section"] == name).alias(f"_{name}")
+
+    parted = gathered.select("document_id", *[of_section(name) for name in ("document", "encounter", *[n for n, *_ in C.EXTENDED_SECTIONS])])
+    as_map = lambda items: F.map_from_entries(F.transform(items, lambda i: F.struct(i["field"], i["fv"])))
+
+    def grouped(part, by, make):
+        """An element for each different `by` of the items, in its order."""
+        keys = F.array_sort(F.array_distinct(F.transform(part, lambda i: F.struct(*[i[c].alias(c) for c in by]))))
+        same = lambda i, k: F.struct(*[i[c].alias(c) for c in by]).eqNullSafe(k)
+        return F.transform(keys, lambda k: make(k, as_map(F.filter(part, lambda i: same(i, k)))))
+
+    some = lambda name, made: F.when(F.size(f"_{name}") > 0, made)
+    columns = {"document_fields": some("document", as_map(F.col("_document"))),
+               "encounters": some("encounter", grouped(F.col("_encounter"), ["slot_ord", "encounter_index", "slot"], lambda k, m: F.struct(F.lit("ANTENATAL").alias("encounter_type"), k["slot"].alias("slot"), m.alias("fields"))))}
     for name, _scope, item_key, _values in C.EXTENDED_SECTIONS:
-        part = fields.where(F.col("section") == name)
-        if item_key is None:
-            out = out.join(part.groupBy("document_id").agg(as_map.alias(name)), "document_id", "left")
-        else:
-            items = part.groupBy("document_id", "item_index", "item_key").agg(as_map.alias("fields"))
-            listed = items.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct(
-                F.col("item_index").alias("k"), F.struct(F.col("item_key").alias(item_key), "fields").alias("v")))).alias("_v"))
-            out = out.join(listed.select("document_id", F.transform(
-                F.array_sort(F.map_keys("_v")), lambda k: F.element_at(F.col("_v"), k)).alias(name)), "document_id", "left")
-    return out
+        part = F.col(f"_{name}")
+        columns[name] = some(name, as_map(part) if item_key is None else grouped(part, ["item_index", "item_key"], lambda k, m, item_key=item_key: F.struct(k["item_key"].alias(item_key), m.alias("fields"))))
+    # Sections of a document that has neither fields nor encounters of its own belong to no draft.
+    return parted.where((F.size("_document") > 0) | (F.size("_encounter") > 0)).select("document_id", *[c.alias(n) for n, c in columns.items()])
 
 
 # ------------------------------------------------------------------ merging pages
